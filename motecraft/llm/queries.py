@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, simhash_ball, weak_supervision
-from .common import table
+from . import decontamination, ecoc, html_crf, kneser_ney, mixing, nnpu, simhash_ball, surrogates, url_lm, weak_supervision
+from .common import fold_remainder, table
+
+
+def op1_bm25_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,11 +20,43 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def op3_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    remainder = fold_remainder(F.col("doc_id"), 5)
+    model = nnpu.train(docs.where(remainder != 0), labels.where(remainder != 0))
+    scored = nnpu.score(docs, model)
+    return scored.select("doc_id", (remainder == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace(table(spark, sf_dir, "documents"), count="n_mentions").select("doc_id", "text", "n_chars", "n_mentions")
+
+
+def op5_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_lm.judge(table(spark, sf_dir, "pages"))
+
+
+def op6_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_ball.classes(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("keeper.id").alias("component_id"))
 
 
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = kneser_ney.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("row.doc_id", "row.lang", "perplexity", "threshold", "kept")
+
+
+def op9_language_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    remainder = fold_remainder(F.col("doc_id"), 3)
+    predicted = ecoc.predict(docs, ecoc.train(docs.where(remainder != 1)))
+    return predicted.select("doc_id", (remainder == 1).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op10_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan_copies(table(spark, sf_dir, "documents"))
     return planned.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -63,8 +99,15 @@ FROM placed
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bm25_leaks": op1_bm25_leaks,
     "op2_quality_rules": op2_quality_rules,
+    "op3_toxicity_nnpu": op3_toxicity_nnpu,
+    "op4_pii_surrogates": op4_pii_surrogates,
+    "op5_url_markov": op5_url_markov,
+    "op6_html_crf": op6_html_crf,
     "op7_simhash_ball": op7_simhash_ball,
+    "op8_kneser_ney": op8_kneser_ney,
+    "op9_language_ecoc": op9_language_ecoc,
     "op10_systematic_mixing": op10_systematic_mixing,
 }
 ORACLES: dict[str, str] = {"op10_systematic_mixing": OP10_SQL}
