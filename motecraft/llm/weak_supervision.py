@@ -74,6 +74,7 @@ def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_window_words(F.col("words")).alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
+        F.size(F.filter("words", lambda w: ~w.rlike(r"[\p{L}\p{N}]"))).cast("long").alias("n_bare_words"),
         _removed(t, r"!+").alias("n_exclaim"),
         _removed(t, r"\p{Lu}+").alias("n_upper"),
         _removed(t, r"\p{L}+").alias("n_letters"),
@@ -92,13 +93,13 @@ def rules() -> dict[str, Column]:
     over = lambda x: lambda r: r > x
     return {
         "symbols": _vote(part("n_symbols", "n_words"), under(0.1), over(0.3)),
+        "bare_symbols": _vote(part("n_bare_words", "n_words"), under(0.05), over(0.2)),
         "repeats": _vote(part("n_repeat_words", "n_words"), under(0.05), over(0.2)),
         "duplicate_lines": _vote(part("n_dup_lines", "n_lines"), under(0.1), over(0.3)),
         "exclamations": _vote(part("n_exclaim", "n_words"), under(0.05), over(0.2)),
         "capitals": _vote(part("n_upper", "n_letters"), under(0.15), over(0.4)),
         "letters": _vote(part("n_letters", "word_chars"), over(0.85), under(0.7)),
         "word_length": _vote(part("word_chars", "n_words"), lambda r: r.between(3, 9), lambda r: (r < 2) | (r > 14)),
-        "length": _vote(F.col("n_words"), lambda n: n >= 40, lambda n: n < 10),
     }
 
 
@@ -106,13 +107,14 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int =
     """Expectation-maximisation over counted vote patterns.
 
     Returns `prior` (of good) and, for each class and rule, the probabilities of the votes -1, 0 and 1. They start at
-    rules that are right more often than not, and hold a small prior count of that start, so that classes can't swap.
+    rules that seldom object to a good document and each see some of the faults of a bad one, and keep a fiftieth of all
+    documents as a prior count of that start, so that the classes can't turn into something else than good and bad.
     """
-    start = {True: (0.02, 0.08, 0.90), False: (0.40, 0.20, 0.40)}
+    start = {True: (0.005, 0.045, 0.95), False: (0.25, 0.15, 0.60)}
     votes = {y: [list(start[y]) for _ in range(n_rules)] for y in (True, False)}
-    prior, total, pseudo = 0.8, sum(n for _, n in patterns), 5.0
+    prior, total = 0.8, sum(n for _, n in patterns)
     for _ in range(rounds if total else 0):
-        counts = {y: [[pseudo * p for p in start[y]] for _ in range(n_rules)] for y in (True, False)}
+        counts = {y: [[total / 50 * p for p in start[y]] for _ in range(n_rules)] for y in (True, False)}
         good = 0.0
         for pattern, n in patterns:
             p = posterior(pattern, prior, votes)
