@@ -4,8 +4,8 @@ Positives are documents confirmed as toxic; everything else is unlabelled and ma
 numpy is trained on the risk  prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)): where the second
 term falls below zero, its gradient is reversed, so that the classifier can't gain by fitting the unlabelled rows.
 
-Features are the presence of words, and of words' first four letters. They are chosen on the positives by how many of
-them hold them; fitting uses bounded samples (`positives` and `unlabelled`), scoring every whole text.
+Features are the presence of words, and of words' first four letters. Those are used that enough positives hold, and
+hold more often than unlabelled rows do; fitting uses bounded samples (`positives` and `unlabelled`), scoring every whole text.
 
 Defined cases: a null or empty text has no feature and takes the score of the bias; without positives every score is 0;
 duplicate label rows count once; repeated rows are scored alike; an empty table gives an empty result; columns of the
@@ -35,6 +35,7 @@ class Settings:
     unlabelled: int = 12000
     features: int = 20000
     least_positives: int = 4
+    lift: float = 4.0
     rounds: int = 300
     rate: float = 0.05
     ridge: float = 2e-4
@@ -101,11 +102,24 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
 
     common = chosen.mapInPandas(words, "word string").groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= settings.least_positives)
     at = {r["word"]: i for i, r in enumerate(common.orderBy(F.desc("n"), "word").limit(settings.features).collect())}
-    positive = _featurised(chosen, at)
-    if not at or not positive:
+    positive, rest = _featurised(chosen, at), _featurised(unlabelled, at)
+    if not at or not positive or not rest:
         return None
-    w, bias = minimise(positive, _featurised(unlabelled, at), len(at), prior, settings)
-    return {"weights": {k: float(w[i]) for k, i in at.items() if abs(w[i]) > 1e-6}, "bias": bias, "prior": prior}
+    used = telling(positive, rest, len(at), settings)
+    new = np.cumsum(used) - 1
+    positive, rest = ([new[r[used[r]]] for r in rows] for rows in (positive, rest))
+    w, bias = minimise(positive, rest, int(used.sum()), prior, settings)
+    return {"weights": {k: float(w[new[i]]) for k, i in at.items() if used[i]}, "bias": bias, "prior": prior}
+
+
+def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], n: int, s: Settings) -> np.ndarray:
+    """Features that positives hold `lift` times as often as unlabelled rows do, beyond chance.
+
+    A feature that only positives have has a lift of 1 / prior.
+    """
+    p, u = (np.bincount(np.concatenate([*rows, np.empty(0, int)]).astype(np.int64), minlength=n) for rows in (positive, unlabelled))
+    expected = len(positive) * (u + 1) / (len(unlabelled) + 2)
+    return (p >= s.lift * expected) & (p - expected >= 4 * np.sqrt(expected))
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
