@@ -210,11 +210,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
     """The rows of `docs` that hold no item; they are tested where they are read, not joined with the finds."""
     kept = docs
     for index in _shards(benchmark, settings):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        kept = kept.withColumn(flag, _leaking(docs.sparkSession.sparkContext.broadcast(index))("text")).where(~F.col(flag)).drop(flag)
+    return kept
 
-        @F.pandas_udf("boolean")
-        def leaking(texts: pd.Series, shared=shared) -> pd.Series:
-            return texts.map(lambda t: bool(shared.value.search(t))).astype(bool)
 
-        kept = kept.withColumn(flag, leaking("text")).where(~F.col(flag)).drop(flag)
-    return kept
+def _leaking(shared):
+    @F.pandas_udf("boolean")
+    def leaking(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: bool(shared.value.search(t))).astype(bool)
+
+    return leaking

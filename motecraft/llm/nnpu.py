@@ -35,7 +35,7 @@ class Settings:
     unlabelled: int = 12000
     features: int = 20000
     least_positives: int = 4
-    lift: float = 4.0
+    lift: float = 0.35
     rounds: int = 300
     rate: float = 0.05
     ridge: float = 2e-4
@@ -105,21 +105,22 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     positive, rest = _featurised(chosen, at), _featurised(unlabelled, at)
     if not at or not positive or not rest:
         return None
-    used = telling(positive, rest, len(at), settings)
+    used = telling(positive, rest, len(at), prior, settings)
     new = np.cumsum(used) - 1
     positive, rest = ([new[r[used[r]]] for r in rows] for rows in (positive, rest))
     w, bias = minimise(positive, rest, int(used.sum()), prior, settings)
     return {"weights": {k: float(w[new[i]]) for k, i in at.items() if used[i]}, "bias": bias, "prior": prior}
 
 
-def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], n: int, s: Settings) -> np.ndarray:
-    """Features that positives hold `lift` times as often as unlabelled rows do, beyond chance.
+def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], n: int, prior: float, s: Settings) -> np.ndarray:
+    """Features that positives hold more often than unlabelled rows do, beyond chance.
 
-    A feature that only positives have has a lift of 1 / prior.
+    A feature that only positives have is 1 / prior times as frequent among them; `lift` is the share of that way from
+    1 that a feature must reach.
     """
     p, u = (np.bincount(np.concatenate([*rows, np.empty(0, int)]).astype(np.int64), minlength=n) for rows in (positive, unlabelled))
     expected = len(positive) * (u + 1) / (len(unlabelled) + 2)
-    return (p >= s.lift * expected) & (p - expected >= 4 * np.sqrt(expected))
+    return (p >= (1 + s.lift * (1 / prior - 1)) * expected) & (p - expected >= 4 * np.sqrt(expected))
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
