@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -76,19 +76,19 @@ def _with_neighbours(distinct: DataFrame, radius: int) -> DataFrame:
     near = _masks(BITS // 2, radius // 4)
     low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")), F.shiftrightunsigned("fp", 32)
     tagged = F.concat(_around(low, near), F.transform(_around(high, near), lambda v: v.bitwiseOR(F.lit(1 << 32).cast("long"))))
+    met = Window.partitionBy("key")
     emitted = distinct.select("fp", F.explode(tagged).alias("key"))
-    met = materialize(emitted.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
-    pairs = met.where((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
-    crowded = emitted.join(met.where("n > 2").select("key"), "key", "left_semi").select("fp")
-    return pairs.select(F.explode(F.array("a", "b")).alias("fp")).union(crowded).distinct()
+    emitted = emitted.select("fp", F.count("*").over(met).alias("n"), F.min("fp").over(met).alias("a"), F.max("fp").over(met).alias("b"))
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
+    return emitted.where((F.col("n") > 2) | ((F.col("n") == 2) & near)).select("fp").distinct()
 
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges (`a`, `b`) that join exactly the distinct fingerprints within `radius` bits, directly or over others."""
     ball = _masks(BITS, radius // 2)
-    emitted = _with_neighbours(distinct, radius).select("fp", F.explode(_around(F.col("fp"), ball)).alias("variant"))
-    met = emitted.groupBy("variant").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    star = met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b")
+    spread = _with_neighbours(distinct, radius).repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    emitted = spread.select("fp", F.explode(_around(F.col("fp"), ball)).alias("variant"))
+    star = emitted.select(F.min("fp").over(Window.partitionBy("variant")).alias("a"), F.col("fp").alias("b")).where("a <> b")
     return star.distinct().where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
