@@ -1,6 +1,332 @@
-"""Queries that show each operator on tables, with the SQL that must give the same rows."""
+"""Queries that run each operator on tables, with the SQL that must give the same rows.
+
+The tables hold no images. Embeddings stand in for points (three components as x, y and rank, the label as the image),
+events for scored points; pixel queries use an image whose pixels are a formula of x and y.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from motecraft.config import Config, Thresholds
+from motecraft.functions import values
+from motecraft.operators import report, review, spatial
+from motecraft.plans import images
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as points of images."""
+    e = lambda i: F.lit(300.0) * F.col("embedding")[i].cast("double")
+    return _table(spark, sf_dir, "embeddings").select(F.col("label").alias("image_id"), F.col("vec_id").alias("seq"), e(0).alias("x"), e(1).alias("y"), e(2).alias("rank"))
+
+
+POINTS = "p AS (SELECT label AS image_id, vec_id AS seq, 300.0::DOUBLE * embedding[1]::DOUBLE AS x, 300.0::DOUBLE * embedding[2]::DOUBLE AS y, 300.0::DOUBLE * embedding[3]::DOUBLE AS rank FROM embeddings)"
+GREEDY = f"""
+WITH {POINTS},
+g AS (SELECT image_id, list({{'x': x, 'y': y, 'seq': seq}} ORDER BY -rank, seq) AS points FROM p GROUP BY image_id),
+k AS (SELECT image_id, list_reduce(list_transform(points, lambda q: [q]),
+        lambda acc, q: CASE WHEN len(list_filter(acc, lambda o: (o.x - q[1].x) * (o.x - q[1].x) + (o.y - q[1].y) * (o.y - q[1].y) < 121)) > 0 THEN acc ELSE list_concat(acc, q) END,
+        []::STRUCT(x DOUBLE, y DOUBLE, seq BIGINT)[]) AS kept FROM g)
+SELECT image_id, unnest(kept).seq AS seq FROM k"""
+
+
+@query(GREEDY)
+def q_nms_fold(spark, sf_dir):
+    return spatial.suppress_fold(points(spark, sf_dir), Config().nms_distance)
+
+
+@query(GREEDY)
+def q_nms_grouped(spark, sf_dir):
+    return spatial.suppress(points(spark, sf_dir), Config().nms_distance).select("image_id", "seq")
+
+
+@query(GREEDY)
+def q_nms_fixpoint(spark, sf_dir):
+    return spatial.suppress_rounds(points(spark, sf_dir), Config().nms_distance, settle=images.settle)
+
+
+_D2 = "(p.x - o.x) * (p.x - o.x) + (p.y - o.y) * (p.y - o.y)"
+_SOME = "o AS (SELECT * FROM p WHERE seq % 7 = 0)"
+
+
+@query(f"WITH {POINTS}, {_SOME} SELECT image_id, seq FROM p WHERE EXISTS (SELECT 1 FROM o WHERE o.image_id = p.image_id AND {_D2} <= 81)")
+def q_agreement_semi(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return spatial.near(p, p.where("seq % 7 = 0"), Config().agreement_distance).select("image_id", "seq")
+
+
+@query(f"WITH {POINTS}, {_SOME} SELECT image_id, seq FROM p WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.image_id = p.image_id AND {_D2} < 169)")
+def q_recovery_anti(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return spatial.far(p, p.where("seq % 7 = 0"), 13.0).select("image_id", "seq")
+
+
+@query(f"WITH {POINTS}, {_SOME} SELECT p.image_id, p.seq, round(sqrt(min(CASE WHEN {_D2} <= 1600 THEN {_D2} END)), 6) AS distance FROM p LEFT JOIN o ON o.image_id = p.image_id GROUP BY ALL")
+def q_nearest_distance(spark, sf_dir):
+    p = points(spark, sf_dir)
+    found = spatial.nearest(p, p.where("seq % 7 = 0"), 40.0, row="seq")
+    return found.select("image_id", "seq", F.round("distance", 6).alias("distance"))
+
+
+@query(f"WITH {POINTS} SELECT image_id, seq, row_number() OVER (PARTITION BY image_id ORDER BY round_even(y / 35, 0), x, seq) AS id FROM p")
+def q_reading_order_ids(spark, sf_dir):
+    return spatial.numbered(points(spark, sf_dir)).select("image_id", "seq", F.col("id").cast("long").alias("id"))
+
+
+@query(
+    f"""WITH {POINTS}, o AS (SELECT image_id, seq, row_number() OVER (PARTITION BY image_id ORDER BY round_even(y / 35, 0), x, seq) AS id FROM p WHERE seq % 2 = 0),
+n AS (SELECT image_id, seq, row_number() OVER (PARTITION BY image_id ORDER BY round_even(y / 35, 0), x, seq) AS id FROM p WHERE seq % 2 = 1),
+m AS (SELECT image_id, max(id) AS last FROM o GROUP BY image_id)
+SELECT image_id, seq, id, false AS suggestion FROM o UNION ALL SELECT n.image_id, seq, id + coalesce(last, 0), true FROM n LEFT JOIN m USING (image_id)"""
+)
+def q_proposal_ids(spark, sf_dir):
+    p = points(spark, sf_dir)
+    old = spatial.numbered(p.where("seq % 2 = 0"))
+    new = spatial.numbered(p.where("seq % 2 = 1"), after=old)
+    both = old.withColumn("suggestion", F.lit(False)).unionByName(new.withColumn("suggestion", F.lit(True)))
+    return both.select("image_id", "seq", F.col("id").cast("long").alias("id"), "suggestion")
+
+
+@query(f"WITH {POINTS} SELECT image_id, seq, (floor((x + 1200) / 640))::BIGINT AS tile_x, (floor((y + 1200) / 640))::BIGINT AS tile_y FROM p")
+def q_tile_assign(spark, sf_dir):
+    moved = points(spark, sf_dir).withColumns({"x": F.col("x") + 1200, "y": F.col("y") + 1200})
+    tx, ty = spatial.bins(F.col("x"), F.col("y"), Config().tile_size)
+    return moved.select("image_id", "seq", tx.cast("long").alias("tile_x"), ty.cast("long").alias("tile_y"))
+
+
+@query(
+    f"""WITH {POINTS}, t AS (SELECT *, floor(x / 15) AS tx, rank AS r FROM p),
+inside AS (SELECT image_id, seq, x, y FROM t WHERE x >= 15 * tx AND x < 15 * tx + 15)
+SELECT image_id, count(*) AS n FROM inside GROUP BY image_id"""
+)
+def q_tile_interiors(spark, sf_dir):
+    """Every point is in the half-open interior of exactly one of the tiles that see it."""
+    wide = points(spark, sf_dir).withColumn("tile", F.explode(F.sequence(F.floor(F.col("x") / 15) - 1, F.floor(F.col("x") / 15) + 1)))
+    inside = wide.where((F.col("x") >= 15 * F.col("tile")) & (F.col("x") < 15 * F.col("tile") + 15))
+    return inside.groupBy("image_id").agg(F.count("*").alias("n"))
+
+
+def scored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as points with a status and a score."""
+    status = F.when(F.col("event_type").isin("purchase", "click"), "review").otherwise("accepted")
+    return _table(spark, sf_dir, "events").select(F.col("event_type").alias("image_id"), F.col("event_id").alias("id"), status.alias("status"), F.least(F.col("value") / 350.0, F.lit(1.0)).alias("score"))
+
+
+_T = Thresholds()
+SCORED = f"""e AS (SELECT event_type AS image_id, event_id AS id, CASE WHEN event_type IN ('purchase', 'click') THEN 'review' ELSE 'accepted' END AS status, least(value / 350.0, 1.0) AS score FROM events),
+d AS (SELECT *, score < {_T.priority} AS low, score < {_T.reject} AS bad, score >= {_T.accept} AS good, status = 'accepted' AS was FROM e)"""
+_DECISION = "CASE WHEN was AND low THEN 'review_original_green' WHEN was THEN 'preserve_original_green' WHEN bad THEN 'reject' WHEN good THEN 'accept' ELSE 'review' END"
+
+
+@query(f"WITH {SCORED} SELECT image_id, id, {_DECISION} AS model_decision, CASE WHEN was AND NOT low OR NOT was AND NOT bad AND good THEN 'accepted' ELSE 'review' END AS status, NOT was AND bad AS removed, low AS review_priority, status AS baseline_status FROM d")
+def q_decision_table(spark, sf_dir):
+    return review.decide(scored_events(spark, sf_dir)).select("image_id", "id", "model_decision", "status", "removed", "review_priority", "baseline_status")
+
+
+@query(f"WITH {SCORED} SELECT image_id, id, {_DECISION} AS model_decision, CASE WHEN was AND NOT low OR NOT was AND NOT bad AND good THEN 'accepted' ELSE 'review' END AS status, NOT was AND bad AS model_rejected FROM d")
+def q_decision_table_plain(spark, sf_dir):
+    return review.decide_plain(scored_events(spark, sf_dir)).select("image_id", "id", "model_decision", "status", "model_rejected")
+
+
+@query(
+    f"""WITH {SCORED}, s AS (SELECT image_id, NOT (NOT was AND bad) AS active, CASE WHEN was AND NOT low OR NOT was AND NOT bad AND good THEN 'accepted' ELSE 'review' END AS status FROM d),
+g AS (SELECT image_id, count(*) AS baseline_count, count(*) FILTER (active) AS count, count(*) FILTER (active AND status = 'review') AS review_count, count(*) FILTER (NOT active) AS model_rejected_count FROM s GROUP BY image_id)
+SELECT image_id, baseline_count, count, review_count, model_rejected_count FROM g UNION ALL SELECT 'TOTAL', sum(baseline_count)::BIGINT, sum(count)::BIGINT, sum(review_count)::BIGINT, sum(model_rejected_count)::BIGINT FROM g"""
+)
+def q_count_report(spark, sf_dir):
+    measures = ["baseline_count", "count", "review_count", "model_rejected_count"]
+    summary = report.summarise(review.decide(scored_events(spark, sf_dir)))
+    return report.with_total(summary, "image_id", measures).select("image_id", *measures)
+
+
+@query(
+    """SELECT event_id, array_to_string(list_filter([CASE WHEN user_id % 2 = 1 THEN 'DISAGREE' END, CASE WHEN value < 20 THEN 'PALE' END, CASE WHEN value < 30 OR value > 1e9 THEN 'WEAK_RING' END,
+CASE WHEN greatest(user_id % 9 + 3, 7)::DOUBLE / least(user_id % 9 + 3, 7) > 1.65 THEN 'ELONGATED' END, CASE WHEN user_id % 600 < 55 OR user_id % 600 > 500 THEN 'SIZE' END,
+CASE WHEN least(value, user_id, 399 - value, 1999 - user_id) < greatest(user_id % 9 + 3, 7) / 2.0 + 2 THEN 'BORDER' END, CASE WHEN user_id % 5 = 0 AND value / 10 < 18 THEN 'NEAR_RED' END], lambda x: x IS NOT NULL), ',') AS codes FROM events"""
+)
+def q_review_reasons(spark, sf_dir):
+    u, v = F.col("user_id"), F.col("value")
+    made = _table(spark, sf_dir, "events").select(
+        "event_id", (u % 2 == 0).alias("agrees"), v.alias("chroma"), (v - 10).alias("ring"), F.lit(50.0).alias("edge"), (u % 9 + 3).alias("width"), F.lit(7).alias("height"), (u % 600).alias("area"),
+        v.alias("x"), u.alias("y"), F.lit(400).alias("image_width"), F.lit(2000).alias("image_height"), F.when(u % 5 == 0, v / 10).alias("red_distance"),
+    )
+    return made.select("event_id", F.array_join(review.reason_codes(), ",").alias("codes"))
+
+
+@query("SELECT p_partkey FROM part WHERE p_size BETWEEN 7 AND 43 AND p_partkey % 1000 BETWEEN 30 AND 800 AND greatest(p_size, 20)::DOUBLE / least(p_size, 20) <= 2 AND (p_partkey % 1000)::DOUBLE / (p_size * 20) >= 0.5")
+def q_shape_gate(spark, sf_dir):
+    from motecraft.operators import detect
+
+    shaped = _table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 1000).alias("area"), F.col("p_size").alias("width"), F.lit(20).alias("height"))
+    return shaped.where(detect.shape_gate(Config())).where(F.least("width", "height") >= 7).select("p_partkey")
+
+
+@query(
+    """WITH b AS (SELECT CASE WHEN value < 3 THEN 0 WHEN value < 6 THEN 1 WHEN value < 9 THEN 2 WHEN value < 12 THEN 3 WHEN value < 16 THEN 4 WHEN value < 22 THEN 5 WHEN value < 32 THEN 6 END AS band, value FROM events)
+SELECT band, count(*) AS n, round(quantile_cont(value, 0.1), 6) AS q10, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.9), 6) AS q90, round(stddev_pop(value), 6) AS std FROM b WHERE band IS NOT NULL GROUP BY band"""
+)
+def q_band_stats(spark, sf_dir):
+    v = F.col("value")
+    return values.banded(_table(spark, sf_dir, "events"), v, v, (0, 3, 6, 9, 12, 16, 22, 32))
+
+
+@query(
+    """WITH p AS (SELECT label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), c AS (SELECT label, var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS d FROM p GROUP BY label)
+SELECT label, round(((a + d) / 2 - sqrt(((a - d) / 2) * ((a - d) / 2) + b * b)) / greatest((a + d) / 2 + sqrt(((a - d) / 2) * ((a - d) / 2) + b * b), 1e-6), 6) AS ratio FROM c"""
+)
+def q_eigen_ratio(spark, sf_dir):
+    e = _table(spark, sf_dir, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    return e.groupBy("label").agg(F.round(values.eigen_ratio("x", "y"), 6).alias("ratio"))
+
+
+@query(
+    """WITH a AS (SELECT label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), w AS (SELECT label, sqrt(x * x + y * y) AS m, ((atan2(y, x) + 2 * pi()) % pi()) * (8 / pi()) AS t FROM a),
+s AS (SELECT label, floor(t)::INT % 8 AS bin, m * (1 - (t - floor(t))) AS v FROM w UNION ALL SELECT label, (floor(t)::INT + 1) % 8, m * (t - floor(t)) FROM w)
+SELECT label, bin, round(sum(v), 6) AS weight FROM s GROUP BY label, bin"""
+)
+def q_orientation_histogram(spark, sf_dir):
+    e = _table(spark, sf_dir, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("gx"), F.col("embedding")[1].cast("double").alias("gy"))
+    return values.orientation_histogram(e, ["label"]).select("label", "bin", F.round("weight", 6).alias("weight"))
+
+
+@query("SELECT doc_id, sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 10 = 0) AS member FROM documents")
+def q_membership(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    return report.known_members(docs, docs.where("doc_id % 10 = 0"), out="member").select("doc_id", "member")
+
+
+@query("SELECT md5(text) AS key, count(*) AS n FROM documents GROUP BY md5(text) HAVING count(*) > 1")
+def q_duplicate_keys(spark, sf_dir):
+    return report.duplicated_keys(_table(spark, sf_dir, "documents"), F.md5("text"))
+
+
+@query("WITH n AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN '=' WHEN 1 THEN '  @' WHEN 2 THEN '-' WHEN 3 THEN '+' ELSE '' END || event_type AS name FROM events) SELECT event_id, CASE WHEN regexp_matches(ltrim(name), '^[=+\\-@]') THEN '''' || name ELSE name END AS name FROM n")
+def q_csv_safe(spark, sf_dir):
+    mark = F.element_at(F.array(*[F.lit(x) for x in ("=", "  @", "-", "+", "", "")]), (F.col("event_id") % 6 + 1).cast("int"))
+    return _table(spark, sf_dir, "events").select("event_id", report.csv_safe(F.concat(mark, "event_type")).alias("name"))
+
+
+@query("(SELECT o_orderkey AS key, 'missing' AS side FROM orders EXCEPT SELECT l_orderkey, 'missing' FROM lineitem) UNION ALL (SELECT l_orderkey, 'unlisted' FROM lineitem EXCEPT SELECT o_orderkey, 'unlisted' FROM orders)")
+def q_manifest_difference(spark, sf_dir):
+    orders, lines = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key")), _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"))
+    return report.manifest_difference(orders, lines, "key")
+
+
+@query(
+    """WITH c AS (SELECT l_orderkey AS job_id, count(*) AS total, count(*) FILTER (l_returnflag = 'A') AS ok, count(*) FILTER (l_returnflag = 'R') AS failed FROM lineitem GROUP BY l_orderkey)
+SELECT job_id, CASE WHEN ok + failed = 0 THEN 'queued' WHEN ok + failed < total THEN 'running' WHEN ok > 0 THEN 'completed' ELSE 'failed' END AS state, ok + failed AS completed, total, failed FROM c"""
+)
+def q_job_states(spark, sf_dir):
+    items = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job_id"), "l_returnflag")
+    return report.job_states(items, done=F.col("l_returnflag") == "A", failed=F.col("l_returnflag") == "R")
+
+
+@query("SELECT page_id, length(n) BETWEEN 1 AND 255 AND NOT regexp_matches(n, '[\\x00-\\x1f\\x7f/\\\\:]') AND n NOT IN ('.', '..') AND regexp_matches(lower(n), '\\.(png|html|jpg)$') AS valid FROM (SELECT page_id, regexp_extract(url, '[^/]*$') AS n FROM pages)")
+def q_file_names(spark, sf_dir):
+    name = F.regexp_extract("url", "[^/]*$", 0)
+    return _table(spark, sf_dir, "pages").select("page_id", values.valid_file_name(name, ("png", "html", "jpg")).alias("valid"))
+
+
+@query("SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY coalesce(CASE WHEN event_id % 4 > 0 THEN least(value / 350.0, 1.0) END, 1.0), event_id) AS place FROM events")
+def q_review_order(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").select("event_id", "event_type", F.when(F.col("event_id") % 4 > 0, F.least(F.col("value") / 350.0, F.lit(1.0))).alias("model_score"))
+    order = Window.partitionBy("event_type").orderBy(F.coalesce("model_score", F.lit(1.0)), "event_id")
+    return e.select("event_id", F.row_number().over(order).cast("long").alias("place"))
+
+
+#: Red, green and blue of the formula image: background, two dark squares, and their bright cores.
+PIXELS = """px AS (SELECT x, y, CASE WHEN core1 THEN 195 WHEN core2 THEN 218 WHEN dark THEN 65 ELSE 245 END AS r, CASE WHEN core1 THEN 220 WHEN core2 THEN 225 WHEN dark THEN 75 ELSE 245 END AS g, CASE WHEN core1 THEN 160 WHEN core2 THEN 205 WHEN dark THEN 70 ELSE 245 END AS b FROM (
+  SELECT x, y, greatest(abs(x - 45), abs(y - 80)) <= 7 AS core1, greatest(abs(x - 105), abs(y - 80)) <= 7 AS core2, least(greatest(abs(x - 45), abs(y - 80)), greatest(abs(x - 105), abs(y - 80))) <= 11 AS dark
+  FROM (SELECT range AS x FROM range(160)), (SELECT range AS y FROM range(160))))"""
+
+
+@query(f"WITH {PIXELS} SELECT least(r, g) - b AS chroma, count(*) AS n, min(x) AS x0, max(y) AS y1 FROM px GROUP BY 1")
+def q_px_chroma(spark, sf_dir):
+    px = images.pixels(images.formula_images(spark))
+    return px.groupBy(values.chroma().cast("long").alias("chroma")).agg(F.count("*").alias("n"), F.min("x").cast("long").alias("x0"), F.max("y").cast("long").alias("y1"))
+
+
+@query(f"WITH {PIXELS}, t AS (SELECT x, y, CASE WHEN (x - 30) * (x - 30) + (y - 30) * (y - 30) <= 36 THEN 220 ELSE r END AS r, g - CASE WHEN (x - 30) * (x - 30) + (y - 30) * (y - 30) <= 36 THEN 205 ELSE 0 END AS g, b - CASE WHEN (x - 30) * (x - 30) + (y - 30) * (y - 30) <= 36 THEN 200 ELSE 0 END AS b FROM px) SELECT x, y FROM t WHERE r > g + 35 AND r > b + 35 AND r > 130")
+def q_px_red(spark, sf_dir):
+    px = images.pixels(images.formula_images(spark, red_disc=True))
+    return px.where(values.is_red(Config())).select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
+
+
+@query(f"WITH {PIXELS} SELECT level, count(*) FILTER (g > level) AS n FROM px, (SELECT range AS level FROM range(65, 256, 8)) GROUP BY level")
+def q_px_threshold_levels(spark, sf_dir):
+    levels = F.explode(F.sequence(F.lit(65), F.lit(255), F.lit(8))).alias("level")
+    px = images.pixels(images.formula_images(spark)).groupBy("green").agg(F.count("*").alias("n"))
+    return px.select("green", "n", levels).groupBy(F.col("level").cast("long").alias("level")).agg(F.coalesce(F.sum(F.when(F.col("green") > F.col("level"), F.col("n"))), F.lit(0)).cast("long").alias("n"))
+
+
+@query(
+    f"""WITH RECURSIVE {PIXELS}, m AS (SELECT x, y FROM px WHERE g > 145 AND g < 245),
+c(x, y, label) USING KEY (x, y) AS (SELECT x, y, y * 160 + x FROM m UNION (SELECT m.x, m.y, min(c.label) FROM m JOIN c ON abs(m.x - c.x) <= 1 AND abs(m.y - c.y) <= 1 JOIN recurring.c AS old ON old.x = m.x AND old.y = m.y WHERE c.label < old.label GROUP BY m.x, m.y))
+SELECT count(*) AS area, min(x) AS x0, min(y) AS y0, (max(x) - min(x) + 1) AS width, (max(y) - min(y) + 1) AS height, avg(x) AS cx, avg(y) AS cy FROM c GROUP BY label"""
+)
+def q_px_components(spark, sf_dir):
+    found = images.components(images.formula_images(spark), "green", above=145, below=245)
+    return found.select(*[F.col(c).cast("long").alias(c) for c in ("area", "x0", "y0", "width", "height")], "cx", "cy")
+
+
+@query()
+def q_detect_formula_image(spark, sf_dir):
+    """The whole detection on the formula image."""
+    return images.detect(images.formula_images(spark))
+
+
+@query()
+def q_features_formula_image(spark, sf_dir):
+    from motecraft.operators import features
+
+    found = images.formula_images(spark)
+    return features.extract(found, images.detect(found).select("image_id", "id", "x", "y"))
+
+
+@query()
+def q_recovery_formula_image(spark, sf_dir):
+    from motecraft.operators import detect
+
+    found = images.formula_images(spark, dim=True)
+    made = detect.candidates(found)
+    return detect.propose(made, detect.points_of(made).where("false"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of images: gates, suppression, scores, decisions, and counts with a total."""
+    measures = ["baseline_count", "count", "review_count", "model_rejected_count"]
+    gated = points(spark, sf_dir).where(F.col("rank") > -100)
+    kept = spatial.numbered(spatial.suppress(gated, Config().nms_distance), tie="kept_order")
+    scored = kept.select(F.col("image_id").cast("string").alias("image_id"), "id", F.when(F.col("rank") > 0, "accepted").otherwise("review").alias("status"), F.pmod(F.abs("rank") / 60, F.lit(1.0)).alias("score"))
+    return report.with_total(report.summarise(review.decide(scored)), "image_id", measures).select("image_id", *measures)
+
+
+@query(
+    f"""{GREEDY.replace("SELECT image_id, unnest(kept).seq AS seq FROM k", "").replace("FROM p GROUP", "FROM p WHERE rank > -100 GROUP")}, f AS (SELECT image_id, unnest(kept).seq AS seq FROM k), j AS (SELECT f.image_id, p.rank FROM f JOIN p USING (image_id, seq)),
+s AS (SELECT image_id::VARCHAR AS image_id, rank > 0 AS was, (abs(rank) / 60) % 1.0 AS score FROM j),
+d AS (SELECT image_id, NOT (NOT was AND score < {_T.reject}) AS active, NOT (was AND score >= {_T.priority} OR NOT was AND score >= {_T.accept}) AS in_review FROM s),
+summed AS (SELECT image_id, count(*) AS baseline_count, count(*) FILTER (active) AS count, count(*) FILTER (active AND in_review) AS review_count, count(*) FILTER (NOT active) AS model_rejected_count FROM d GROUP BY image_id)
+SELECT image_id, baseline_count, count, review_count, model_rejected_count FROM summed UNION ALL SELECT 'TOTAL', sum(baseline_count)::BIGINT, sum(count)::BIGINT, sum(review_count)::BIGINT, sum(model_rejected_count)::BIGINT FROM summed"""
+)
+def q_flagship(spark, sf_dir):
+    return flagship(spark, sf_dir)
