@@ -206,11 +206,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
     return found
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), flag: str = "_leaks") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The rows of `docs` that hold no item; they are tested where they are read, not joined with the finds."""
-    kept = docs
+    kept, flag = docs, "_".join(["leaks", *docs.columns])
     for index in _shards(benchmark, settings):
-        kept = kept.withColumn(flag, _leaking(docs.sparkSession.sparkContext.broadcast(index))("text")).where(~F.col(flag)).drop(flag)
+        kept = kept.withColumn(flag, _leaking(docs.sparkSession.sparkContext.broadcast(index))("text")).where(~F.col(f"`{flag}`")).drop(flag)
     return kept
 
 
