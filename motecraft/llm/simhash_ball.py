@@ -16,6 +16,7 @@ id; an empty table gives an empty result; columns of the input other than id and
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -33,32 +34,49 @@ _NO_ID = 2**63 - 1
 _CHUNK = 1 << 15
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """SimHash of a text's word shingles, repeats included, as an unsigned 64-bit number."""
+def hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 of a text's word shingles, in pieces."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
-        return 0
+        return
     joined, ends = b" ".join(words), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts, last = np.concatenate(([0], ends[:-1] + 1)), min(shingle, len(words)) - 1
-    first, digest, n = starts[: len(words) - last].tolist(), xxhash.xxh64_intdigest, len(words) - last
-    counts = np.zeros(BITS, np.int64)
+    last, digest = min(shingle, len(words)) - 1, xxhash.xxh64_intdigest
+    first = np.concatenate(([0], ends[:-1] + 1))[: len(words) - last].tolist()
     spans = list(zip(first, ends[last:].tolist(), strict=True))
-    for k in range(0, n, _CHUNK):
-        part = np.array([digest(joined[a:b], SEED) for a, b in spans[k : k + _CHUNK]], np.uint64)
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
+    for k in range(0, len(spans), _CHUNK):
+        yield np.array([digest(joined[a:b], SEED) for a, b in spans[k : k + _CHUNK]], np.uint64)
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
-    """`id` (long, never null), `text_hash` and `fp` (the fingerprint's bits as a signed long) of every row."""
+def _stream(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th of independent hashes made from one; the first is the hash itself."""
+    if not k:
+        return h
+    z = h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def fingerprint(text: str | None, shingle: int = 4, words: int = 1) -> np.ndarray:
+    """SimHash of a text's word shingles, repeats included: `words` unsigned 64-bit numbers, zero without any word."""
+    counts, n = np.zeros((words, BITS), np.int64), 0
+    for h in hashes(text, shingle):
+        for k in range(words):
+            counts[k] += np.unpackbits(_stream(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
+    return np.packbits(2 * counts > n, axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, words: int = 1) -> DataFrame:
+    """`id` (long, never null), `text_hash` and `fp` (the fingerprint's numbers as signed longs) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t, shingle) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], names=["id", "text_hash", "fp"])
+            found = [fingerprint(t, shingle, words).view(np.int64) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["id", "text_hash", "fp"])
 
     read = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
-    return read.mapInArrow(run, "id long, text_hash long, fp long")
+    return read.mapInArrow(run, "id long, text_hash long, fp array<long>")
 
 
 def _masks(bits: int, flips: int) -> list[int]:
@@ -93,18 +111,61 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = RADIUS) -> DataFrame:
-    """`id`, `text_hash`, `fp` and `keeper`: of all rows reachable, the smallest struct of id and text hash."""
-    rows = materialize(fingerprints(docs, doc_id, text, shingle))
+    """`id`, `text_hash`, `fp` and `keeper` of every row, exactly by fingerprints within `radius` bits of 64.
+
+    `keeper` is, of all rows reachable over such links, the smallest struct of id and text hash.
+    """
+    rows = materialize(fingerprints(docs, doc_id, text, shingle).withColumn("fp", F.col("fp")[0]))
     first = materialize(rows.groupBy("fp").agg(F.min(F.struct("id", "text_hash")).alias("first")))
-    joined = connected_components(links(first.select("fp"), radius))
+    return _keepers(rows, first, links(first.select("fp"), radius))
+
+
+def _keepers(rows: DataFrame, first: DataFrame, edges: DataFrame) -> DataFrame:
+    joined = connected_components(edges)
     member = first.join(joined, first["fp"] == joined["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     keeper = member.groupBy("component").agg(F.min("first").alias("keeper"))
     return rows.join(member.join(keeper, "component").select("fp", "keeper"), "fp")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = RADIUS) -> DataFrame:
-    """The rows of `docs` that stay: of every class the one with the smallest id."""
+def bits_apart(similarity: float, bits: int) -> int:
+    """How many bits of a fingerprint differ at a Jaccard similarity of shingles: the mean and one deviation."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * share + math.sqrt(bits * share * (1 - share)))
+
+
+def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, tables: int = 10) -> DataFrame:
+    """`id`, `text_hash`, `fp` and `keeper` of every row, by an estimated Jaccard similarity of shingles.
+
+    At 0.8, fingerprints differ in 15 % of their bits, for which no ball of a whole fingerprint is small enough. So the
+    fingerprint is made longer, and balls are hashed on `tables` parts of it: a pair meets if in one part it differs in
+    at most two bits, and is verified over all bits. A part has ten bits more than it takes to number the documents,
+    which keeps chance meetings few at any size. Of those that meet, each is checked against the smallest and the one
+    before it, so that a crowded value makes no more pairs than rows. Pairs can be missed; the README has measured shares.
+    """
+    bits = max(20, math.ceil(math.log2(max(2, docs.count()))) + 10)
+    per_word = max(1, BITS // bits)
+    words = -(-tables // per_word)
+    rows = materialize(fingerprints(docs, doc_id, text, shingle, words).select("id", "text_hash", F.xxhash64("fp").alias("fp"), F.col("fp").alias("words")))
+    first = materialize(rows.groupBy("fp").agg(F.min(F.struct("id", "text_hash")).alias("first"), F.min("words").alias("words")))
+    ball, mask = _masks(bits, 1), F.lit((1 << bits) - 1).cast("long")
+
+    def variants(t: int) -> Column:
+        part = F.shiftrightunsigned(F.col("words")[t // per_word], t % per_word * bits).bitwiseAND(mask)
+        return F.transform(_around(part, ball), lambda v: v.bitwiseOR(F.lit(t << bits).cast("long")))
+
+    emitted = first.select("fp", F.explode(F.concat(*[variants(t) for t in range(tables)])).alias("key"))
+    met = Window.partitionBy("key").orderBy("fp")
+    pairs = emitted.select("fp", F.array_distinct(F.array(F.first("fp").over(met), F.lag("fp").over(met))).alias("others"))
+    found = pairs.select(F.explode("others").alias("a"), F.col("fp").alias("b")).where("a <> b").distinct()
+    a, b = (first.select(F.col("fp").alias(x), F.col("words").alias(f"words_{x}")) for x in "ab")
+    apart = F.aggregate(F.zip_with("words_a", "words_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    edges = found.join(a, "a").join(b, "b").where(apart <= bits_apart(similarity, BITS * words)).select("a", "b")
+    return _keepers(rows, first.select("fp", "first"), edges)
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of `docs` that stay: of every class of similar texts the one with the smallest id."""
     keys = {"_keeper_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)), "_keeper_hash": F.xxhash64(F.col(text))}
-    kept = classes(docs, doc_id, text, shingle, radius).select("keeper.*").distinct().toDF(*keys)
+    kept = similar_classes(docs, doc_id, text, shingle, similarity).select("keeper.*").distinct().toDF(*keys)
     stay = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[v.alias(k) for k, v in keys.items()])
     return stay.join(kept, list(keys), "left_semi").dropDuplicates(list(keys)).select("row.*")

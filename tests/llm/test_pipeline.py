@@ -56,11 +56,12 @@ def test_each_stage_against_brute_force(spark, corpus):
             assert set(map(key, after)) <= set(map(key, before))
             assert not [r for r in after if not r["text"] or "!!" in r["text"]] and len(after) >= 95
         elif name == "near_duplicates":
-            prints = [simhash_ball.fingerprint(r["text"], 5) for r in before]
+            texts = [r["text"].lower().split() for r in before]
+            sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
             group = list(range(len(before)))
             for i in range(len(before)):
                 for j in range(i):
-                    if (prints[i] ^ prints[j]).bit_count() <= 4:
+                    if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                         a, b = group[i], group[j]
                         group = [min(a, b) if g in (a, b) else g for g in group]
             first = {}
