@@ -1,7 +1,7 @@
 """Personal data replaced by surrogates, in DataFrame functions only.
 
-Entities (e-mail, phone, IP, card, social security and account numbers, credentials, persons after a title) are found by
-pattern. All distinct entities of the corpus form a table; each gets a surrogate of its own type, keyed by a secret:
+Entities (e-mail, phone, IP, social security and account numbers, cards with a right check digit, credentials, persons
+after a title) are found by pattern. All distinct entities of the corpus form a table; each gets a surrogate of its own type, keyed by a secret:
 letters stay letters of their script, digits digits, hex stays hex, punctuation stays, cards keep their first digit and
 a valid check digit, given names keep gender and script, addresses end in the reserved top-level domain `example`.
 
@@ -59,10 +59,16 @@ def _kind(mention: Column) -> Column:
     found = F.lit("person")
     for name, pattern in reversed(PATTERNS.items()):
         if name != "person":
-            found = F.when(mention.rlike(f"^(?:{pattern})$"), name).otherwise(found)
+            found = F.when(mention.rlike(f"^(?:{pattern})$"), _valid_card(mention) if name == "card" else F.lit(name)).otherwise(found)
     return found
 
 
+def _valid_card(mention: Column) -> Column:
+    """`card` if the check digit is right; other long numbers are not personal."""
+    digits = _bare(mention)
+    return F.when(_check_digit(F.substring(digits, F.lit(1), F.length(digits) - 1)) == F.right(digits, F.lit(1)), "card").otherwise("none")
+
+
 def _script(name: Column) -> Column:
     return F.when(name.rlike(r"^\p{IsCyrillic}"), "c").otherwise("l")
 
@@ -91,7 +97,7 @@ def entity_keys(mention: Column) -> Column:
         F.array(F.when(given != "", F.concat(F.lit("given_"), gender, _script(given), F.lit(":"), given)), F.concat(F.lit("family_"), _script(family), F.lit(":"), family)), lambda x: x.isNotNull()
     )
     value = F.when(kind.isin("phone", "card", "ssn", "iban"), _bare(mention)).when(kind == "email", F.lower(mention)).when(kind == "secret", F.regexp_replace(mention, r"^[A-Za-z_]+\s*[=:]\s*[\"']?", "")).otherwise(mention)
-    return F.when(kind == "person", names).otherwise(F.array(F.concat(kind, F.lit(":"), value)))
+    return F.when(kind == "person", names).when(kind == "none", F.array().cast("array<string>")).otherwise(F.array(F.concat(kind, F.lit(":"), value)))
 
 
 def _byte(stream: Column, i) -> Column:
@@ -186,7 +192,7 @@ def _written(mention: Column, known: Column) -> Column:
 
     spaced = F.aggregate(F.regexp_extract_all(mention, F.lit(_CHARS), F.lit(0)), start, step, lambda acc: acc["out"])
     names = F.concat_ws(" ", F.get(F.split(mention, " "), F.lit(0)), F.array_join(F.transform(keys, lambda k: known[k]), " "))
-    return F.when(kind.isin("phone", "card", "ssn", "iban"), spaced).when(kind == "secret", F.concat(_secret_start(mention), made)).when(kind == "person", names).otherwise(made)
+    return F.when(kind == "none", mention).when(kind.isin("phone", "card", "ssn", "iban"), spaced).when(kind == "secret", F.concat(_secret_start(mention), made)).when(kind == "person", names).otherwise(made)
 
 
 def replace(docs: DataFrame, text: str = "text", key: str = KEY, count: str | None = None) -> DataFrame:
@@ -201,8 +207,8 @@ def replace(docs: DataFrame, text: str = "text", key: str = KEY, count: str | No
     table = assign(named.select("entity").distinct(), key)
     known = named.join(table, "entity").groupBy("text_md5").agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("known"))
     gaps = F.split(F.col(f"row.{text}"), ANY, -1)
-    made = F.array_join(F.zip_with(gaps, F.transform("mentions", lambda m: _written(m, F.col("known"))), lambda gap, new: F.concat(gap, F.coalesce(new, F.lit("")))), "")
+    made = F.array_join(F.zip_with(gaps, F.transform("mentions", lambda m: _written(m, F.coalesce("known", F.create_map().cast("map<string,string>")))), lambda gap, new: F.concat(gap, F.coalesce(new, F.lit("")))), "")
     new = F.when(F.size("mentions") > 0, made).otherwise(F.col(f"row.{text}"))
     values = {c: F.col(f"row.`{c}`") for c in columns} | {text: new} | ({"n_chars": F.length(new).cast("long")} if "n_chars" in columns else {})
-    changed = found.join(known, "text_md5", "left").select(*[values[c].alias(c) for c in columns], *([F.size("mentions").cast("long").alias(count)] if count else []))
+    changed = found.join(known, "text_md5", "left").select(*[values[c].alias(c) for c in columns], *([F.size(F.filter("mentions", lambda m: _kind(m) != "none")).cast("long").alias(count)] if count else []))
     return plain.unionByName(changed)
