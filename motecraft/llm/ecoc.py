@@ -36,7 +36,7 @@ _STEP = 1 << 20
 def letters(text: str | None) -> str:
     """Lower-case words of letters, with one space between them and at both ends; empty if there is no letter."""
     found = _NOT_LETTERS.sub(" ", text.lower()).strip() if text else ""
-    return f" {found} " if found else ""
+    return f" {found} " if any(map(str.isalpha, found)) else ""
 
 
 def trigram_counts(clean: str) -> np.ndarray:
