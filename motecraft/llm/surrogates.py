@@ -36,7 +36,7 @@ GIVEN = {
 }
 #: Fixed patterns, the more specific ones first.
 PATTERNS = {
-    "secret": r"(?:password|passwd|pwd|token|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,}",
+    "secret": r"(?i:password|passwd|pwd|token|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,}",
     "aws": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "email": r"[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]*@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -104,8 +104,11 @@ def _byte(stream: Column, i) -> Column:
     return F.conv(F.substring(stream, (F.lit(2) * (i % 128) + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
 
 
-def _like(value: Column, stream: Column, hexed: Column | None = None) -> Column:
-    """A string of the same format: digit for digit, letter for letter of the same case and script."""
+def _like(value: Column, stream: Column, hexed: bool = False) -> Column:
+    """A string of the same format: digit for digit, letter for letter of the same case and script.
+
+    With `hexed`, a value of hexadecimal digits stays one.
+    """
     pick = lambda alphabet, b: F.substring(F.lit(alphabet), b % len(alphabet) + 1, F.lit(1))
 
     def one(c: Column, i: Column) -> Column:
@@ -117,7 +120,8 @@ def _like(value: Column, stream: Column, hexed: Column | None = None) -> Column:
             .when(c.rlike(r"\p{L}"), pick("abcdefghijklmnopqrstuvwxyz", b))
             .otherwise(c)
         )
-        return plain if hexed is None else F.when(hexed & c.rlike("[0-9a-f]"), pick("0123456789abcdef", b)).otherwise(plain)
+        low, high = value.rlike("^[0-9a-f]+$"), value.rlike("^[0-9A-F]+$")
+        return F.when(low, pick("0123456789abcdef", b)).when(high, pick("0123456789ABCDEF", b)).otherwise(plain) if hexed else plain
 
     return F.array_join(F.transform(F.regexp_extract_all(value, F.lit(_CHARS), F.lit(0)), one), "")
 
@@ -149,7 +153,7 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> C
         made = made.when((kind == "phone") & value.startswith("+"), F.concat(F.substring(value, 1, 2), _like(F.substring(value, F.lit(3), F.length(value)), stream)))
         made = made.when(kind == "aws", F.concat(F.lit("AKIA"), _like(F.substring(value, F.lit(5), F.length(value)), stream)))
         made = made.when(kind == "iban", F.concat(F.substring(value, 1, 2), _like(F.substring(value, F.lit(3), F.length(value)), stream)))
-        made = made.when(kind == "secret", _like(value, stream, value.rlike("^[0-9a-f]+$")))
+        made = made.when(kind == "secret", _like(value, stream, hexed=True))
         latin = _syllables(stream, (3 + attempt / 2).cast("int"))
         family = F.when(kind == "family_c", F.initcap(F.translate(F.lower(latin), *_CYRILLIC))).otherwise(latin)
         made = made.when(kind.startswith("family"), family)
