@@ -59,3 +59,37 @@ def valid_file_name(name: Column, suffixes: Sequence[str], longest: int = 255) -
         & ~name.isin(".", "..")
         & F.lower(name).rlike(r"\.(" + "|".join(suffixes) + ")$")
     )
+
+
+def edge_contrast(value: Column, inside: Column) -> Column:
+    """An aggregate: the mean inside less the median around."""
+    return F.avg(F.when(inside, value)) - F.percentile(F.when(~inside, value), F.lit(0.5))
+
+
+def rim_depth(rows: DataFrame, keys: Sequence[str], direction: Column, value: Column, centre: Column, quantile: float = 0.2) -> DataFrame:
+    """How much darker the darkest sample in most directions is than the centre, by `keys`: `depth`."""
+    lows = rows.groupBy(*keys, direction.alias("direction")).agg(F.min(value).alias("low"), F.max(centre).alias("centre"))
+    return lows.groupBy(*keys).agg(F.percentile(F.col("centre") - F.col("low"), F.lit(quantile)).alias("depth"))
+
+
+def covered(depth: Column, threshold: float) -> Column:
+    """An aggregate: the share of samples deeper than a threshold."""
+    return F.avg((depth > threshold).cast("double"))
+
+
+def mass_offset(weight: Column, x: Column, y: Column) -> Column:
+    """An aggregate: how far the weighted centre lies from the origin."""
+    total = F.greatest(F.sum(weight), F.lit(1e-5))
+    cx, cy = F.sum(weight * x) / total, F.sum(weight * y) / total
+    return F.sqrt(cx * cx + cy * cy)
+
+
+def harmonic(value: Column, turn: Column, k: int) -> Column:
+    """An aggregate: the size of the k-th harmonic of values around a circle (`turn` in radians)."""
+    a, b = F.sum(value * F.cos(turn * k)), F.sum(value * F.sin(turn * k))
+    return F.sqrt(a * a + b * b) / F.count(value)
+
+
+def first_minimum(value: Column, position: Column) -> Column:
+    """An aggregate: the first position of the least value."""
+    return F.min(F.struct(value.alias("v"), position.alias("p")))["p"]

@@ -5,7 +5,9 @@ No trained model is part of this library. A scorer takes images and points and r
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
+from pathlib import Path
 from typing import Protocol
 
 import numpy as np
@@ -13,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from motecraft.config import Thresholds
 from motecraft.operators import features
 
 
@@ -45,6 +48,21 @@ def by_function(f: Callable[[np.ndarray], np.ndarray], feature_names: list[str]
     return scorer
 
 
+def checked_artifact(path: str, metadata: dict) -> tuple[bytes, Thresholds]:
+    """A model file's bytes and thresholds, after its hash, features and feature version are found as in `metadata`.
+
+    Keys: `artifact_sha256`, `feature_names`, `feature_version`, `thresholds` (reject_below, accept_at_least and, if it
+    differs from the first, review_priority_below). The bytes are for a loader of the caller's.
+    """
+    data = Path(path).read_bytes()
+    if hashlib.sha256(data).hexdigest() != metadata["artifact_sha256"]:
+        raise ValueError("the model file is not the one described")
+    if metadata["feature_version"] != features.VERSION or list(metadata["feature_names"]) != features.names():
+        raise ValueError("the model was made for other features")
+    t = metadata["thresholds"]
+    return data, Thresholds(t["reject_below"], t["accept_at_least"], t.get("review_priority_below"))
+
+
 def forest(labelled: DataFrame, trees: int = 240, seed: int = 1) -> Scorer:
     """A random forest fitted on `values` and `label` of labelled points.
 

@@ -254,6 +254,57 @@ def q_review_order(spark, sf_dir):
     return e.select("event_id", F.row_number().over(order).cast("long").alias("place"))
 
 
+@query("SELECT event_type, round(avg(value) FILTER (user_id % 3 = 0) - quantile_cont(value, 0.5) FILTER (user_id % 3 <> 0), 6) AS edge FROM events GROUP BY event_type")
+def q_edge_contrast(spark, sf_dir):
+    edge = values.edge_contrast(F.col("value"), F.col("user_id") % 3 == 0)
+    return _table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(edge, 6).alias("edge"))
+
+
+@query(
+    """WITH l AS (SELECT event_type, user_id % 24 AS d, min(value) AS low FROM events GROUP BY ALL)
+SELECT event_type, round(quantile_cont(200.0 - low, 0.2), 6) AS depth, round(avg((200.0 - low > 199.5)::INT), 6) AS covered FROM l GROUP BY event_type"""
+)
+def q_rim_depth(spark, sf_dir):
+    events, centre = _table(spark, sf_dir, "events"), F.lit(200.0)
+    deep = values.rim_depth(events, ["event_type"], F.col("user_id") % 24, F.col("value"), centre)
+    lows = events.groupBy("event_type", (F.col("user_id") % 24).alias("d")).agg((centre - F.min("value")).alias("depth"))
+    share = lows.groupBy("event_type").agg(F.round(values.covered(F.col("depth"), 199.5), 6).alias("covered"))
+    return deep.join(share, "event_type").select("event_type", F.round("depth", 6).alias("depth"), "covered")
+
+
+@query(
+    """WITH p AS (SELECT label, greatest(embedding[3]::DOUBLE, 0) AS w, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), c AS (SELECT label, sum(w * x) / greatest(sum(w), 1e-5) AS cx, sum(w * y) / greatest(sum(w), 1e-5) AS cy FROM p GROUP BY label)
+SELECT label, round(sqrt(cx * cx + cy * cy), 6) AS away FROM c"""
+)
+def q_mass_offset(spark, sf_dir):
+    e = lambda i: F.col("embedding")[i].cast("double")
+    away = values.mass_offset(F.greatest(e(2), F.lit(0.0)), e(0), e(1))
+    return _table(spark, sf_dir, "embeddings").groupBy("label").agg(F.round(away, 6).alias("away"))
+
+
+@query(
+    """WITH v AS (SELECT vec_id, i - 1 AS i, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 65) AS r(i)),
+h AS (SELECT vec_id, sum(v * cos(i * 2 * pi() / 64 * 2)) AS a2, sum(v * sin(i * 2 * pi() / 64 * 2)) AS b2, sum(v * cos(i * 2 * pi() / 64 * 4)) AS a4, sum(v * sin(i * 2 * pi() / 64 * 4)) AS b4 FROM v GROUP BY vec_id)
+SELECT vec_id, round(sqrt(a2 * a2 + b2 * b2) / 64, 6) AS harmonic2, round(sqrt(a4 * a4 + b4 * b4) / 64, 6) AS harmonic4, (SELECT min(i) FROM v WHERE v.vec_id = h.vec_id AND v.v = (SELECT min(v) FROM v AS u WHERE u.vec_id = h.vec_id)) AS lowest FROM h"""
+)
+def q_harmonics(spark, sf_dir):
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
+    v, turn = F.col("v").cast("double"), F.col("i") * 2 * F.pi() / 64
+    return rows.groupBy("vec_id").agg(
+        F.round(values.harmonic(v, turn, 2), 6).alias("harmonic2"), F.round(values.harmonic(v, turn, 4), 6).alias("harmonic4"), values.first_minimum(v, F.col("i")).cast("long").alias("lowest")
+    )
+
+
+@query(
+    f"""WITH {SCORED}, x AS (SELECT image_id, id, CASE WHEN id % 5 = 0 THEN 'keep' WHEN id % 7 = 0 THEN 'delete' END AS edit, status FROM d)
+SELECT image_id, count(*) FILTER (edit IS DISTINCT FROM 'delete') AS count, count(*) FILTER (edit IS NULL AND status = 'review') AS review_count FROM x GROUP BY image_id"""
+)
+def q_human_edits(spark, sf_dir):
+    p = scored_events(spark, sf_dir).drop("score")
+    edits = p.where("id % 5 = 0 OR id % 7 = 0").select("image_id", "id", F.when(F.col("id") % 5 == 0, "keep").otherwise("delete").alias("human_decision"))
+    return report.summarise(review.corrected(p, edits)).select("image_id", "count", "review_count")
+
+
 #: Red, green and blue of the formula image: background, two dark squares, and their bright cores.
 PIXELS = """px AS (SELECT x, y, CASE WHEN core1 THEN 195 WHEN core2 THEN 218 WHEN dark THEN 65 ELSE 245 END AS r, CASE WHEN core1 THEN 220 WHEN core2 THEN 225 WHEN dark THEN 75 ELSE 245 END AS g, CASE WHEN core1 THEN 160 WHEN core2 THEN 205 WHEN dark THEN 70 ELSE 245 END AS b FROM (
   SELECT x, y, greatest(abs(x - 45), abs(y - 80)) <= 7 AS core1, greatest(abs(x - 105), abs(y - 80)) <= 7 AS core2, least(greatest(abs(x - 45), abs(y - 80)), greatest(abs(x - 105), abs(y - 80))) <= 11 AS dark
@@ -272,6 +323,18 @@ def q_px_red(spark, sf_dir):
     return px.where(values.is_red(Config())).select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
 
 
+@query(
+    """WITH g AS (SELECT x, y FROM (SELECT range AS x FROM range(0, 160, 8)), (SELECT range AS y FROM range(0, 160, 8))), r AS (SELECT x, y FROM (SELECT range AS x FROM range(160)), (SELECT range AS y FROM range(160)) WHERE (x - 30) * (x - 30) + (y - 30) * (y - 30) <= 36)
+SELECT g.x, g.y, round(sqrt(min(CASE WHEN (g.x - r.x) * (g.x - r.x) + (g.y - r.y) * (g.y - r.y) <= 324 THEN (g.x - r.x) * (g.x - r.x) + (g.y - r.y) * (g.y - r.y) END)), 6) AS distance FROM g, r GROUP BY g.x, g.y"""
+)
+def q_px_red_distance(spark, sf_dir):
+    """How far pixels of a grid are from red, within the range that matters."""
+    px = images.pixels(images.formula_images(spark, red_disc=True)).withColumn("id", F.col("y") * 160 + F.col("x"))
+    grid = px.where("x % 8 = 0 AND y % 8 = 0")
+    found = spatial.nearest(grid, px.where(values.is_red(Config())), float(review.RED_RANGE))
+    return found.select((F.col("id") % 160).cast("long").alias("x"), F.floor(F.col("id") / 160).alias("y"), F.round("distance", 6).alias("distance"))
+
+
 @query(f"WITH {PIXELS} SELECT level, count(*) FILTER (g > level) AS n FROM px, (SELECT range AS level FROM range(65, 256, 8)) GROUP BY level")
 def q_px_threshold_levels(spark, sf_dir):
     levels = F.explode(F.sequence(F.lit(65), F.lit(255), F.lit(8))).alias("level")

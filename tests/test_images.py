@@ -1,5 +1,6 @@
 """Kernels, detection, features, sources and sinks on generated images."""
 
+import hashlib
 import json
 
 import numpy as np
@@ -169,6 +170,16 @@ def test_whole_batch_with_a_scorer_and_a_bad_image(spark):
         scoring.by_function(lambda m: m, ["other"])
 
 
+def test_model_files_are_checked(tmp_path):
+    (tmp_path / "m").write_bytes(b"model")
+    good = {"artifact_sha256": hashlib.sha256(b"model").hexdigest(), "feature_version": features.VERSION, "feature_names": features.names(), "thresholds": {"reject_below": 0.1, "accept_at_least": 0.9}}
+    data, thresholds = scoring.checked_artifact(str(tmp_path / "m"), good)
+    assert data == b"model" and thresholds.priority_below == 0.1
+    for bad in ({"artifact_sha256": "0"}, {"feature_version": "x"}, {"feature_names": []}):
+        with pytest.raises(ValueError):
+            scoring.checked_artifact(str(tmp_path / "m"), good | bad)
+
+
 def test_forest_scorer(spark):
     rows = plan.image_rows(spark, [("a", scene(160, 160, [(45, 80), (105, 80)]))])
     at = spark.createDataFrame([("a", i, 20.0 + 5 * i, 80.0) for i in range(20)], "image_id string, id int, x double, y double")
