@@ -133,30 +133,32 @@ def bits_apart(similarity: float, bits: int) -> int:
     return round(bits * share + math.sqrt(bits * share * (1 - share)))
 
 
-def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, tables: int = 10) -> DataFrame:
+def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, tables: int = 12, spare: int = 12) -> DataFrame:
     """`id`, `text_hash`, `fp` and `keeper` of every row, by an estimated Jaccard similarity of shingles.
 
     At 0.8, fingerprints differ in 15 % of their bits, for which no ball of a whole fingerprint is small enough. So the
     fingerprint is made longer, and balls are hashed on `tables` parts of it: a pair meets if in one part it differs in
-    at most two bits, and is verified over all bits. A part has ten bits more than it takes to number the documents,
-    which keeps chance meetings few at any size. Of those that meet, each is checked against the smallest and the one
-    before it, so that a crowded value makes no more pairs than rows. Pairs can be missed; the README has measured shares.
+    at most two bits, and is verified over all bits. A part has `spare` bits more than it takes to number the documents,
+    which keeps chance meetings few at any size. In each part a fingerprint is checked against the smallest one that it
+    meets, so that a crowd of similar texts makes no more pairs than it has members, and still hangs together. Pairs can
+    be missed; the README has the measured share.
     """
-    bits = max(20, math.ceil(math.log2(max(2, docs.count()))) + 10)
-    per_word = max(1, BITS // bits)
-    words = -(-tables // per_word)
+    bits = max(20, math.ceil(math.log2(max(2, docs.count()))) + spare)
+    words = -(-tables * bits // BITS)
     rows = materialize(fingerprints(docs, doc_id, text, shingle, words).select("id", "text_hash", F.xxhash64("fp").alias("fp"), F.col("fp").alias("words")))
     first = materialize(rows.groupBy("fp").agg(F.min(F.struct("id", "text_hash")).alias("first"), F.min("words").alias("words")))
     ball, mask = _masks(bits, 1), F.lit((1 << bits) - 1).cast("long")
 
     def variants(t: int) -> Column:
-        part = F.shiftrightunsigned(F.col("words")[t // per_word], t % per_word * bits).bitwiseAND(mask)
-        return F.transform(_around(part, ball), lambda v: v.bitwiseOR(F.lit(t << bits).cast("long")))
+        word, at = divmod(t * bits, BITS)
+        part = F.shiftrightunsigned(F.col("words")[word], at)
+        if at + bits > BITS:
+            part = part.bitwiseOR(F.shiftleft(F.col("words")[word + 1], BITS - at))
+        return F.transform(_around(part.bitwiseAND(mask), ball), lambda v: v.bitwiseOR(F.lit(t << bits).cast("long")))
 
     emitted = first.select("fp", F.explode(F.concat(*[variants(t) for t in range(tables)])).alias("key"))
-    met = Window.partitionBy("key").orderBy("fp")
-    pairs = emitted.select("fp", F.array_distinct(F.array(F.first("fp").over(met), F.lag("fp").over(met))).alias("others"))
-    found = pairs.select(F.explode("others").alias("a"), F.col("fp").alias("b")).where("a <> b").distinct()
+    met = emitted.select("fp", F.shiftrightunsigned("key", bits).alias("part"), F.min("fp").over(Window.partitionBy("key")).alias("a")).where("a <> fp")
+    found = met.groupBy("fp", "part").agg(F.min("a").alias("a")).select("a", F.col("fp").alias("b")).distinct()
     a, b = (first.select(F.col("fp").alias(x), F.col("words").alias(f"words_{x}")) for x in "ab")
     apart = F.aggregate(F.zip_with("words_a", "words_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     edges = found.join(a, "a").join(b, "b").where(apart <= bits_apart(similarity, BITS * words)).select("a", "b")

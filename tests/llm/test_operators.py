@@ -304,14 +304,13 @@ def test_similar_classes_match_all_pairs(spark):
     vary = lambda t, k: " ".join(w if i % 97 >= k else prose(rng, 1) for i, w in enumerate(t.split()))
     base = [prose(rng, 300) for _ in range(40)]
     texts = [*base, *(vary(t, k) for t in base for k in (1, 2, 40)), *base[:5], *ODD]
-    bits = math.ceil(math.log2(len(texts))) + 10
-    per_word = 64 // bits
-    prints = [simhash_ball.fingerprint(t, 5, -(-10 // per_word)) for t in texts]
-    part = lambda p, t: (int(p[t // per_word]) >> (t % per_word * bits)) % (1 << bits)
+    bits = math.ceil(math.log2(len(texts))) + 12
+    prints = [simhash_ball.fingerprint(t, 5, -(-12 * bits // 64)) for t in texts]
+    part = lambda p, t: sum(int(w) << 64 * i for i, w in enumerate(p)) >> t * bits & (1 << bits) - 1
     far = simhash_ball.bits_apart(0.8, 64 * len(prints[0]))
 
     def linked(a, b):
-        return int(np.bitwise_count(a ^ b).sum()) <= far and any((part(a, t) ^ part(b, t)).bit_count() <= 2 for t in range(10))
+        return int(np.bitwise_count(a ^ b).sum()) <= far and any((part(a, t) ^ part(b, t)).bit_count() <= 2 for t in range(12))
 
     edges = [(i, j) for i in range(len(texts)) for j in range(i) if linked(prints[i], prints[j])]
     got = {r["id"]: r["keeper"]["id"] for r in simhash_ball.similar_classes(documents(spark, texts)).collect()}
