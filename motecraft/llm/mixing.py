@@ -62,10 +62,10 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, limi
     return w.select("key", "source_size", target.alias("target"))
 
 
-def plan_copies(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: str = SEED, buckets: int = BUCKETS) -> DataFrame:
-    """One row per input row: `row` (the input row), `size`, `source_size`, `target` and `copies`."""
+def plan_copies(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: str = SEED, buckets: int = BUCKETS, keep: list[str] | None = None) -> DataFrame:
+    """One row per input row: `row` (the input row, or its columns `keep`), `size`, `source_size`, `target` and `copies`."""
     name = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), name.alias("name"), _source_key(F.col(source)).alias("key"), word_count(F.col(text)).alias("size"))
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), name.alias("name"), _source_key(F.col(source)).alias("key"), word_count(F.col(text)).alias("size"))
     base = base.withColumn("class", size_class(F.col("size"))).withColumn("bucket", md5_number(F.concat_ws("|", "name", "size"), 8) % buckets)
     group = ["key", "class", "bucket"]
     groups = materialize(base.groupBy(*group).agg(F.count("*").alias("n"), F.sum("size").alias("words")))
@@ -76,7 +76,8 @@ def plan_copies(docs: DataFrame, *, text: str = "text", source: str = "source",
     starts = groups.select(*group, F.coalesce(earlier, F.lit(0)).alias("earlier")).join(per_source, "key")
     position = F.col("earlier") + F.row_number().over(Window.partitionBy(*group).orderBy("size", "name"))
     crossed = F.floor(position * F.col("rate") + F.col("offset")) - F.floor((position - 1) * F.col("rate") + F.col("offset"))
-    return base.join(starts, group).select("row", "size", "source_size", "target", crossed.alias("copies"))
+    # a left join, as an inner one would filter on the keys first and count the words again for it
+    return base.join(starts, group, "left").select("row", "size", "source_size", "target", crossed.alias("copies"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

@@ -58,7 +58,7 @@ def op9_language_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = mixing.plan_copies(table(spark, sf_dir, "documents"))
+    planned = mixing.plan_copies(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return planned.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
