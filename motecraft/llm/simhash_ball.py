@@ -123,7 +123,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle
 def _keepers(rows: DataFrame, first: DataFrame, edges: DataFrame) -> DataFrame:
     joined = connected_components(edges)
     member = first.join(joined, first["fp"] == joined["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    keeper = member.groupBy("component").agg(F.min("first").alias("keeper"))
+    # written, so that both sides of the join below are dealt anew and Spark can split a large component
+    keeper = materialize(member.groupBy("component").agg(F.min("first").alias("keeper")))
     return rows.join(member.join(keeper, "component").select("fp", "keeper"), "fp")
 
 
