@@ -167,8 +167,10 @@ def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of `docs` that stay: of every class of similar texts the one with the smallest id."""
+    """The rows of `docs` that stay: of every class of similar texts, by their exact similarity, the one with the smallest id."""
+    from . import set_join
+
     keys = {"_keeper_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)), "_keeper_hash": F.xxhash64(F.col(text))}
-    kept = similar_classes(docs, doc_id, text, shingle, similarity).select("keeper.*").distinct().toDF(*keys)
+    kept = set_join.similar_classes(docs, doc_id, text, shingle, similarity).select("keeper.*").distinct().toDF(*keys)
     stay = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[v.alias(k) for k, v in keys.items()])
     return stay.join(kept, list(keys), "left_semi").dropDuplicates(list(keys)).select("row.*")
