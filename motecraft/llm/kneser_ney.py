@@ -7,11 +7,13 @@ from joins of an n-gram's row with its context's and its shorter n-gram's, shard
 the probabilities, at most 64^4 of them whatever the corpus, which scoring looks up in one dense table of 64 MB.
 
 A document passes if its perplexity is at most a high quantile of the trusted documents of its language, or of all
-trusted ones where its language has none. A fold of the trusted documents is kept from the counts for that, as the model
-knows the text it counted too well to set thresholds on it.
+trusted ones where its language has none. As the model knows the text it counted too well to set thresholds on it, each
+fold of the trusted documents is scored for that with the counts of the other folds. A quantile of few documents is
+little more than their largest, so it is shrunk towards the language's mean log-perplexity and the distance from the mean
+that all languages share, widened by what the mean of few documents may be off; and it is never below the own quantile.
 
-Defined cases: a null or empty text has no perplexity and doesn't pass; without any trusted text to count, or none held
-out, nothing is known and every document with text passes; repeated rows are judged alike; an empty table gives an empty result; columns of the
+Defined cases: a null or empty text has no perplexity and doesn't pass; without any trusted text to count, or too
+little to set a threshold, nothing is known and every document with text passes; repeated rows are judged alike; an empty table gives an empty result; columns of the
 inputs other than id, text, lang and quality are not looked at.
 """
 
@@ -20,18 +22,20 @@ from __future__ import annotations
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold_remainder, materialize
 
 CLASSES, ORDER = 64, 4
 QUANTILE = 0.995
-#: One of so many folds of the trusted documents sets the thresholds and isn't counted.
+#: Folds of the trusted documents; each is scored with the counts of the others.
 FOLDS = 5
+_CHUNK = 1 << 23
 _STEP = 1 << 20
 _MARKS = "\n.,;:!?-'\"()"
 
@@ -70,6 +74,30 @@ def grams(text: str | None) -> Iterator[np.ndarray]:
         yield ((c[:-3] * CLASSES + c[1:-2]) * CLASSES + c[2:-1]) * CLASSES + c[3:]
 
 
+def count_folds(docs: DataFrame, fold: str = "fold", text: str = "text") -> DataFrame:
+    """`fold`, `gram`, `n` over all texts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts, held = [], 0
+
+        def counted() -> pd.DataFrame:
+            codes, n = np.unique(np.concatenate([*parts, np.empty(0, np.int32)]), return_counts=True)
+            return pd.DataFrame({"fold": codes // CLASSES**ORDER, "gram": codes % CLASSES**ORDER, "n": n})
+
+        for batch in batches:
+            for k, value in zip(batch["fold"], batch["text"], strict=True):
+                for codes in grams(value):
+                    parts.append((codes + k * CLASSES**ORDER).astype(np.int32))
+                    held += len(codes)
+                    if held >= _CHUNK:
+                        yield counted()
+                        parts, held = [], 0
+        yield counted()
+
+    read = docs.select(F.col(fold).cast("int").alias("fold"), F.col(text).alias("text"))
+    return read.mapInPandas(run, "fold int, gram long, n long").groupBy("fold", "gram").agg(F.sum("n").alias("n"))
+
+
 def count_grams(docs: DataFrame, text: str = "text") -> DataFrame:
     """`gram`, `n` over all texts."""
 
@@ -144,7 +172,11 @@ class Model:
 
 def train(docs: DataFrame, text: str = "text") -> Model | None:
     """A model of all texts of `docs`."""
-    counted = materialize(count_grams(docs, text))
+    return model_of(materialize(count_grams(docs, text)))
+
+
+def model_of(counted: DataFrame) -> Model | None:
+    """A model of counts (`gram`, `n`)."""
     if counted.isEmpty():
         return None
     levels = [tuple(x.toPandas() for x in pair) for pair in probabilities(counted)]
@@ -181,17 +213,45 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, doc_id
     trusted = labels.where("quality = 1").select(F.col("doc_id").alias("trusted_id")).distinct()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     base = docs.select(row.alias("row"), F.col(doc_id).alias("id"), F.coalesce(F.col(lang), F.lit("")).alias("language"), F.col(text).alias("body"))
-    held_out = fold_remainder(F.col("id"), FOLDS) == 0
     # the labels grow with the corpus: sorted and merged at every size, so that a small run has the plan of a large one
     known = base.select("id", "language", "body").join(trusted.hint("merge"), F.col("id") == F.col("trusted_id"), "left_semi")
-    model = train(known.where(~held_out), "body")
+    known = known.withColumn("fold", fold_remainder(F.col("id"), FOLDS))
+    counted = materialize(count_folds(known, text="body"))
+    model = model_of(materialize(counted.groupBy("gram").agg(F.sum("n").alias("n"))))
     if model is None:
         return base.select("row", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), (F.length("body") > 0).alias("kept"))
-    narrow = materialize(with_perplexity(base.select("id", "language", "body"), model, "body").select("id", "language", "perplexity"))
-    sure = narrow.where(held_out & F.col("perplexity").isNotNull()).join(trusted, F.col("id") == F.col("trusted_id"), "left_semi")
-    cut = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10000)).alias("threshold")
-    by_language = materialize(sure.groupBy("language").agg(cut))
-    overall = sure.agg(cut).first()["threshold"]
-    scored = with_perplexity(base, model, "body").join(by_language, "language", "left")
-    threshold = F.coalesce("threshold", F.lit(overall).cast("double"), F.lit(float("inf")))
-    return scored.select("row", "perplexity", threshold.alias("threshold"), F.coalesce(F.col("perplexity") <= threshold, F.lit(False)).alias("kept"))
+    sure = None
+    for k in range(FOLDS):
+        others = model_of(materialize(counted.where(F.col("fold") != k).groupBy("gram").agg(F.sum("n").alias("n"))))
+        if others is not None:
+            # of the documents, only the fold's are joined with the labels
+            fold = base.where(fold_remainder(F.col("id"), FOLDS) == k).select("id", "language", "body").join(trusted.hint("merge"), F.col("id") == F.col("trusted_id"), "left_semi")
+            scored = materialize(with_perplexity(fold, others, "body").where("perplexity is not null").select("language", "perplexity"))
+            sure = scored if sure is None else sure.union(scored)
+    scored = with_perplexity(base, model, "body")
+    if sure is None:
+        scored = scored.withColumn("threshold", F.lit(float("inf")))
+    else:
+        overall = sure.agg(_quantile(F.col("perplexity"), quantile)).first()[0]
+        scored = scored.join(materialize(thresholds(sure, quantile)), "language", "left")
+        scored = scored.withColumn("threshold", F.coalesce("threshold", F.lit(overall).cast("double"), F.lit(float("inf"))))
+    return scored.select("row", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("kept"))
+
+
+def _quantile(value: Column, quantile: float) -> Column:
+    return F.percentile_approx(value, F.lit(quantile), F.lit(10000))
+
+
+def thresholds(sure: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """`language`, `threshold` from the `perplexity` of trusted documents."""
+    logs = sure.select("language", F.log("perplexity").alias("x"))
+    own = materialize(logs.groupBy("language").agg(F.count("*").alias("k"), F.avg("x").alias("mean"), _quantile(F.col("x"), quantile).alias("own")))
+    # a mean of k documents hides 1 / k of their variance
+    apart = logs.join(F.broadcast(own.where("k > 1")), "language").select(((F.col("x") - F.col("mean")) * F.sqrt(F.col("k") / (F.col("k") - 1))).alias("r"))
+    found = apart.agg(_quantile(F.col("r"), quantile).alias("cut"), F.sqrt(F.avg(F.col("r") * F.col("r"))).alias("spread")).first()
+    if found["cut"] is None:
+        return own.select("language", F.lit(float("inf")).alias("threshold"))
+    shared = max(found["cut"], NormalDist().inv_cdf(quantile) * found["spread"])
+    weight = F.col("k") * (1 - quantile) / (F.col("k") * (1 - quantile) + 1)
+    wide = F.col("mean") + shared * F.sqrt(1 + 1 / F.col("k"))
+    return own.select("language", F.exp(F.greatest("own", weight * F.col("own") + (1 - weight) * wide)).alias("threshold"))
