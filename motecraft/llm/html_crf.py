@@ -6,7 +6,8 @@ ascent on labelled pages and decoded by Viterbi. The labelled pages are generate
 they are built (`labelled_pages`); a caller may pass own ones.
 
 Defined cases: a null or empty page has an empty text, and so has one without main text; unclosed tags, comments and
-scripts end where HTML ends them or with the page; repeated rows are treated alike; an empty table gives an empty
+scripts end where HTML ends them or with the page; elements that HTML doesn't show unless asked (`noscript`, `template`)
+are cut into blocks like any other; repeated rows are treated alike; an empty table gives an empty
 result; columns of the input other than id, URL and HTML are not looked at.
 """
 
@@ -24,9 +25,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed values of HTML: elements without content, elements whose content is no text, and elements that start a block.
+#: Fixed values of HTML: elements without content, elements whose content is no markup, and elements that start a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "math", "object", "xmp")
+RAW = ("script", "style", "textarea", "title", "iframe")
+#: Elements of other languages, which may close themselves.
+FOREIGN = frozenset(("svg", "math"))
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -34,12 +37,15 @@ BLOCK = frozenset(
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 LISTS = frozenset("ul ol menu dl table tbody thead tfoot div section article".split())
 
+_ATTR = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 _TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<(?P<raw>" + "|".join(RAW) + r""")(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"""
-    r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attr>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
+    r"<!--(?:.*?-->|.*\Z)|(?P<open><(?P<raw>" + "|".join((*RAW, "xmp")) + rf")(?=[\s/>])(?P<attr0>{_ATTR})>)(?P<inside>.*?)(?:</(?P=raw)\s*>|\Z)"
+    rf"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attr>{_ATTR})>"""
     r"""|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attr2>[^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""",
     re.S | re.I,
 )
+#: A slash that closes the element; at the end of a value without quotes it is part of the value.
+_CLOSED = re.compile(r"""(?<![^\s"'])/\Z|\A/\Z|(?:\A|\s)[^\s=]+/\Z""")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PARTS = re.compile(r"[a-z]+")
 
@@ -86,10 +92,19 @@ def blocks(page: str | None) -> list[Block]:
                 return
 
     at, page = 0, page or ""
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             say(page[at : m.start()])
         at = m.end()
+        if m["raw"]:
+            if any(t in FOREIGN for t, _ in stack) and _CLOSED.search(m["attr0"]):
+                at = m.end("open")
+            elif m["raw"].lower() == "xmp":
+                flush()
+                close(("p",))
+                say(html.escape(m["inside"]))
+                flush()
+            continue
         tag = (m["tag"] or m["tag2"] or "").lower()
         if not tag:
             continue
@@ -100,12 +115,15 @@ def blocks(page: str | None) -> list[Block]:
             say(" ")
             continue
         if tag in BLOCK:
+            if not any(t == "foreignobject" for t, _ in stack):
+                close(FOREIGN)
             flush()
             close(("p",))
         if tag in CLOSES:
             close(CLOSES[tag], LISTS)
-        if tag not in VOID:
-            names = _NAMES.findall(m["attr"] or m["attr2"] or "")
+        attr = m["attr"] or m["attr2"] or ""
+        if tag not in VOID and not (_CLOSED.search(attr) and (tag in FOREIGN or any(t in FOREIGN for t, _ in stack))):
+            names = _NAMES.findall(attr)
             stack.append((tag, tuple(f".{w}" for n in names for w in _PARTS.findall("".join(n).lower()))))
     if at < len(page):
         say(page[at:])
