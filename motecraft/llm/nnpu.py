@@ -5,7 +5,8 @@ numpy is trained on the risk  prior * R+(positives) + max(0, R-(unlabelled) - pr
 term falls below zero, its gradient is reversed, so that the classifier can't gain by fitting the unlabelled rows.
 
 Features are the presence of words, and of words' first four letters. Those are used that enough positives hold, and
-hold more often than unlabelled rows do; fitting uses bounded samples (`positives` and `unlabelled`), scoring every whole text.
+hold more often than unlabelled rows do, counted over all of these; the gradient steps use bounded samples (`positives`
+and `unlabelled`), scoring every whole text.
 
 Defined cases: a null or empty text has no feature and takes the score of the bias; without positives every score is 0;
 duplicate label rows count once; repeated rows are scored alike; an empty table gives an empty result; columns of the
@@ -78,6 +79,24 @@ def _featurised(docs: DataFrame, at: dict[str, int]) -> list[np.ndarray]:
     return [np.asarray(r["x"], int) for r in docs.mapInPandas(run, "x array<int>").toLocalIterator()]
 
 
+def _frequencies(docs: DataFrame, at: dict[str, int]) -> tuple[np.ndarray, int]:
+    """In how many documents each feature is, and the number of documents."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(len(at) + 1, np.int64)
+        for batch in batches:
+            for text in batch["text"]:
+                total[[at[w] for w in at.keys() & tokens(text)]] += 1
+            total[-1] += len(batch)
+        held = np.flatnonzero(total)
+        yield pd.DataFrame({"x": held, "n": total[held]})
+
+    found = docs.select("text").mapInPandas(run, "x int, n long").groupBy("x").agg(F.sum("n").alias("n")).toPandas()
+    total = np.zeros(len(at) + 1, np.int64)
+    total[found["x"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return total[:-1], int(total[-1])
+
+
 def _sample(rows: DataFrame, bound: int) -> DataFrame:
     """At most `bound` rows, and about nine tenths of it where there are more, chosen by a hash of the id."""
     n = rows.count()
@@ -105,21 +124,21 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     positive, rest = _featurised(chosen, at), _featurised(unlabelled, at)
     if not at or not positive or not rest:
         return None
-    used = telling(positive, rest, len(at), prior, settings)
+    used = telling(positive, *_frequencies(docs, at), prior, settings)
     new = np.cumsum(used) - 1
     positive, rest = ([new[r[used[r]]] for r in rows] for rows in (positive, rest))
     w, bias = minimise(positive, rest, int(used.sum()), prior, settings)
     return {"weights": {k: float(w[new[i]]) for k, i in at.items() if used[i]}, "bias": bias, "prior": prior}
 
 
-def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], n: int, prior: float, s: Settings) -> np.ndarray:
-    """Features that positives hold more often than unlabelled rows do, beyond chance.
+def telling(positive: list[np.ndarray], u: np.ndarray, unlabelled: int, prior: float, s: Settings) -> np.ndarray:
+    """Features that positives hold more often than all `unlabelled` rows do, `u` of which hold each, beyond chance.
 
     A feature that only positives have is 1 / prior times as frequent among them; `lift` is the share of that way from
     1 that a feature must reach.
     """
-    p, u = (np.bincount(np.concatenate([*rows, np.empty(0, int)]).astype(np.int64), minlength=n) for rows in (positive, unlabelled))
-    expected = len(positive) * (u + 1) / (len(unlabelled) + 2)
+    p = np.bincount(np.concatenate([*positive, np.empty(0, int)]).astype(np.int64), minlength=len(u))
+    expected = len(positive) * (u + 1) / (unlabelled + 2)
     return (p >= (1 + s.lift * (1 / prior - 1)) * expected) & (p - expected >= 4 * np.sqrt(expected))
 
 
