@@ -22,8 +22,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -31,7 +30,7 @@ from .components import connected_components
 from .simhash_ball import _NO_ID, _keepers, hashes
 
 #: Documents in the sample for the order, at least; shingles known as frequent; rounds before all pairs are decided.
-SAMPLE, FREQUENT, ROUNDS = 20_000, 200_000, 2
+SAMPLE, FREQUENT, ROUNDS = 5_000, 200_000, 2
 _BATCH = 1 << 20
 
 
@@ -62,10 +61,10 @@ def frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], top["n"].to_numpy(np.int64)[order]
 
 
-def shingle_sets(texts: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
-    """`id`, `text_hash`, `fp` (of the set), its size `n`, its `hashes` and, in the common order, its `prefix`."""
+def prefixes(texts: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
+    """`id`, `text_hash`, `fp` (of the set), its size `n` and, in the common order, its `prefix`."""
     shared = texts.sparkSession.sparkContext.broadcast(frequent(texts, shingle))
-    names = ["id", "text_hash", "fp", "n", "hashes", "prefix"]
+    names = ["id", "text_hash", "fp", "n", "prefix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = shared.value
@@ -77,7 +76,7 @@ def shingle_sets(texts: DataFrame, shingle: int, similarity: Fraction) -> DataFr
             return np.where(known[at] == h, often[at], 0)
 
         def made(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
+            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
         for batch in batches:
@@ -86,15 +85,27 @@ def shingle_sets(texts: DataFrame, shingle: int, similarity: Fraction) -> DataFr
                 h = shingle_set(text, shingle)
                 first = h[np.lexsort((h, rank(h)))[: prefix_length(len(h), similarity)]]
                 fp = np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64)
-                rows.append((i, text_hash, int(fp), len(h), h.view(np.int64), first.view(np.int64)))
-                held += len(h)
+                rows.append((i, text_hash, int(fp), len(h), first.view(np.int64)))
+                held += len(first)
                 if held > _BATCH:
                     yield made(rows)
                     rows, held = [], 0
             if rows:
                 yield made(rows)
 
-    return texts.mapInArrow(run, "id long, text_hash long, fp long, n long, hashes array<long>, prefix array<long>")
+    return texts.mapInArrow(run, "id long, text_hash long, fp long, n long, prefix array<long>")
+
+
+def shingle_sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """`fp` and `hashes` of the rows of `texts` that `wanted` (`id`, `text_hash`, `fp`) names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for fp, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([fp]), pa.array([shingle_set(text, shingle).view(np.int64)])], names=["fp", "hashes"])
+
+    named = texts.join(wanted, ["id", "text_hash"]).select("fp", "text")
+    return named.mapInArrow(run, "fp long, hashes array<long>").dropDuplicates(["fp"])
 
 
 def _may_be_similar(similarity: Fraction) -> Column:
@@ -106,7 +117,8 @@ def _may_be_similar(similarity: Fraction) -> Column:
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
     """Those of the pairs (`a`, `b`) whose whole sets are similar."""
     p, q = similarity.numerator, similarity.denominator
-    a, b = (sets.select(F.col("fp").alias(x), F.col("hashes").alias(f"hashes_{x}")) for x in "ab")
+    pairs = materialize(pairs)
+    a, b = (sets.join(pairs.select(F.col(x).alias("fp")).distinct(), "fp", "left_semi").select(F.col("fp").alias(x), F.col("hashes").alias(f"hashes_{x}")) for x in "ab")
     both = pairs.join(b, "b").join(a, "a").select("a", "b", (F.size("hashes_a") + F.size("hashes_b")).alias("n"), F.size(F.array_intersect("hashes_a", "hashes_b")).alias("shared"))
     return both.where(F.col("shared") * F.lit(q) >= (F.col("n") - F.col("shared")) * F.lit(p)).select("a", "b")
 
@@ -122,12 +134,13 @@ def _apart(met: DataFrame, edges: DataFrame | None) -> DataFrame:
     return now.where("least <> most").drop("least", "most")
 
 
-def links(first: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
-    """Edges (`a`, `b`) that join exactly the sets of `first` (`fp`, `n`, `prefix`) at `similarity`, directly or over others."""
+def links(first: DataFrame, texts: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
+    """Edges (`a`, `b`) that join exactly the sets of `first` (`fp`, `first`, `n`, `prefix`) at `similarity`, directly or over others."""
     emitted = first.select("fp", "n", F.posexplode("prefix").alias("at", "key"))
     met = emitted.withColumn("here", F.count("*").over(Window.partitionBy("key"))).where("here > 1").drop("here")
     met = materialize(met)
-    sets = materialize(sets.join(met.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"]))
+    wanted = materialize(first.select("first.*", "fp").join(met.select("fp").distinct(), "fp", "left_semi").select("id", "text_hash", "fp"))
+    sets = materialize(shingle_sets(texts, wanted, shingle))
     may, edges = _may_be_similar(similarity), None
     for salt in range(ROUNDS):
         left = _apart(met, edges)
@@ -149,7 +162,7 @@ def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     least = Fraction(str(similarity))
     texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
-    rows = materialize(shingle_sets(texts, shingle, least))
+    rows = materialize(prefixes(texts, shingle, least))
     first = materialize(rows.groupBy("fp").agg(F.min(F.struct("id", "text_hash")).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    edges = links(first.select("fp", "n", "prefix"), rows.select("fp", "hashes"), least)
+    edges = links(first, texts, shingle, least)
     return _keepers(rows.select("id", "text_hash", "fp"), first.select("fp", "first"), edges)
