@@ -224,14 +224,15 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, doc_id
     for k in range(FOLDS):
         others = model_of(materialize(counted.where(F.col("fold") != k).groupBy("gram").agg(F.sum("n").alias("n"))))
         if others is not None:
-            # of the documents, only the fold's are joined with the labels
-            fold = base.where(fold_remainder(F.col("id"), FOLDS) == k).select("id", "language", "body").join(trusted.hint("merge"), F.col("id") == F.col("trusted_id"), "left_semi")
-            scored = materialize(with_perplexity(fold, others, "body").where("perplexity is not null").select("language", "perplexity"))
+            fold = base.where(fold_remainder(F.col("id"), FOLDS) == k).select("id", "language", "body")
+            scored = materialize(with_perplexity(fold, others, "body").where("perplexity is not null").select("id", "language", "perplexity"))
+            scored = scored.join(trusted, F.col("id") == F.col("trusted_id"), "left_semi")
             sure = scored if sure is None else sure.union(scored)
     scored = with_perplexity(base, model, "body")
     if sure is None:
         scored = scored.withColumn("threshold", F.lit(float("inf")))
     else:
+        sure = materialize(sure.select("language", "perplexity"))
         overall = sure.agg(_quantile(F.col("perplexity"), quantile)).first()[0]
         scored = scored.join(materialize(thresholds(sure, quantile)), "language", "left")
         scored = scored.withColumn("threshold", F.coalesce("threshold", F.lit(overall).cast("double"), F.lit(float("inf"))))
