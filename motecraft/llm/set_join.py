@@ -1,14 +1,15 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles: a prefix-filtered set join.
+"""The links of a Jaccard similarity between sets of word shingles, exactly: a prefix-filtered set join.
 
 Every text is the set of its shingles' XXH64. All sets are put into one order, rarest first, so two sets that are similar
 enough share a shingle among the first n - ceil(t n) + 1 of each: rows meet there, at every size of the input, and none
 that is similar is missed. The order is any that all share; a sample tells which shingles are frequent, which decides
 the work and not the result. A pair is looked at only if what follows the shared shingle can still make it similar,
-which holds at the first shared one, and is decided by the whole sets.
+which holds at the first shared one, and if a sketch of 256 SimHash bits doesn't rule it out. It is decided by the whole
+sets, which are made again only of the texts in such pairs.
 
-What counts is who hangs together, so pairs within a component need no look. A few rounds link the members at each
-shingle to one of them, a different one each round; then every pair at a shingle that is still in two components is
-decided, so nothing is left to chance.
+What counts is who hangs together, so pairs within a component need no look. First the members at each shingle are
+checked against one or two of them; then every pair at a shingle that is still in two components is decided, so nothing
+is left to chance.
 
 Defined cases: texts without words are one set, the empty one; fewer words than a shingle make one shingle; letters A to
 Z are compared in lower case; null ids count as the largest id; an empty table gives an empty result.
@@ -16,29 +17,29 @@ Z are compared in lower case; null ids count as the largest id; an empty table g
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 from .components import connected_components
-from .simhash_ball import _NO_ID, _keepers, hashes
-
-#: Documents in the sample for the order, at least; shingles known as frequent; rounds before all pairs are decided.
-SAMPLE, FREQUENT, ROUNDS = 5_000, 200_000, 2
+from .shingles import BITS, shingle_set, simhash
+
+#: Documents in the sample for the order, at least; shingles known as frequent; members at a shingle that all others are checked against.
+SAMPLE, FREQUENT, CENTRES = 5_000, 200_000, 2
+#: Words of a sketch; sets smaller than `SMALL` are compared without.
+SKETCH, SMALL = 4, 64
+#: Bits of the filter that tells most texts without a candidate pair: 16 MB, whatever the input.
+FILTER = 1 << 27
 _BATCH = 1 << 20
 
 
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """The distinct shingles of a text, ascending."""
-    return np.unique(np.concatenate([np.empty(0, np.uint64), *hashes(text, shingle)]))
-
-
 def prefix_length(n: int, similarity: Fraction) -> int:
     return n + int(-similarity * n // 1) + 1 if n else 0
 
@@ -61,10 +62,10 @@ def frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], top["n"].to_numpy(np.int64)[order]
 
 
-def prefixes(texts: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
-    """`id`, `text_hash`, `fp` (of the set), its size `n` and, in the common order, its `prefix`."""
+def sketches(texts: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
+    """`id`, `text_hash`, `fp` (of the set), its size `n`, its `sketch` and, in the common order, its `prefix`."""
     shared = texts.sparkSession.sparkContext.broadcast(frequent(texts, shingle))
-    names = ["id", "text_hash", "fp", "n", "prefix"]
+    names = ["id", "text_hash", "fp", "n", "sketch", "prefix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = shared.value
@@ -76,7 +77,7 @@ def prefixes(texts: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
             return np.where(known[at] == h, often[at], 0)
 
         def made(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
+            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
         for batch in batches:
@@ -84,8 +85,7 @@ def prefixes(texts: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
             for i, text_hash, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 h = shingle_set(text, shingle)
                 first = h[np.lexsort((h, rank(h)))[: prefix_length(len(h), similarity)]]
-                fp = np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64)
-                rows.append((i, text_hash, int(fp), len(h), first.view(np.int64)))
+                rows.append((i, text_hash, _print(h), len(h), simhash([h], SKETCH).view(np.int64), first.view(np.int64)))
                 held += len(first)
                 if held > _BATCH:
                     yield made(rows)
@@ -93,19 +93,35 @@ def prefixes(texts: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
             if rows:
                 yield made(rows)
 
-    return texts.mapInArrow(run, "id long, text_hash long, fp long, n long, prefix array<long>")
+    return texts.mapInArrow(run, "id long, text_hash long, fp long, n long, sketch array<long>, prefix array<long>")
+
+
+def _print(h: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64))
 
 
 def shingle_sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """`fp` and `hashes` of the rows of `texts` that `wanted` (`id`, `text_hash`, `fp`) names."""
+    """`fp` and `hashes` of the rows of `texts` that `wanted` (`id`, `text_hash`) names, and of a few others.
+
+    The rows are told by a filter of a fixed size, so that no text is shuffled.
+    """
+    key = F.pmod(F.xxhash64("id", "text_hash"), F.lit(FILTER))
+    words = wanted.select(F.floor(key / 64).alias("word"), (key % 64).cast("int").alias("bit")).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+    found = words.toPandas()
+    bits = np.zeros(FILTER // 64, np.int64)
+    bits[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    shared = texts.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
         for batch in batches:
-            for fp, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([fp]), pa.array([shingle_set(text, shingle).view(np.int64)])], names=["fp", "hashes"])
+            at = batch.column(0).to_numpy()
+            own = np.flatnonzero(held[at >> 6] >> (at & 63) & 1)
+            for text in batch.column(1).take(pa.array(own)).to_pylist():
+                h = shingle_set(text, shingle)
+                yield pa.RecordBatch.from_arrays([pa.array([_print(h)]), pa.array([h.view(np.int64)], pa.list_(pa.int64()))], names=["fp", "hashes"])
 
-    named = texts.join(wanted, ["id", "text_hash"]).select("fp", "text")
-    return named.mapInArrow(run, "fp long, hashes array<long>").dropDuplicates(["fp"])
+    return texts.select(key.alias("at"), "text").mapInArrow(run, "fp long, hashes array<long>").dropDuplicates(["fp"])
 
 
 def _may_be_similar(similarity: Fraction) -> Column:
@@ -114,55 +130,53 @@ def _may_be_similar(similarity: Fraction) -> Column:
     return F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) * F.lit(p + q) >= (F.col("n_a") + F.col("n_b")) * F.lit(p)
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
-    """Those of the pairs (`a`, `b`) whose whole sets are similar."""
+def bits_apart(similarity: float, bits: int, deviations: float = 6) -> int:
+    """How many bits of SimHashes differ at most at a similarity of large sets: the mean and some deviations."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(bits * share + deviations * math.sqrt(bits * share * (1 - share)))
+
+
+def _similar(pairs: DataFrame, first: DataFrame, texts: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
+    """Those of the pairs (`a`, `b`) whose whole sets are similar, each once."""
     p, q = similarity.numerator, similarity.denominator
-    pairs = materialize(pairs)
-    a, b = (sets.join(pairs.select(F.col(x).alias("fp")).distinct(), "fp", "left_semi").select(F.col("fp").alias(x), F.col("hashes").alias(f"hashes_{x}")) for x in "ab")
+    a, b = (first.select(F.col("fp").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    near = (apart <= bits_apart(float(similarity), BITS * SKETCH)) | (F.least("n_a", "n_b") < SMALL)
+    sized = F.least("n_a", "n_b") * F.lit(q) >= F.greatest("n_a", "n_b") * F.lit(p)
+    pairs = materialize(pairs.distinct().join(a, "a").join(b, "b").where(sized & near).select("a", "b"))
+    wanted = first.join(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi").select("first.*")
+    sets = materialize(shingle_sets(texts, wanted, shingle))
+    a, b = (sets.select(F.col("fp").alias(x), F.col("hashes").alias(f"hashes_{x}")) for x in "ab")
     both = pairs.join(b, "b").join(a, "a").select("a", "b", (F.size("hashes_a") + F.size("hashes_b")).alias("n"), F.size(F.array_intersect("hashes_a", "hashes_b")).alias("shared"))
     return both.where(F.col("shared") * F.lit(q) >= (F.col("n") - F.col("shared")) * F.lit(p)).select("a", "b")
 
 
-def _apart(met: DataFrame, edges: DataFrame | None) -> DataFrame:
-    """The rows at shingles where more than one component meets, with their `component`."""
-    if edges is None:
-        return met.withColumn("component", F.col("fp"))
-    joined = connected_components(edges)
-    now = met.join(joined, met["fp"] == joined["node"], "left").select(*met.columns, F.coalesce("component", "fp").alias("component"))
-    at = Window.partitionBy("key")
-    now = now.select("*", F.min("component").over(at).alias("least"), F.max("component").over(at).alias("most"))
-    return now.where("least <> most").drop("least", "most")
-
+def _with_key(rows: DataFrame, *found: Column, where: str) -> DataFrame:
+    """`rows` at the keys for which `where` holds of the aggregates `found`, which become columns.
 
-def links(first: DataFrame, texts: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
-    """Edges (`a`, `b`) that join exactly the sets of `first` (`fp`, `first`, `n`, `prefix`) at `similarity`, directly or over others."""
-    emitted = first.select("fp", "n", F.posexplode("prefix").alias("at", "key"))
-    met = emitted.withColumn("here", F.count("*").over(Window.partitionBy("key"))).where("here > 1").drop("here")
-    met = materialize(met)
-    wanted = materialize(first.select("first.*", "fp").join(met.select("fp").distinct(), "fp", "left_semi").select("id", "text_hash", "fp"))
-    sets = materialize(shingle_sets(texts, wanted, shingle))
-    may, edges = _may_be_similar(similarity), None
-    for salt in range(ROUNDS):
-        left = _apart(met, edges)
-        own = F.struct(F.xxhash64("fp", F.lit(salt)), "fp", "n", "at", "component")
-        star = left.withColumn("to", F.min(own).over(Window.partitionBy("key"))).where("component <> to.component")
-        star = star.select(F.col("to.fp").alias("a"), F.col("to.n").alias("n_a"), F.col("to.at").alias("at_a"), F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
-        found = _similar(star.where(may).select("a", "b").distinct(), sets, similarity)
-        edges = materialize(found if edges is None else edges.union(found))
-    left = materialize(_apart(met, edges))
-    a, b = (left.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("fp", "n", "at", "component")]) for x in "ab")
-    pairs = a.join(b, "key").where(F.col("fp_a") < F.col("fp_b")).where("component_a <> component_b").where(may)
-    return edges.union(_similar(pairs.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct(), sets, similarity))
+    The aggregates are written, so that both sides of the join are dealt anew and Spark can split a key with many rows.
+    """
+    return rows.join(materialize(rows.groupBy("key").agg(*found).where(where)), "key")
 
 
-def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """`id`, `text_hash`, `fp` and `keeper` of every row, exactly by a Jaccard similarity of shingles.
+def links(first: DataFrame, texts: DataFrame, shingle: int, similarity: Fraction, candidates: DataFrame) -> DataFrame:
+    """Edges (`a`, `b`) that join exactly the sets of `first` at `similarity`, directly or over others.
 
-    `keeper` is, of all rows reachable over similar ones, the smallest struct of id and text hash.
+    `candidates` are pairs to be looked at in any case.
     """
-    least = Fraction(str(similarity))
-    texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
-    rows = materialize(prefixes(texts, shingle, least))
-    first = materialize(rows.groupBy("fp").agg(F.min(F.struct("id", "text_hash")).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    edges = links(first, texts, shingle, least)
-    return _keepers(rows.select("id", "text_hash", "fp"), first.select("fp", "first"), edges)
+    may = _may_be_similar(similarity)
+    emitted = first.select("fp", "n", F.posexplode("prefix").alias("at", "key"))
+    # a row with the least hash of each salt is the centre; where one row is alone there is none
+    own = [F.min(F.struct(F.xxhash64("fp", F.lit(salt)), "fp", "n", "at")).alias(f"to_{salt}") for salt in range(CENTRES)]
+    met = materialize(_with_key(emitted, F.count("*").alias("here"), *own, where="here > 1").drop("here"))
+    for salt in range(CENTRES):
+        to = F.col(f"to_{salt}")
+        star = met.where(to["fp"] != F.col("fp")).select(to["fp"].alias("a"), to["n"].alias("n_a"), to["at"].alias("at_a"), F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
+        candidates = candidates.union(star.where(may).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    edges = materialize(_similar(candidates, first, texts, shingle, similarity))
+    joined = connected_components(edges)
+    now = materialize(met.join(joined, met["fp"] == joined["node"], "left").select("key", "fp", "n", "at", F.coalesce("component", "fp").alias("component")))
+    left = materialize(_with_key(now, F.min("component").alias("least"), F.max("component").alias("most"), where="least <> most").drop("least", "most"))
+    a, b = (left.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("fp", "n", "at", "component")]) for x in "ab")
+    pairs = a.join(b, "key").where(F.col("fp_a") < F.col("fp_b")).where("component_a <> component_b").where(may)
+    return edges.union(_similar(pairs.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")), first, texts, shingle, similarity))

@@ -9,6 +9,9 @@ First, fingerprints without any neighbour are set aside, by the same idea on hal
 at most 2, so neighbours share a value within one bit of a half (66 rows each). A value with two fingerprints is checked
 at once; where three or more meet, all of them go on. That is exact: it sets aside only fingerprints that link to none.
 
+`one_of_each` needs a Jaccard similarity, for which pairs within the radius are only the nearest: they are verified by
+their shingle sets, and an exact set join adds the links that the radius doesn't reach.
+
 Defined cases: a null text, an empty one and one without words have fingerprint zero and link like any other; fewer
 words than a shingle make one shingle; repeated rows and equal texts share a fingerprint; null ids count as the largest
 id; an empty table gives an empty result; columns of the input other than id and text are not looked at.
@@ -16,67 +19,41 @@ id; an empty table gives an empty result; columns of the input other than id and
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import set_join
 from .common import materialize
 from .components import connected_components
+from .shingles import BITS, NO_ID, hashes, simhash
 
-BITS, RADIUS, SEED = 64, 4, 42
-_NO_ID = 2**63 - 1
-_CHUNK = 1 << 15
-
-
-def hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
-    """XXH64 of a text's word shingles, in pieces."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return
-    joined, ends = b" ".join(words), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    last, digest = min(shingle, len(words)) - 1, xxhash.xxh64_intdigest
-    first = np.concatenate(([0], ends[:-1] + 1))[: len(words) - last].tolist()
-    spans = list(zip(first, ends[last:].tolist(), strict=True))
-    for k in range(0, len(spans), _CHUNK):
-        yield np.array([digest(joined[a:b], SEED) for a, b in spans[k : k + _CHUNK]], np.uint64)
-
+RADIUS = 4
 
-def _stream(h: np.ndarray, k: int) -> np.ndarray:
-    """The k-th of independent hashes made from one; the first is the hash itself."""
-    if not k:
-        return h
-    z = h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
 
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """SimHash of a text's word shingles, repeats included, as a signed long."""
+    return int(simhash(hashes(text, shingle)).view(np.int64)[0])
 
-def fingerprint(text: str | None, shingle: int = 4, words: int = 1) -> np.ndarray:
-    """SimHash of a text's word shingles, repeats included: `words` unsigned 64-bit numbers, zero without any word."""
-    counts, n = np.zeros((words, BITS), np.int64), 0
-    for h in hashes(text, shingle):
-        for k in range(words):
-            counts[k] += np.unpackbits(_stream(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        n += len(h)
-    return np.packbits(2 * counts > n, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
-
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, words: int = 1) -> DataFrame:
-    """`id` (long, never null), `text_hash` and `fp` (the fingerprint's numbers as signed longs) of every row."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
+    """`id` (long, never null), `text_hash` and `fp` of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t, shingle, words).view(np.int64) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["id", "text_hash", "fp"])
+            found = [fingerprint(t, shingle) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], names=["id", "text_hash", "fp"])
+
+    return _read(docs, doc_id, text).mapInArrow(run, "id long, text_hash long, fp long")
 
-    read = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
-    return read.mapInArrow(run, "id long, text_hash long, fp array<long>")
+
+def _read(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
 
 
 def _masks(bits: int, flips: int) -> list[int]:
@@ -115,7 +92,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle
 
     `keeper` is, of all rows reachable over such links, the smallest struct of id and text hash.
     """
-    rows = materialize(fingerprints(docs, doc_id, text, shingle).withColumn("fp", F.col("fp")[0]))
+    rows = materialize(fingerprints(docs, doc_id, text, shingle))
     first = materialize(rows.groupBy("fp").agg(F.min(F.struct("id", "text_hash")).alias("first")))
     return _keepers(rows, first, links(first.select("fp"), radius))
 
@@ -128,49 +105,35 @@ def _keepers(rows: DataFrame, first: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.join(member.join(keeper, "component").select("fp", "keeper"), "fp")
 
 
-def bits_apart(similarity: float, bits: int) -> int:
-    """How many bits of a fingerprint differ at a Jaccard similarity of shingles: the mean and one deviation."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * share + math.sqrt(bits * share * (1 - share)))
+def _near(first: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs (`a`, `b`) of sets that join all whose SimHash, the first word of their `sketch`, is equal or within `radius` bits."""
+    held = first.select("fp", F.col("sketch")[0].alias("print"))
+    one = materialize(held.groupBy("print").agg(F.min("fp").alias("a")))
+    edges = links(one.select(F.col("print").alias("fp")), radius)
+    to_a, to_b = (one.select(F.col("print").alias(p), F.col("a").alias(x)) for p, x in (("a", "x"), ("b", "y")))
+    across = edges.join(to_a, "a").join(to_b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return across.union(held.join(one, "print").where("a <> fp").select("a", F.col("fp").alias("b")))
 
 
-def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, tables: int = 12, spare: int = 12) -> DataFrame:
-    """`id`, `text_hash`, `fp` and `keeper` of every row, by an estimated Jaccard similarity of shingles.
+def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """`id`, `text_hash`, `fp` and `keeper` of every row, by a Jaccard similarity of shingles.
 
-    At 0.8, fingerprints differ in 15 % of their bits, for which no ball of a whole fingerprint is small enough. So the
-    fingerprint is made longer, and balls are hashed on `tables` parts of it: a pair meets if in one part it differs in
-    at most two bits, and is verified over all bits. A part has `spare` bits more than it takes to number the documents,
-    which keeps chance meetings few at any size. In each part a fingerprint is checked against the smallest one that it
-    meets, so that a crowd of similar texts makes no more pairs than it has members, and still hangs together. Pairs can
-    be missed; the README has the measured share.
+    `keeper` is, of all rows reachable over similar ones, the smallest struct of id and text hash. Ball hashing finds
+    the sets whose SimHashes are within 4 bits, which is most copies but few of the pairs that are just similar enough:
+    at 0.8, SimHashes differ in 15 % of their bits. An exact join of the sets finds the other links. All pairs are
+    decided by the sets themselves.
     """
-    bits = max(20, math.ceil(math.log2(max(2, docs.count()))) + spare)
-    words = -(-tables * bits // BITS)
-    rows = materialize(fingerprints(docs, doc_id, text, shingle, words).select("id", "text_hash", F.xxhash64("fp").alias("fp"), F.col("fp").alias("words")))
-    first = materialize(rows.groupBy("fp").agg(F.min(F.struct("id", "text_hash")).alias("first"), F.min("words").alias("words")))
-    ball, mask = _masks(bits, 1), F.lit((1 << bits) - 1).cast("long")
-
-    def variants(t: int) -> Column:
-        word, at = divmod(t * bits, BITS)
-        part = F.shiftrightunsigned(F.col("words")[word], at)
-        if at + bits > BITS:
-            part = part.bitwiseOR(F.shiftleft(F.col("words")[word + 1], BITS - at))
-        return F.transform(_around(part.bitwiseAND(mask), ball), lambda v: v.bitwiseOR(F.lit(t << bits).cast("long")))
-
-    emitted = first.select("fp", F.explode(F.concat(*[variants(t) for t in range(tables)])).alias("key"))
-    met = emitted.select("fp", F.shiftrightunsigned("key", bits).alias("part"), F.min("fp").over(Window.partitionBy("key")).alias("a")).where("a <> fp")
-    found = met.groupBy("fp", "part").agg(F.min("a").alias("a")).select("a", F.col("fp").alias("b")).distinct()
-    a, b = (first.select(F.col("fp").alias(x), F.col("words").alias(f"words_{x}")) for x in "ab")
-    apart = F.aggregate(F.zip_with("words_a", "words_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    edges = found.join(a, "a").join(b, "b").where(apart <= bits_apart(similarity, BITS * words)).select("a", "b")
-    return _keepers(rows, first.select("fp", "first"), edges)
+    least, texts = Fraction(str(similarity)), _read(docs, doc_id, text)
+    rows = materialize(set_join.sketches(texts, shingle, least))
+    picked = [F.first(c).alias(c) for c in ("n", "sketch", "prefix")]
+    first = materialize(rows.groupBy("fp").agg(F.min(F.struct("id", "text_hash")).alias("first"), *picked))
+    edges = set_join.links(first, texts, shingle, least, _near(first))
+    return _keepers(rows.select("id", "text_hash", "fp"), first.select("fp", "first"), edges)
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of `docs` that stay: of every class of similar texts, by their exact similarity, the one with the smallest id."""
-    from . import set_join
-
-    keys = {"_keeper_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)), "_keeper_hash": F.xxhash64(F.col(text))}
-    kept = set_join.similar_classes(docs, doc_id, text, shingle, similarity).select("keeper.*").distinct().toDF(*keys)
+    """The rows of `docs` that stay: of every class of similar texts the one with the smallest id."""
+    keys = {"_keeper_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), "_keeper_hash": F.xxhash64(F.col(text))}
+    kept = similar_classes(docs, doc_id, text, shingle, similarity).select("keeper.*").distinct().toDF(*keys)
     stay = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[v.alias(k) for k, v in keys.items()])
     return stay.join(kept, list(keys), "left_semi").dropDuplicates(list(keys)).select("row.*")
