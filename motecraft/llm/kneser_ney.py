@@ -1,10 +1,13 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of characters.
 
-All text that is trusted is counted: four-grams of characters, each character put into one of 64 classes (letters,
-other letters, capitals, digits, marks), so that capitals and symbols out of place are unlikely. Lower orders count in
-how many contexts an n-gram stands. The counts stay in tables; discounts, context totals and interpolation weights come
-from joins of an n-gram's row with its context's and its shorter n-gram's, sharded by those keys. What leaves them are
-the probabilities, at most 64^4 of them whatever the corpus, which scoring looks up in one dense table of 64 MB.
+All text that is trusted is counted: five-grams of characters, as they are, so that the tables grow with the text. Lower
+orders count in how many contexts an n-gram stands. Counts stay in tables sharded by n-gram; discounts, context totals
+and interpolation come from joins of an n-gram's row with its context's and its shorter n-gram's.
+
+Perplexity comes from joins, too. Documents are stored in batches of some 16 MB. A batch asks for each n-gram in it once,
+with its counts over the batch's trusted documents, so that what is shuffled are a batch's distinct n-grams and not the
+text; the answers come back to the batch, whose documents add them up. The stored batches are bucketed, so that texts are
+never shuffled.
 
 A document passes if its perplexity is at most a high quantile of the trusted documents of its language, or of all
 trusted ones where its language has none. As the model knows the text it counted too well to set thresholds on it, each
@@ -13,226 +16,255 @@ little more than their largest, so it is shrunk towards the language's mean log-
 that all languages share, widened by what the mean of few documents may be off; and it is never below the own quantile.
 
 Defined cases: a null or empty text has no perplexity and doesn't pass; without any trusted text to count, or too
-little to set a threshold, nothing is known and every document with text passes; repeated rows are judged alike; an empty table gives an empty result; columns of the
-inputs other than id, text, lang and quality are not looked at.
+little to set a threshold, nothing is known and every document with text passes; a text of any length is read in pieces;
+equal texts and repeated rows are judged alike, ties at the threshold pass; an empty table gives an empty result; columns
+of the inputs other than id, text, lang and quality are not looked at, whatever their names. The characters U+0000 and
+U+0002 count as one and the same in all texts, the start of a text.
 """
 
 from __future__ import annotations
 
-import string
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import fold_remainder, materialize
+from .common import fold_remainder, materialize, scratch_folder
 
-CLASSES, ORDER = 64, 4
+ORDER = 5
 QUANTILE = 0.995
 #: Folds of the trusted documents; each is scored with the counts of the others.
-FOLDS = 5
-_CHUNK = 1 << 23
-_STEP = 1 << 20
-_MARKS = "\n.,;:!?-'\"()"
-
-
-def _class_table() -> np.ndarray:
-    """The class of each code point below 65,536; 0 is the start of a text."""
-    points = [chr(i) for i in range(1 << 16)]
-    own = {c: 1 + i for i, c in enumerate(string.ascii_lowercase)} | {c: 27 + i for i, c in enumerate(_MARKS)}
-    at = 27 + len(_MARKS)
-
-    def one(c: str) -> int:
-        if c in own:
-            return own[c]
-        if c.isspace():
-            return at
-        if c.isdigit():
-            return at + 1
-        if c.isalpha():
-            return at + 2 + ord(c) % 6 if c.isupper() else at + 8 + ord(c) % 14
-        return at + 22 + ord(c) % 3
-
-    return np.array([one(c) for c in points], np.uint8)
-
-
-_CLASS = _class_table()
+FOLDS = 3
+#: Characters in a batch of documents, and in a piece of a text.
+BATCH, STEP = 1 << 24, 1 << 20
+START = 2
 
 
-def grams(text: str | None) -> Iterator[np.ndarray]:
-    """Codes of the four-grams of a text, in pieces; the text is preceded by three starts."""
-    if not text:
-        return
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    classes = np.concatenate((np.zeros(ORDER - 1, np.int64), _CLASS[np.minimum(points, 0xFFFF)].astype(np.int64)))
-    for k in range(0, len(points), _STEP):
-        c = classes[k : k + _STEP + ORDER - 1]
-        yield ((c[:-3] * CLASSES + c[1:-2]) * CLASSES + c[2:-1]) * CLASSES + c[3:]
-
-
-def count_folds(docs: DataFrame, fold: str = "fold", text: str = "text") -> DataFrame:
-    """`fold`, `gram`, `n` over all texts."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts, held = [], 0
-
-        def counted() -> pd.DataFrame:
-            codes, n = np.unique(np.concatenate([*parts, np.empty(0, np.int32)]), return_counts=True)
-            return pd.DataFrame({"fold": codes // CLASSES**ORDER, "gram": codes % CLASSES**ORDER, "n": n})
-
-        for batch in batches:
-            for k, value in zip(batch["fold"], batch["text"], strict=True):
-                for codes in grams(value):
-                    parts.append((codes + k * CLASSES**ORDER).astype(np.int32))
-                    held += len(codes)
-                    if held >= _CHUNK:
-                        yield counted()
-                        parts, held = [], 0
-        yield counted()
+def windows(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The n-grams of texts, in pieces: characters, where in them n-grams begin, and which text each is of.
 
-    read = docs.select(F.col(fold).cast("int").alias("fold"), F.col(text).alias("text"))
-    return read.mapInPandas(run, "fold int, gram long, n long").groupBy("fold", "gram").agg(F.sum("n").alias("n"))
-
-
-def count_grams(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`gram`, `n` over all texts."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, held = np.zeros(CLASSES**ORDER, np.uint32), 0
-
-        def counted() -> pd.DataFrame:
-            at = np.flatnonzero(total)
-            return pd.DataFrame({"gram": at, "n": total[at].astype(np.int64)})
+    Each text is preceded by starts, so that it has as many n-grams as characters.
+    """
 
+    def joined(parts: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = np.array([len(p) - ORDER + 1 for _, p in parts])
+        at = np.arange(n.sum()) + np.repeat(np.arange(len(parts)) * (ORDER - 1), n)
+        return np.concatenate([p for _, p in parts]), at, np.repeat([i for i, _ in parts], n)
+
+    held, size = [], 0
+    for i, text in enumerate(texts):
+        points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
+        padded = np.concatenate((np.full(ORDER - 1, START, np.uint32), np.where(points == 0, np.uint32(START), points)))
+        for k in range(0, len(points), STEP):
+            held.append((i, padded[k : k + STEP + ORDER - 1]))
+            size += len(held[-1][1])
+            if size >= STEP:
+                yield joined(held)
+                held, size = [], 0
+    if held:
+        yield joined(held)
+
+
+def _keys(points: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the n-grams at `at`, which tell them apart within a batch."""
+    h = np.zeros(len(points), np.uint64)
+    for k in range(ORDER):
+        h[: len(points) - k] = (h[: len(points) - k] ^ points[k:]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h[at]
+
+
+def _strings(points: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(points[at[:, None] + np.arange(ORDER)]).view(f"<U{ORDER}").ravel()
+
+
+def seen(texts: list[str | None], folds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of texts, and how often each stands in the texts of each fold; a fold of -1 is none."""
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys, first, back = np.unique(np.concatenate([k for k, _, _ in parts]), return_index=True, return_inverse=True)
+        counts = np.concatenate([n for _, _, n in parts])
+        total = np.stack([np.bincount(back, counts[:, f], len(keys)) for f in range(FOLDS)], axis=1)
+        return keys, np.concatenate([g for _, g, _ in parts])[first], total.astype(np.int64)
+
+    for points, at, owner in windows(texts):
+        keys, first, back = np.unique(_keys(points, at), return_index=True, return_inverse=True)
+        own = folds[owner]
+        counts = np.stack([np.bincount(back[own == f], minlength=len(keys)) for f in range(FOLDS)], axis=1)
+        parts.append((keys, _strings(points, at[first]), counts))
+        if len(parts) > 16:
+            parts = [merged()]
+    if not parts:
+        return np.empty(0, f"<U{ORDER}"), np.zeros((0, FOLDS), np.int64)
+    return merged()[1:]
+
+
+def log_sums(texts: list[str | None], grams: list[str], logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text the sums of `logs` (a column per model) over its n-grams, and their number."""
+    total, n = np.zeros((len(texts), logs.shape[1])), np.zeros(len(texts), np.int64)
+    if not len(grams):
+        return total, n
+    points = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32)
+    known = _keys(points, np.arange(len(grams)) * ORDER)
+    order = np.argsort(known)
+    known, logs = known[order], logs[order]
+    for points, at, owner in windows(texts):
+        where = np.searchsorted(known, _keys(points, at))
+        for m in range(logs.shape[1]):
+            total[:, m] += np.bincount(owner, logs[where, m], len(texts))
+        n += np.bincount(owner, minlength=len(texts))
+    return total, n
+
+
+def _stored(docs: DataFrame) -> DataFrame:
+    """`docs` (with a `body`) with the number of their batch, in a table bucketed by it."""
+    kind = StructType([*docs.schema, StructField("batch", LongType())])
+    body = docs.columns.index("body")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            for value in batch["text"]:
-                for codes in grams(value):
-                    if held + len(codes) >= 1 << 32:
-                        yield counted()
-                        total[:], held = 0, 0
-                    np.add.at(total, codes, np.uint32(1))
-                    held += len(codes)
-        yield counted()
-
-    return docs.select(F.col(text).alias("text")).mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+            sizes = [len(t or "") for t in batch.column(body).to_pylist()]
+            numbers = []
+            for size in sizes:
+                if held and held + size > BATCH:
+                    at, held = at + 1, 0
+                held += size
+                numbers.append(at)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], names=[*batch.schema.names, "batch"])
 
+    spark, name = docs.sparkSession, f"batches_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made = docs.mapInArrow(run, kind).write.bucketBy(buckets, "batch").option("path", f"{scratch_folder(spark)}/{name}").option("compression", "zstd")
+    made.saveAsTable(name)
+    return spark.table(name)
 
-def _discounts(counted: DataFrame) -> list[float]:
-    """The modified discounts for counts of 1, 2 and 3 or more."""
-    row = counted.agg(*[F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
-    n = [max(1, row[f"n{k}"]) for k in (1, 2, 3, 4)]
-    y = n[0] / (n[0] + 2 * n[1])
-    return [min(0.95 * k, max(0.05, k - (k + 1) * y * n[k] / n[k - 1])) for k in (1, 2, 3)]
 
+#: Counts of each fold; a model leaves one fold out, and the last model leaves out none.
+_COUNTS = [f"n{f}" for f in range(FOLDS)]
+MODELS = range(FOLDS + 1)
 
-def _order(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of one order: each n-gram's discounted share, and each context's weight for the shorter n-gram."""
-    d = _discounts(counted)
-    cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-    keyed = counted.select("gram", "n", cut.alias("cut"), F.floor(F.col("gram") / CLASSES).alias("context"))
-    contexts = keyed.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("left"))
-    shares = keyed.join(contexts, "context").select("gram", ((F.col("n") - F.col("cut")) / F.col("total")).alias("share"))
-    return shares, contexts.select("context", (F.col("left") / F.col("total")).alias("weight"))
 
+def _each(make) -> list[Column]:
+    """A column for each model."""
+    return [make(m) for m in MODELS]
 
-def probabilities(counted: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """Shares and context weights of the orders 1 to 4, from the counts of four-grams."""
-    levels, now = [], counted
-    for order in range(ORDER, 0, -1):
-        levels.append(tuple(materialize(x) for x in _order(now)))
-        if order > 1:
-            now = materialize(now.groupBy((F.col("gram") % CLASSES ** (order - 1)).alias("gram")).agg(F.count("*").alias("n")))
-    return levels[::-1]
 
+def _discounts(level: DataFrame) -> list[list[float]]:
+    """Of each model, the modified discounts for counts of 1, 2 and 3 or more."""
+    row = level.agg(*[F.count_if(F.col(f"c{m}") == k).alias(f"c{m}_{k}") for m in MODELS for k in (1, 2, 3, 4)]).first()
+    found = []
+    for m in MODELS:
+        n = [max(1, row[f"c{m}_{k}"]) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        found.append([min(0.95 * k, max(0.05, k - (k + 1) * y * n[k] / n[k - 1])) for k in (1, 2, 3)])
+    return found
 
-@dataclass
-class Model:
-    """Shares of the seen n-grams and weights of the seen contexts, by order; at most 64^4 entries."""
 
-    shares: list[tuple[np.ndarray, np.ndarray]]
-    weights: list[tuple[np.ndarray, np.ndarray]]
-
-    def table(self) -> np.ndarray:
-        """The log-probability of each four-gram's last class after the first three."""
-        p = np.full(CLASSES, 1 / CLASSES, np.float32)
-        for k in range(ORDER):
-            now, weight = np.zeros((CLASSES**k, CLASSES), np.float32), np.ones(CLASSES**k, np.float32)
-            now.reshape(-1)[self.shares[k][0]] = self.shares[k][1]
-            weight[self.weights[k][0]] = self.weights[k][1]
-            shorter = p.reshape(-1, CLASSES)
-            for i in range(0, len(now), len(shorter)):
-                now[i : i + len(shorter)] += weight[i : i + len(shorter), None] * shorter
-            p = now.reshape(-1)
-        return np.log(p, out=p)
-
-
-def train(docs: DataFrame, text: str = "text") -> Model | None:
-    """A model of all texts of `docs`."""
-    return model_of(materialize(count_grams(docs, text)))
+def log_probabilities(counted: DataFrame) -> DataFrame:
+    """`gram` and, of each model m, the log-probability `p{m}` of its last character after the others.
 
+    `counted` has all n-grams that are asked for, with the models' counts `c{m}`, which may be zero.
+    """
+    levels = [counted]
+    for _ in range(ORDER - 1):
+        shorter = levels[-1].groupBy(F.expr("substring(gram, 2)").alias("gram"))
+        levels.append(materialize(shorter.agg(*_each(lambda m: F.count_if(F.col(f"c{m}") > 0).alias(f"c{m}")))))
+    p = None
+    for order, level in enumerate(reversed(levels), 1):
+        d = _discounts(level)
+        cut = _each(lambda m, d=d: F.when(F.col(f"c{m}") == 0, 0.0).when(F.col(f"c{m}") == 1, d[m][0]).when(F.col(f"c{m}") == 2, d[m][1]).otherwise(d[m][2]))
+        level = level.select("gram", F.substring("gram", 1, order - 1).alias("context"), *_each(lambda m: F.col(f"c{m}")), *_each(lambda m, cut=cut: cut[m].alias(f"d{m}")))
+        contexts = level.groupBy("context").agg(*_each(lambda m: F.sum(f"c{m}").alias(f"t{m}")), *_each(lambda m: F.sum(f"d{m}").alias(f"w{m}")))
+        now = level.join(contexts, "context")
+        if p is None:
+            # all that is known of a character never seen is that it is one more than those seen
+            size = level.agg(*_each(lambda m: F.count_if(F.col(f"c{m}") > 0).alias(f"c{m}"))).first()
+            lower = _each(lambda m, size=size: F.lit(1.0 / (size[m] + 1)))
+        else:
+            now = now.join(p.withColumnRenamed("gram", "shorter"), F.expr("substring(gram, 2)") == F.col("shorter"))
+            lower = _each(lambda m: F.col(f"p{m}"))
+        p = now.select("gram", *_each(lambda m, lower=lower: F.when(F.col(f"t{m}") > 0, (F.col(f"c{m}") - F.col(f"d{m}") + F.col(f"w{m}") * lower[m]) / F.col(f"t{m}")).otherwise(lower[m]).alias(f"p{m}")))
+    return p.select("gram", *_each(lambda m: F.ln(f"p{m}").alias(f"p{m}")))
+
+
+def count(stored: DataFrame, trusted: DataFrame) -> DataFrame:
+    """`batch`, `gram` and its counts in each fold: a row for each n-gram of a batch of `stored`.
+
+    `trusted` has `batch`, `trusted_id` and `fold`.
+    """
 
-def model_of(counted: DataFrame) -> Model | None:
-    """A model of counts (`gram`, `n`)."""
-    if counted.isEmpty():
-        return None
-    levels = [tuple(x.toPandas() for x in pair) for pair in probabilities(counted)]
-    column = lambda t, k: (t[k].to_numpy(np.int64), t.iloc[:, 1].to_numpy(np.float32))
-    return Model([column(s, "gram") for s, _ in levels], [column(w, "context") for _, w in levels])
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        folds = dict(zip(right["trusted_id"].to_pylist(), right["fold"].to_pylist(), strict=True))
+        own = np.array([folds.get(i, -1) for i in left["id"].to_pylist()], np.int64)
+        grams, n = seen(left["body"].to_pylist(), own)
+        batch = left["batch"].to_pylist()[:1] * len(grams)
+        return pa.table([pa.array(batch, pa.int64()), pa.array(grams.tolist(), pa.string()), *(pa.array(n[:, f]) for f in range(FOLDS))], names=["batch", "gram", *_COUNTS])
 
+    texts = stored.select("batch", "id", "body")
+    return texts.groupBy("batch").cogroup(trusted.groupBy("batch")).applyInArrow(run, f"batch long, gram string, {', '.join(f'{n} long' for n in _COUNTS)}")
 
-def perplexity_of(text: str | None, table: np.ndarray) -> float | None:
-    total = n = 0
-    for codes in grams(text):
-        total += float(table[codes].sum(dtype=np.float64))
-        n += len(codes)
-    return float(np.exp(-total / n)) if n else None
 
+def score(stored: DataFrame, logs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """`row`, `language`, `perplexity` and, of trusted documents, `apart`: the perplexity under the other folds' model.
 
-def with_perplexity(docs: DataFrame, model: Model, text: str = "text", column: str = "perplexity") -> DataFrame:
-    """`docs` with one more column."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    `logs` has `batch`, `gram` and the columns of `log_probabilities`; `trusted` as in `count`.
+    """
+    names = [f"p{m}" for m in MODELS]
+    answers = logs.withColumns({"trusted_id": F.lit(None).cast(trusted.schema["trusted_id"].dataType), "fold": F.lit(None).cast("int")})
+    known = trusted.select("batch", F.lit(None).cast("string").alias("gram"), *[F.lit(None).cast("float").alias(n) for n in names], "trusted_id", "fold")
+    kind = StructType([*stored.select("row", "language").schema, StructField("perplexity", DoubleType()), StructField("apart", DoubleType())])
 
-    @F.pandas_udf("double")
-    def perplexity(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = shared.value.table()
-        for batch in texts:
-            yield pd.Series([perplexity_of(t, table) for t in batch], dtype=float)
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        is_gram = pa.compute.is_valid(right["gram"])
+        found, others = right.filter(is_gram), right.filter(pa.compute.invert(is_gram))
+        folds = dict(zip(others["trusted_id"].to_pylist(), others["fold"].to_pylist(), strict=True))
+        logs = np.stack([found[n].to_numpy() for n in names], axis=1)
+        total, n = log_sums(left["body"].to_pylist(), found["gram"].to_pylist(), logs)
+        fold = [folds.get(i) for i in left["id"].to_pylist()]
+        value = lambda i, m: float(np.exp(-total[i, m] / n[i])) if m is not None and n[i] else None
+        columns = [[value(i, FOLDS) for i in range(len(n))], [value(i, f) for i, f in enumerate(fold)]]
+        return pa.table([left["row"], left["language"], *(pa.array(c, pa.float64()) for c in columns)], names=["row", "language", "perplexity", "apart"])
 
-    return docs.withColumn(column, F.nanvl(perplexity(text), F.lit(None).cast("double")))
+    texts = stored.select("batch", "id", "row", "language", "body")
+    return texts.groupBy("batch").cogroup(answers.unionByName(known).groupBy("batch")).applyInArrow(run, kind)
 
 
-def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """`row` (the input row), `perplexity`, `threshold` and `kept` of every row.
+def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", keep: list[str] | None = None) -> DataFrame:
+    """`row` (the input row, or its columns `keep`), `perplexity`, `threshold` and `kept` of every row.
 
     Trusted are the documents whose `quality` in `labels` is 1.
     """
-    trusted = labels.where("quality = 1").select(F.col("doc_id").alias("trusted_id")).distinct()
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns])
     base = docs.select(row.alias("row"), F.col(doc_id).alias("id"), F.coalesce(F.col(lang), F.lit("")).alias("language"), F.col(text).alias("body"))
-    # the labels grow with the corpus: sorted and merged at every size, so that a small run has the plan of a large one
-    known = base.select("id", "language", "body").join(trusted.hint("merge"), F.col("id") == F.col("trusted_id"), "left_semi")
-    known = known.withColumn("fold", fold_remainder(F.col("id"), FOLDS))
-    counted = materialize(count_folds(known, text="body"))
-    model = model_of(materialize(counted.groupBy("gram").agg(F.sum("n").alias("n"))))
-    if model is None:
-        return base.select("row", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), (F.length("body") > 0).alias("kept"))
-    sure = None
-    for k in range(FOLDS):
-        others = model_of(materialize(counted.where(F.col("fold") != k).groupBy("gram").agg(F.sum("n").alias("n"))))
-        if others is not None:
-            fold = base.where(fold_remainder(F.col("id"), FOLDS) == k).select("id", "language", "body")
-            scored = materialize(with_perplexity(fold, others, "body").where("perplexity is not null").select("id", "language", "perplexity"))
-            scored = scored.join(trusted, F.col("id") == F.col("trusted_id"), "left_semi")
-            sure = scored if sure is None else sure.union(scored)
-    scored = with_perplexity(base, model, "body")
-    if sure is None:
+    trusted = labels.where("quality = 1").select(F.col("doc_id").alias("trusted_id")).where("trusted_id is not null").distinct()
+    stored = _stored(base)
+    trusted = stored.select("batch", "id").join(trusted, F.col("id") == F.col("trusted_id")).select("batch", "trusted_id").distinct()
+    trusted = materialize(trusted.withColumn("fold", fold_remainder(F.col("trusted_id"), FOLDS).cast("int")))
+    asked = materialize(count(stored, trusted))
+    sums = [F.sum(n).alias(n) for n in _COUNTS]
+    everything = sum((F.col(n) for n in _COUNTS[1:]), F.col(_COUNTS[0]))
+    counted = asked.groupBy("gram").agg(*sums).select("gram", *_each(lambda m: (everything - F.col(_COUNTS[m]) if m < FOLDS else everything).alias(f"c{m}")))
+    counted = materialize(counted)
+    sizes = counted.agg(*_each(lambda m: F.sum(f"c{m}"))).first()
+    if not sizes[FOLDS]:
+        unknown = F.lit(None).cast("double")
+        return base.select("row", unknown.alias("perplexity"), unknown.alias("threshold"), (F.length("body") > 0).alias("kept"))
+    # a probability and its logarithm need no more than a float
+    logs = log_probabilities(counted).select("gram", *_each(lambda m: F.col(f"p{m}").cast("float").alias(f"p{m}")))
+    able = trusted.where(F.col("fold").isin([f for f in range(FOLDS) if sizes[f]]))
+    scored = materialize(score(stored, asked.select("batch", "gram").join(materialize(logs), "gram"), able))
+    sure = scored.where("apart is not null").select("language", F.col("apart").alias("perplexity"))
+    if sure.isEmpty():
         scored = scored.withColumn("threshold", F.lit(float("inf")))
     else:
-        sure = materialize(sure.select("language", "perplexity"))
         overall = sure.agg(_quantile(F.col("perplexity"), quantile)).first()[0]
         scored = scored.join(materialize(thresholds(sure, quantile)), "language", "left")
         scored = scored.withColumn("threshold", F.coalesce("threshold", F.lit(overall).cast("double"), F.lit(float("inf"))))

@@ -46,7 +46,7 @@ def op7_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = kneser_ney.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    judged = kneser_ney.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id", "lang"])
     return judged.select("row.doc_id", "row.lang", "perplexity", "threshold", "kept")
 
 

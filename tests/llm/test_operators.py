@@ -321,10 +321,10 @@ def test_components_of_chains_and_stars(spark):
 # perplexity
 
 
-def brute_kneser_ney(counts):
-    """Log-probabilities of all seen four-grams, straight from the definition."""
-    levels = {4: Counter(counts)}
-    for order in (3, 2, 1):
+def brute_kneser_ney(counts, alphabet):
+    """The probability of an n-gram's last character, straight from the definition."""
+    levels = {kneser_ney.ORDER: Counter(counts)}
+    for order in range(kneser_ney.ORDER - 1, 0, -1):
         levels[order] = Counter(g[1:] for g in levels[order + 1])
 
     def discounts(level):
@@ -336,7 +336,7 @@ def brute_kneser_ney(counts):
 
     def p(gram):
         k = len(gram)
-        lower = p(gram[1:]) if k > 1 else 1 / 64
+        lower = p(gram[1:]) if k > 1 else 1 / (alphabet + 1)
         after = {g: n for g, n in levels[k].items() if g[:-1] == gram[:-1]}
         if not after:
             return lower
@@ -347,21 +347,54 @@ def brute_kneser_ney(counts):
     return p
 
 
-def test_kneser_ney_matches_the_definition(spark):
+def grams_of(text):
+    padded = "\x02" * (kneser_ney.ORDER - 1) + (text or "")
+    return [padded[i : i + kneser_ney.ORDER] for i in range(len(text or ""))]
+
+
+def test_kneser_ney_perplexity_matches_the_definition(spark):
     rng = random.Random(10)
-    texts = [prose(rng, 12, "abcde") for _ in range(12)] + [None, ""]
-    model = kneser_ney.train(documents(spark, texts))
-    table = model.table()
-    counts = Counter()
-    for t in texts:
-        classes = [0, 0, 0, *(int(kneser_ney._CLASS[ord(c)]) for c in t or "")]
-        counts.update(tuple(classes[i : i + 4]) for i in range(len(classes) - 3))
-    p = brute_kneser_ney(counts)
-    code = lambda g: ((g[0] * 64 + g[1]) * 64 + g[2]) * 64 + g[3]
-    for gram in [*counts, (1, 2, 3, 60), (9, 9, 9, 9), (0, 0, 63, 1)]:
-        assert table[code(gram)] == pytest.approx(math.log(p(gram)), abs=1e-3)
-    assert np.exp(table.reshape(-1, 64)).sum(axis=1) == pytest.approx(1, abs=1e-3)
-    assert kneser_ney.train(documents(spark, [None, ""])) is None
+    texts = [prose(rng, 12, "abcde") for _ in range(12)] + [None, "", "ñandú 語 abc", "zzz"]
+    trusted = set(range(10)) | {12, 13}
+    labels = spark.createDataFrame([(i, 1) for i in trusted] * 2 + [(11, 0), (99, 1), (None, 1)], "doc_id long, quality int")
+    rows = {r["row"]["doc_id"]: r for r in kneser_ney.judge(documents(spark, texts), labels).collect()}
+    counts = Counter(g for i in trusted for g in grams_of(texts[i]))
+    p = brute_kneser_ney(counts, len({g[-1] for g in counts}))
+    assert set(rows) == set(range(len(texts)))
+    for i, text in enumerate(texts):
+        grams = grams_of(text)
+        want = math.exp(-sum(math.log(p(g)) for g in grams) / len(grams)) if grams else None
+        assert rows[i]["perplexity"] == (want and pytest.approx(want, rel=1e-4)), text
+
+
+def test_kneser_ney_probabilities_add_up_to_one(spark):
+    rng = random.Random(15)
+    counts = Counter(g for _ in range(20) for g in grams_of(prose(rng, 10, "abcd")))
+    alphabet = sorted({c for g in counts for c in g} - {"\x02"}) + ["?"]
+    asked = {g: n for g, n in counts.items()} | {g[:-1] + c: counts[g[:-1] + c] for g in list(counts)[:40] for c in alphabet}
+    rows = [(g, *([n] * (kneser_ney.FOLDS + 1))) for g, n in asked.items()]
+    got = {r["gram"]: math.exp(r["p0"]) for r in kneser_ney.log_probabilities(spark.createDataFrame(rows, "gram string, " + ", ".join(f"c{m} long" for m in kneser_ney.MODELS))).collect()}
+    for g in list(counts)[:40]:
+        assert sum(got[g[:-1] + c] for c in alphabet) == pytest.approx(1)
+
+
+def test_texts_are_read_in_pieces(monkeypatch):
+    rng = random.Random(16)
+    texts = [prose(rng, 30), None, "", "ab", prose(rng, 200), "é\x00x"]
+    folds = np.array([0, -1, 1, 1, -1, 2])
+    whole = dict(zip(*(x.tolist() for x in kneser_ney.seen(texts, folds)), strict=True))
+    monkeypatch.setattr(kneser_ney, "STEP", 37)
+    cut = dict(zip(*(x.tolist() for x in kneser_ney.seen(texts, folds)), strict=True))
+    want = {}
+    for t, f in zip(texts, folds, strict=True):
+        for g in grams_of((t or "").replace("\x00", "\x02")):
+            want.setdefault(g, [0] * kneser_ney.FOLDS)
+            if f >= 0:
+                want[g][f] += 1
+    assert whole == cut == want
+    grams = sorted(want)
+    total, n = kneser_ney.log_sums(texts, grams, np.arange(len(grams), dtype=float)[:, None])
+    assert n.tolist() == [len(t or "") for t in texts] and total[3, 0] == sum(grams.index(g) for g in grams_of("ab"))
 
 
 def test_perplexity_rejects_junk_and_keeps_clean(spark):
