@@ -1,10 +1,10 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of characters.
 
-All text that is trusted is counted: five-grams of characters, as they are, so that the tables grow with the text. Lower
+All text that is trusted is counted: four-grams of characters, as they are, so that the tables grow with the text. Lower
 orders count in how many contexts an n-gram stands. Counts stay in tables sharded by n-gram; discounts, context totals
 and interpolation come from joins of an n-gram's row with its context's and its shorter n-gram's.
 
-Perplexity comes from joins, too. Documents are stored in batches of some 16 MB. A batch asks for each n-gram in it once,
+Perplexity comes from joins, too. Documents are stored in batches of some 32 MB. A batch asks for each n-gram in it once,
 with its counts over the batch's trusted documents, so that what is shuffled are a batch's distinct n-grams and not the
 text; the answers come back to the batch, whose documents add them up. The stored batches are bucketed, so that texts are
 never shuffled.
@@ -37,12 +37,12 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .common import fold_remainder, materialize, scratch_folder
 
-ORDER = 5
+ORDER = 4
 QUANTILE = 0.995
 #: Folds of the trusted documents; each is scored with the counts of the others.
 FOLDS = 3
 #: Characters in a batch of documents, and in a piece of a text.
-BATCH, STEP = 1 << 24, 1 << 20
+BATCH, STEP = 1 << 25, 1 << 20
 START = 2
 
 
