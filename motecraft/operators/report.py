@@ -23,9 +23,7 @@ def summarise(points: DataFrame, keys=("image_id",)) -> DataFrame:
 
 def with_total(summary: DataFrame, name: str, measures: list[str]) -> DataFrame:
     """The measures by name, and a row TOTAL; names that are null stay apart from it."""
-    total = F.grouping(name) == 1
     rolled = summary.rollup(name).agg(*[F.sum(m).alias(m) for m in measures], F.grouping(name).alias("is_total"))
-    del total
     return rolled.withColumn(name, F.when(F.col("is_total") == 1, "TOTAL").otherwise(F.col(name)))
 
 

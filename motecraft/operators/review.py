@@ -20,7 +20,9 @@ REASON_TEXT = {
 SEPARATOR = "；"
 #: Sizes that are unusual, and how near red is too near.
 SIZE_RANGE, RED_RANGE = (55, 500), 18
-PRIORITY_TEXT = "模型低分，优先复核"
+#: Fixed texts that a decision puts before the reason at hand; a rejection's differs between the two tables.
+PRIORITY_TEXT, ACCEPT_TEXT, UNSURE_TEXT = "模型与原检测不一致，需要复核；", "模型通过；", "模型仍不确定；"
+REJECT_TEXT, PLAIN_REJECT_TEXT = "模型自动排除（可恢复）：疑似干扰中心；", "模型自动排除（可恢复）：疑似光晕/亮缝；"
 
 
 def reason_codes(cfg: Config = Config()) -> Column:
@@ -65,6 +67,11 @@ def with_optional(points: DataFrame) -> DataFrame:
     return points.withColumns({k: F.lit(None).cast(v) for k, v in kinds.items() if k not in points.columns})
 
 
+def _noted(text: str) -> Column:
+    """The reason at hand after the text of a decision."""
+    return F.concat(F.lit(text), F.coalesce("reason", F.lit("")))
+
+
 def decide(points: DataFrame, thresholds: Thresholds = Thresholds(), score: str = "score") -> DataFrame:
     """The decision table with provenance: what people decided stays, accepted points are never removed.
 
@@ -90,24 +97,23 @@ def decide(points: DataFrame, thresholds: Thresholds = Thresholds(), score: str
 
     lit = lambda v: F.lit(v)
     old = lambda name: F.col(name)
-    noted = F.when(F.coalesce(F.length("reason"), F.lit(0)) > 0, F.concat(lit(PRIORITY_TEXT + SEPARATOR), F.col("reason"))).otherwise(PRIORITY_TEXT)
     new = {
         "status": pick(old("status"), old("status"), lit("review"), lit("accepted"), lit("review"), lit("accepted"), lit("review")),
         "model_decision": pick(old("model_decision"), old("model_decision"), lit("review_original_green"), lit("preserve_original_green"), lit("reject"), lit("accept"), lit("review")),
         "removed": pick(old("removed"), old("removed"), lit(False), lit(False), lit(True), lit(False), lit(False)),
         "model_rejected": pick(old("model_rejected"), old("model_rejected"), lit(False), lit(False), lit(True), lit(False), lit(False)),
-        "reason": pick(old("reason"), old("reason"), noted, old("reason"), old("reason"), old("reason"), old("reason")),
+        "reason": pick(old("reason"), old("reason"), _noted(PRIORITY_TEXT), old("reason"), _noted(REJECT_TEXT), _noted(ACCEPT_TEXT), _noted(UNSURE_TEXT)),
         "model_score": F.when(F.col("_people"), F.col("model_score")).otherwise(rounded),
         "baseline_status": F.when(F.col("_people") | F.col("_aside"), F.col("baseline_status")).otherwise(base),
         "review_priority": F.when(F.col("_people") | F.col("_aside"), F.col("review_priority")).otherwise(priority),
-        "origin": F.when(F.col("_people") | F.col("_aside"), F.col("origin")).otherwise(F.coalesce("origin", lit("automatic"))),
+        "origin": F.when(F.col("_people") | F.col("_aside"), F.col("origin")).otherwise("automatic"),
     }
     ready = p.withColumns({"_score": checked, "_people": by_people, "_aside": aside})
     return ready.withColumns(new).drop("_score", "_people", "_aside")
 
 
 def decide_plain(points: DataFrame, thresholds: Thresholds = Thresholds(), score: str = "score") -> DataFrame:
-    """The older decision table: no provenance, the status at hand is the baseline, a rejection leaves it as it is."""
+    """The older decision table: all points are the model's to decide, the status at hand is the baseline, a rejection leaves it as it is."""
     p = with_optional(points)
     checked = checked_score(F.col(score).cast("double"))
     s, accepted = F.col("_score"), F.col("_base") == "accepted"
@@ -119,6 +125,8 @@ def decide_plain(points: DataFrame, thresholds: Thresholds = Thresholds(), score
             "model_score": F.bround(s, 6),
             "review_priority": priority,
             "model_decision": F.when(accepted & priority, "review_original_green").when(accepted, "preserve_original_green").when(reject, "reject").when(accept, "accept").otherwise("review"),
+            "reason": F.when(accepted & ~priority, F.col("reason")).when(accepted, _noted(PRIORITY_TEXT)).when(reject, _noted(PLAIN_REJECT_TEXT)).when(accept, _noted(ACCEPT_TEXT)).otherwise(_noted(UNSURE_TEXT)),
+            "origin": F.lit("automatic"),
             "removed": ~accepted & reject,
             "model_rejected": ~accepted & reject,
             "status": F.when(accepted & priority, "review").when(accepted, "accepted").when(reject, F.col("status")).when(accept, "accepted").otherwise("review"),

@@ -28,7 +28,7 @@ def given(scores: DataFrame) -> Scorer:
     return lambda images, points: points.join(scores.select("image_id", "id", "score"), ["image_id", "id"], "left")
 
 
-def by_function(f: Callable[[np.ndarray], np.ndarray], feature_names: list[str] | None = None) -> Scorer:
+def by_function(f: Callable[[np.ndarray], np.ndarray], feature_names: list[str] | None = None, scale: float = 1.0) -> Scorer:
     """Probabilities of a function of the feature matrix, for instance a loaded classifier's; one call a batch.
 
     `feature_names`, if given, must equal the library's names in order.
@@ -42,28 +42,29 @@ def by_function(f: Callable[[np.ndarray], np.ndarray], feature_names: list[str]
                 yield batch[["image_id", "id"]].assign(score=np.asarray(f(np.vstack(batch["values"].to_numpy())), float))
 
     def scorer(images: DataFrame, points: DataFrame) -> DataFrame:
-        made = features.extract(images, points.select("image_id", "id", "x", "y")).mapInPandas(run, "image_id string, id int, score double")
+        made = features.extract(images, points.select("image_id", "id", "x", "y"), scale).mapInPandas(run, "image_id string, id int, score double")
         return points.join(made, ["image_id", "id"], "left")
 
     return scorer
 
 
-def checked_artifact(path: str, metadata: dict) -> tuple[bytes, Thresholds]:
+def checked_artifact(path: str, metadata: dict, feature_version: str = features.VERSION) -> tuple[bytes, Thresholds]:
     """A model file's bytes and thresholds, after its hash, features and feature version are found as in `metadata`.
 
     Keys: `artifact_sha256`, `feature_names`, `feature_version`, `thresholds` (reject_below, accept_at_least and, if it
-    differs from the first, review_priority_below). The bytes are for a loader of the caller's.
+    differs from the first, review_priority_below). `feature_version` is what the caller takes these features to be. The
+    bytes are for a loader of the caller's.
     """
     data = Path(path).read_bytes()
     if hashlib.sha256(data).hexdigest() != metadata["artifact_sha256"]:
         raise ValueError("the model file is not the one described")
-    if metadata["feature_version"] != features.VERSION or list(metadata["feature_names"]) != features.names():
+    if metadata["feature_version"] != feature_version or list(metadata["feature_names"]) != features.names():
         raise ValueError("the model was made for other features")
     t = metadata["thresholds"]
     return data, Thresholds(t["reject_below"], t["accept_at_least"], t.get("review_priority_below"))
 
 
-def forest(labelled: DataFrame, trees: int = 240, seed: int = 1) -> Scorer:
+def forest(labelled: DataFrame, trees: int = 240, seed: int = 1, scale: float = 1.0) -> Scorer:
     """A random forest fitted on `values` and `label` of labelled points.
 
     Spark ML has no extremely randomised trees, so this stands in for that classifier and gives other scores.
@@ -75,7 +76,7 @@ def forest(labelled: DataFrame, trees: int = 240, seed: int = 1) -> Scorer:
     model = RandomForestClassifier(labelCol="label", numTrees=trees, minInstancesPerNode=3, featureSubsetStrategy="0.5", seed=seed).fit(vector(labelled))
 
     def scorer(images: DataFrame, points: DataFrame) -> DataFrame:
-        made = model.transform(vector(features.extract(images, points.select("image_id", "id", "x", "y"))))
+        made = model.transform(vector(features.extract(images, points.select("image_id", "id", "x", "y"), scale)))
         return points.join(made.select("image_id", "id", vector_to_array("probability")[1].alias("score")), ["image_id", "id"], "left")
 
     return scorer

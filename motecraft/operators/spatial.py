@@ -75,17 +75,40 @@ def suppress_fold(points: DataFrame, distance: float, keys: Sequence[str] = ("im
     return kept.select(*keys, F.col("row.seq").alias("seq"))
 
 
+def _pairs_within(x: np.ndarray, y: np.ndarray, distance: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all pairs strictly nearer than `distance`, each once: strips as wide as that, sorted by y."""
+    strip = np.floor(x / distance)
+    found = [np.empty((2, 0), int)]
+    for s in np.unique(strip):
+        own = np.flatnonzero(strip == s)
+        for others in (own, np.flatnonzero(strip == s + 1)):
+            others = others[np.argsort(y[others], kind="stable")]
+            first, end = np.searchsorted(y[others], y[own] - distance), np.searchsorted(y[others], y[own] + distance, "right")
+            n = end - first
+            a = np.repeat(own, n)
+            b = others[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first, n)]
+            near = (x[a] - x[b]) ** 2 + (y[a] - y[b]) ** 2 < distance**2
+            found.append(np.stack([a, b])[:, near & ((strip[a] != strip[b]) | (a < b))])
+    a, b = np.concatenate(found, axis=1)
+    return a, b
+
+
 def greedy(x: np.ndarray, y: np.ndarray, rank: np.ndarray, seq: np.ndarray, distance: float) -> np.ndarray:
-    """Positions kept, in the order of keeping."""
-    cells: dict[tuple[int, int], list[int]] = {}
-    kept = []
-    cx, cy = np.floor(x / distance).astype(int), np.floor(y / distance).astype(int)
-    for i in np.lexsort((seq, -rank)):
-        here = [k for a in (-1, 0, 1) for b in (-1, 0, 1) for k in cells.get((cx[i] + a, cy[i] + b), ())]
-        if all((x[i] - x[k]) ** 2 + (y[i] - y[k]) ** 2 >= distance**2 for k in here):
-            cells.setdefault((cx[i], cy[i]), []).append(i)
-            kept.append(i)
-    return np.array(kept, int)
+    """Positions kept, in the order of keeping: in rounds, what outranks all its open neighbours stays and closes them."""
+    place = np.empty(len(x), int)
+    place[np.lexsort((seq, -rank))] = np.arange(len(x))
+    a, b = _pairs_within(x, y, distance)
+    better, worse = np.where(place[a] < place[b], (a, b), (b, a))
+    is_open, kept = np.ones(len(x), bool), np.zeros(len(x), bool)
+    while is_open.any():
+        live = is_open[better] & is_open[worse]
+        better, worse = better[live], worse[live]
+        top = is_open.copy()
+        top[worse] = False
+        kept |= top
+        is_open &= ~top
+        is_open[worse[top[better]]] = False
+    return np.flatnonzero(kept)[np.argsort(place[kept])]
 
 
 def suppress(points: DataFrame, distance: float, keys: Sequence[str] = ("image_id",), out: str = "kept_order") -> DataFrame:

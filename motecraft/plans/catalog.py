@@ -66,25 +66,29 @@ def q_nms_fixpoint(spark, sf_dir):
 
 
 _D2 = "(p.x - o.x) * (p.x - o.x) + (p.y - o.y) * (p.y - o.y)"
-_SOME = "o AS (SELECT * FROM p WHERE seq % 7 = 0)"
+_SOME = "o AS (SELECT label AS image_id, 300.0::DOUBLE * embedding[4]::DOUBLE AS x, 300.0::DOUBLE * embedding[5]::DOUBLE AS y FROM embeddings)"
+
+
+def other_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second set of points of the same images."""
+    e = lambda i: F.lit(300.0) * F.col("embedding")[i].cast("double")
+    return _table(spark, sf_dir, "embeddings").select(F.col("label").alias("image_id"), e(3).alias("x"), e(4).alias("y"))
+
 
 
 @query(f"WITH {POINTS}, {_SOME} SELECT image_id, seq FROM p WHERE EXISTS (SELECT 1 FROM o WHERE o.image_id = p.image_id AND {_D2} <= 81)")
 def q_agreement_semi(spark, sf_dir):
-    p = points(spark, sf_dir)
-    return spatial.near(p, p.where("seq % 7 = 0"), Config().agreement_distance).select("image_id", "seq")
+    return spatial.near(points(spark, sf_dir), other_points(spark, sf_dir), Config().agreement_distance).select("image_id", "seq")
 
 
 @query(f"WITH {POINTS}, {_SOME} SELECT image_id, seq FROM p WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.image_id = p.image_id AND {_D2} < 169)")
 def q_recovery_anti(spark, sf_dir):
-    p = points(spark, sf_dir)
-    return spatial.far(p, p.where("seq % 7 = 0"), 13.0).select("image_id", "seq")
+    return spatial.far(points(spark, sf_dir), other_points(spark, sf_dir), 13.0).select("image_id", "seq")
 
 
 @query(f"WITH {POINTS}, {_SOME} SELECT p.image_id, p.seq, round(sqrt(min(CASE WHEN {_D2} <= 1600 THEN {_D2} END)), 6) AS distance FROM p LEFT JOIN o ON o.image_id = p.image_id GROUP BY ALL")
 def q_nearest_distance(spark, sf_dir):
-    p = points(spark, sf_dir)
-    found = spatial.nearest(p, p.where("seq % 7 = 0"), 40.0, row="seq")
+    found = spatial.nearest(points(spark, sf_dir), other_points(spark, sf_dir), 40.0, row="seq")
     return found.select("image_id", "seq", F.round("distance", 6).alias("distance"))
 
 
@@ -129,23 +133,28 @@ def q_tile_interiors(spark, sf_dir):
 def scored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as points with a status and a score."""
     status = F.when(F.col("event_type").isin("purchase", "click"), "review").otherwise("accepted")
-    return _table(spark, sf_dir, "events").select(F.col("event_type").alias("image_id"), F.col("event_id").alias("id"), status.alias("status"), F.least(F.col("value") / 350.0, F.lit(1.0)).alias("score"))
+    return _table(spark, sf_dir, "events").select(F.col("event_type").alias("image_id"), F.col("event_id").alias("id"), status.alias("status"), F.least(F.col("value") / 350.0, F.lit(1.0)).alias("score"), F.concat(F.lit("r"), (F.col("user_id") % 3).cast("string")).alias("reason"))
 
 
 _T = Thresholds()
-SCORED = f"""e AS (SELECT event_type AS image_id, event_id AS id, CASE WHEN event_type IN ('purchase', 'click') THEN 'review' ELSE 'accepted' END AS status, least(value / 350.0, 1.0) AS score FROM events),
+SCORED = f"""e AS (SELECT event_type AS image_id, event_id AS id, CASE WHEN event_type IN ('purchase', 'click') THEN 'review' ELSE 'accepted' END AS status, least(value / 350.0, 1.0) AS score, 'r' || (user_id % 3) AS reason FROM events),
 d AS (SELECT *, score < {_T.priority} AS low, score < {_T.reject} AS bad, score >= {_T.accept} AS good, status = 'accepted' AS was FROM e)"""
 _DECISION = "CASE WHEN was AND low THEN 'review_original_green' WHEN was THEN 'preserve_original_green' WHEN bad THEN 'reject' WHEN good THEN 'accept' ELSE 'review' END"
 
 
-@query(f"WITH {SCORED} SELECT image_id, id, {_DECISION} AS model_decision, CASE WHEN was AND NOT low OR NOT was AND NOT bad AND good THEN 'accepted' ELSE 'review' END AS status, NOT was AND bad AS removed, low AS review_priority, status AS baseline_status FROM d")
+def _reason(reject: str) -> str:
+    r = review
+    return f"CASE WHEN was AND low THEN '{r.PRIORITY_TEXT}' WHEN was THEN '' WHEN bad THEN '{reject}' WHEN good THEN '{r.ACCEPT_TEXT}' ELSE '{r.UNSURE_TEXT}' END || reason AS reason, 'automatic' AS origin"
+
+
+@query(f"WITH {SCORED} SELECT image_id, id, {_reason(review.REJECT_TEXT)}, {_DECISION} AS model_decision, CASE WHEN was AND NOT low OR NOT was AND NOT bad AND good THEN 'accepted' ELSE 'review' END AS status, NOT was AND bad AS removed, low AS review_priority, status AS baseline_status FROM d")
 def q_decision_table(spark, sf_dir):
-    return review.decide(scored_events(spark, sf_dir)).select("image_id", "id", "model_decision", "status", "removed", "review_priority", "baseline_status")
+    return review.decide(scored_events(spark, sf_dir)).select("image_id", "id", "reason", "origin", "model_decision", "status", "removed", "review_priority", "baseline_status")
 
 
-@query(f"WITH {SCORED} SELECT image_id, id, {_DECISION} AS model_decision, CASE WHEN was AND NOT low OR NOT was AND NOT bad AND good THEN 'accepted' ELSE 'review' END AS status, NOT was AND bad AS model_rejected FROM d")
+@query(f"WITH {SCORED} SELECT image_id, id, {_reason(review.PLAIN_REJECT_TEXT)}, {_DECISION} AS model_decision, CASE WHEN was AND NOT low OR NOT was AND NOT bad AND good THEN 'accepted' ELSE 'review' END AS status, NOT was AND bad AS model_rejected FROM d")
 def q_decision_table_plain(spark, sf_dir):
-    return review.decide_plain(scored_events(spark, sf_dir)).select("image_id", "id", "model_decision", "status", "model_rejected")
+    return review.decide_plain(scored_events(spark, sf_dir)).select("image_id", "id", "reason", "origin", "model_decision", "status", "model_rejected")
 
 
 @query(
@@ -209,10 +218,10 @@ def q_orientation_histogram(spark, sf_dir):
     return values.orientation_histogram(e, ["label"]).select("label", "bin", F.round("weight", 6).alias("weight"))
 
 
-@query("SELECT doc_id, sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 10 = 0) AS member FROM documents")
+@query("SELECT doc_id, coalesce(sha256(text) IN (SELECT sha256(text) FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL), false) AS member FROM documents")
 def q_membership(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
-    return report.known_members(docs, docs.where("doc_id % 10 = 0"), out="member").select("doc_id", "member")
+    return report.known_members(docs, docs.join(_table(spark, sf_dir, "labels"), "doc_id", "left_semi"), out="member").select("doc_id", "member")
 
 
 @query("SELECT md5(text) AS key, count(*) AS n FROM documents GROUP BY md5(text) HAVING count(*) > 1")
@@ -324,14 +333,13 @@ def q_px_red(spark, sf_dir):
 
 
 @query(
-    """WITH g AS (SELECT x, y FROM (SELECT range AS x FROM range(0, 160, 8)), (SELECT range AS y FROM range(0, 160, 8))), r AS (SELECT x, y FROM (SELECT range AS x FROM range(160)), (SELECT range AS y FROM range(160)) WHERE (x - 30) * (x - 30) + (y - 30) * (y - 30) <= 36)
+    """WITH g AS (SELECT x, y FROM (SELECT range AS x FROM range(160)), (SELECT range AS y FROM range(160))), r AS (SELECT x, y FROM (SELECT range AS x FROM range(160)), (SELECT range AS y FROM range(160)) WHERE (x - 30) * (x - 30) + (y - 30) * (y - 30) <= 36)
 SELECT g.x, g.y, round(sqrt(min(CASE WHEN (g.x - r.x) * (g.x - r.x) + (g.y - r.y) * (g.y - r.y) <= 324 THEN (g.x - r.x) * (g.x - r.x) + (g.y - r.y) * (g.y - r.y) END)), 6) AS distance FROM g, r GROUP BY g.x, g.y"""
 )
 def q_px_red_distance(spark, sf_dir):
-    """How far pixels of a grid are from red, within the range that matters."""
+    """How far pixels are from red, within the range that matters."""
     px = images.pixels(images.formula_images(spark, red_disc=True)).withColumn("id", F.col("y") * 160 + F.col("x"))
-    grid = px.where("x % 8 = 0 AND y % 8 = 0")
-    found = spatial.nearest(grid, px.where(values.is_red(Config())), float(review.RED_RANGE))
+    found = spatial.nearest(px, px.where(values.is_red(Config())), float(review.RED_RANGE))
     return found.select((F.col("id") % 160).cast("long").alias("x"), F.floor(F.col("id") / 160).alias("y"), F.round("distance", 6).alias("distance"))
 
 

@@ -67,8 +67,8 @@ def write_bundle(result: dict[str, DataFrame], folder: str, cfg: Config = Config
     write_image_json(records, f"{folder}/images")
     batch_document(records, cfg, "learned" if model else "training-free").write.mode("overwrite").text(f"{folder}/detections")
     write_csv(count_table(result["summary"], model), f"{folder}/counts")
-    manifest = result["summary"].select("name", "sha256").union(result["errors"].select(F.col("image_id").alias("name"), "error"))
-    manifest.select(F.to_json(F.struct("name", "sha256")).alias("json")).write.mode("overwrite").text(f"{folder}/manifest")
+    manifest = result["summary"].select("name", "sha256").unionByName(result["errors"].select(F.col("image_id").alias("name"), "error"), allowMissingColumns=True)
+    manifest.select(F.to_json(F.struct("name", "sha256", "error")).alias("json")).write.mode("overwrite").text(f"{folder}/manifest")
 
 
 def png(image: np.ndarray) -> bytes:
