@@ -19,6 +19,8 @@ def scratch_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="motecraft-"))
     return f"file://{_own_folder[0]}"
@@ -34,6 +36,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def as_given(rows: DataFrame, column: str, like: DataFrame) -> DataFrame:
+    """`rows` with a column that went through pandas as text in the type it has in `like`: pandas makes long ids doubles where one is null."""
+    return rows.withColumn(column, F.col(column).cast(like.schema[column].dataType))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
