@@ -7,7 +7,8 @@ they are built (`labelled_pages`); a caller may pass own ones.
 
 Defined cases: a null or empty page has an empty text, and so has one without main text; unclosed tags, comments and
 scripts end where HTML ends them or with the page; elements that HTML doesn't show unless asked (`noscript`, `template`)
-are cut into blocks like any other; repeated rows are treated alike; an empty table gives an empty
+are cut into blocks like any other; pages of any length and depth are read whole, in time proportional to their length;
+of labellings that are equally likely the one with less main text is taken; repeated rows are treated alike; an empty table gives an empty
 result; columns of the input other than id, URL and HTML are not looked at.
 """
 
@@ -16,7 +17,8 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Container, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -25,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import as_given
+
 #: Fixed values of HTML: elements without content, elements whose content is no markup, and elements that start a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "textarea", "title", "iframe")
@@ -60,36 +64,58 @@ class Block:
     around: frozenset[str]
 
 
-def blocks(page: str | None) -> list[Block]:
-    """The leaf blocks of a page in order; those without text are left out."""
+def blocks(page: str | None, known: Container[str] | None = None) -> list[Block]:
+    """The leaf blocks of a page in order; those without text are left out.
+
+    What surrounds a block is restricted to `known` names, if given, so that deep pages take no more time than long ones.
+    """
     found: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, list[str]]] = []
+    depth: Counter[str] = Counter()
+    around: Counter[str] = Counter()
+    block_tags: list[str] = []
     text: list[str] = []
     linked: list[str] = []
 
     def flush() -> None:
         clean = " ".join(html.unescape("".join(text)).split())
         if clean:
-            around = frozenset(x for tag, names in stack for x in (f"<{tag}>", *names) if tag in BLOCK or names)
-            tag = next((t for t, _ in reversed(stack) if t in BLOCK), "")
-            found.append(Block(clean, len(" ".join(html.unescape("".join(linked)).split())), tag, around))
+            found.append(Block(clean, len(" ".join(html.unescape("".join(linked)).split())), block_tags[-1] if block_tags else "", frozenset(around)))
         text.clear()
         linked.clear()
 
     def say(chunk: str) -> None:
         text.append(chunk)
-        if any(t == "a" for t, _ in stack):
+        if depth["a"]:
             linked.append(chunk)
 
+    def push(tag: str, names: list[str]) -> None:
+        here = [x for x in (f"<{tag}>", *names) if known is None or x in known] if tag in BLOCK or names else []
+        stack.append((tag, here))
+        depth[tag] += 1
+        around.update(here)
+        if tag in BLOCK:
+            block_tags.append(tag)
+
     def close(tags, stop=frozenset()) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in tags:
-                if any(t in BLOCK for t, _ in stack[i:]):
-                    flush()
-                del stack[i:]
-                return
+        if not any(depth[t] for t in tags):
+            return
+        i = len(stack) - 1
+        while stack[i][0] not in tags:
             if stack[i][0] in stop:
                 return
+            i -= 1
+        if any(t in BLOCK for t, _ in stack[i:]):
+            flush()
+        for tag, here in stack[i:]:
+            depth[tag] -= 1
+            for x in here:
+                around[x] -= 1
+                if not around[x]:
+                    del around[x]
+            if tag in BLOCK:
+                block_tags.pop()
+        del stack[i:]
 
     at, page = 0, page or ""
     while m := _TOKEN.search(page, at):
@@ -97,7 +123,7 @@ def blocks(page: str | None) -> list[Block]:
             say(page[at : m.start()])
         at = m.end()
         if m["raw"]:
-            if any(t in FOREIGN for t, _ in stack) and _CLOSED.search(m["attr0"]):
+            if any(depth[t] for t in FOREIGN) and _CLOSED.search(m["attr0"]):
                 at = m.end("open")
             elif m["raw"].lower() == "xmp":
                 flush()
@@ -115,16 +141,15 @@ def blocks(page: str | None) -> list[Block]:
             say(" ")
             continue
         if tag in BLOCK:
-            if not any(t == "foreignobject" for t, _ in stack):
+            if not depth["foreignobject"]:
                 close(FOREIGN)
             flush()
             close(("p",))
         if tag in CLOSES:
             close(CLOSES[tag], LISTS)
         attr = m["attr"] or m["attr2"] or ""
-        if tag not in VOID and not (_CLOSED.search(attr) and (tag in FOREIGN or any(t in FOREIGN for t, _ in stack))):
-            names = _NAMES.findall(attr)
-            stack.append((tag, tuple(f".{w}" for n in names for w in _PARTS.findall("".join(n).lower()))))
+        if tag not in VOID and not (_CLOSED.search(attr) and (tag in FOREIGN or any(depth[t] for t in FOREIGN))):
+            push(tag, [f".{w}" for n in _NAMES.findall(attr) for w in _PARTS.findall("".join(n).lower())])
     if at < len(page):
         say(page[at:])
     flush()
@@ -178,7 +203,7 @@ class Field:
         return [bool(x) for x in reversed(labels)]
 
     def extract(self, page: str | None) -> str:
-        found = blocks(page)
+        found = blocks(page, self.weights)
         return "\n\n".join(b.text for b, keep in zip(found, self.decode(found), strict=True) if keep)
 
 
@@ -232,14 +257,14 @@ ASIDE_NAMES = {
     "ad": ("ad", "ads", "advert", "advertisement", "banner", "sponsored", "promo", "sponsor"),
     "notice": ("cookie", "notice", "consent", "popup", "modal", "alert", "gdpr", "disclaimer", "newsletter", "subscribe"),
     "side": ("sidebar", "aside", "widget", "related", "share", "social", "recommended", "trending", "tags", "rail"),
-    "comments": ("comments", "comment", "reply", "discussion", "responses", "disqus", "respond", "commentlist"),
+    "comments": ("comments", "comment", "reply", "discussion", "responses", "disqus", "respond", "commentlist", "user-comments", "kommentare", "commentaires", "comentarios"),
     "header": ("header", "masthead", "topbar", "branding", "site"),
     "footer": ("footer", "copyright", "legal", "colophon", "bottom"),
 }
 MAIN_NAMES = ("content", "post", "entry", "article", "main", "body", "story", "text")
 
 
-def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, list[bool]]]:
+def labelled_pages(n: int = 600, seed: int = 11) -> list[tuple[str, list[bool]]]:
     """Generated pages and the label of each of their blocks, in many layouts."""
     rng = random.Random(seed)
     letters = "etaoinshrdlucmfwypvbgk"
@@ -253,6 +278,10 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, list[bool]]]
             s += rng.choice((" %%%", " ***", "!!", " &amp;&amp;", " | " + words(1, 3), " &#36;"))
         return s.capitalize() + rng.choice((".", ".", ".", ".", "!", "?", ""))
 
+    def opaque() -> str:
+        """A class name that means nothing."""
+        return f"{rng.choice('jqxz')}{rng.randint(1, 9)}{rng.choice('jqxz')}"
+
     def prose() -> str:
         return " ".join(sentence(1, 20) for _ in range(rng.choice((1, 1, 1, 2, 3, 6))))
 
@@ -270,6 +299,40 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, list[bool]]]
                 self.leaf("li", f'<a href="/{words(1, 1)}">{words(1, 3)}</a>', False)
             self.out.append("</ul>")
 
+        def plain_aside(self) -> None:
+            """Links, a short line or a copyright in an element whose name tells nothing."""
+            self.out.append(f'<div class="{opaque()}">')
+            kind = rng.random()
+            if kind < 0.6:
+                self.links(rng.randint(2, 8))
+            elif kind < 0.8:
+                self.bare(rng.choice(("&copy; ", "© 2020 ")) + words(1, 4))
+            else:
+                self.leaf("div", f'<a href="/">{words(1, 3)}</a>', False, f' class="{opaque()}"')
+            self.out.append("</div>")
+
+        def plain_story(self) -> None:
+            """Main text in elements whose names tell nothing."""
+            self.out.append(f'<div class="{opaque()}"><div class="{opaque()}">')
+            self.leaf("h1", sentence(2, 12), True)
+            for _ in range(rng.choice((1, 2, 4, 8))):
+                kind = rng.random()
+                if kind < 0.75:
+                    self.leaf("p", prose(), True, rng.choice(("", f' class="{opaque()}"')))
+                elif kind < 0.85:
+                    self.leaf("h2", words(1, 6).capitalize(), True)
+                elif kind < 0.93:
+                    self.out.append(f'<table class="{opaque()}">')
+                    for _ in range(rng.randint(1, 3)):
+                        self.out.append("<tr>")
+                        for _ in range(rng.randint(1, 4)):
+                            self.leaf("td", words(1, 4), True)
+                        self.out.append("</tr>")
+                    self.out.append("</table>")
+                else:
+                    self.leaf("div", prose(), True, f' class="{opaque()}"')
+            self.out.append("</div></div>")
+
         def aside(self, kind: str) -> None:
             native = {"nav": "nav", "side": "aside", "header": "header", "footer": "footer", "comments": "section"}.get(kind, "div")
             tag = native if rng.random() < 0.6 else rng.choice(("div", "section"))
@@ -314,37 +377,45 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, list[bool]]]
                 self.leaf("h1", sentence(1, 12), True)
             for k in range(rng.choice((1, 2, 4, 8, 12))):
                 kind = rng.random()
-                if kind < 0.74 or not k:
+                if kind < 0.68 or not k:
                     self.leaf("p", rng.choice(("", "", "<b>", "<em>")) + prose() + rng.choice(("", "", "<br>", f' <a href="#">{words(1, 3)}</a> {words(1, 3)}.')), True)
-                elif kind < 0.80:
+                elif kind < 0.74:
                     self.leaf(rng.choice(("h2", "h3")), words(1, 6).capitalize(), True)
-                elif kind < 0.86:
+                elif kind < 0.80:
                     self.out.append("<ul>")
                     for _ in range(rng.randint(1, 4)):
                         self.leaf("li", sentence(2, 12), True)
                     self.out.append("</ul>")
-                elif kind < 0.89:
+                elif kind < 0.83:
                     self.leaf("blockquote", prose(), True)
-                elif kind < 0.91:
+                elif kind < 0.85:
                     self.leaf("pre", words(3, 20), True)
-                elif kind < 0.93:
+                elif kind < 0.87:
                     self.out.append("<figure><img src=x>")
                     self.leaf("figcaption", sentence(2, 10), True)
                     self.out.append("</figure>")
-                elif kind < 0.95:
+                elif kind < 0.89:
                     self.out.append("<table><tr>")
                     for _ in range(3):
                         self.leaf("td", words(1, 4), True)
                     self.out.append("</tr></table>")
                 else:
                     self.aside(rng.choice(("ad", "side", "notice", "comments", "nav")))
-            if rng.random() < 0.15:
-                self.aside(rng.choice(("comments", "side", "footer")))
+            if rng.random() < 0.25:
+                self.aside(rng.choice(("comments", "comments", "side", "footer")))
             self.out.append(f"</{tag}>")
 
     def page() -> tuple[str, list[bool]]:
         p = Page()
         p.out.append(f"<!DOCTYPE html><html><head><title>{words(1, 5)}</title><style>p{{}}</style></head><body>")
+        if rng.random() < 0.2:
+            for _ in range(rng.randint(0, 3)):
+                p.plain_aside()
+            p.plain_story()
+            for _ in range(rng.randint(0, 3)):
+                p.plain_aside()
+            p.out.append("</body></html>")
+            return "".join(p.out), p.labels
         for kind, chance in (("notice", 0.2), ("header", 0.4), ("nav", 0.6), ("ad", 0.4)):
             if rng.random() < chance:
                 p.aside(kind)
@@ -386,4 +457,5 @@ def extract(pages: DataFrame, field: Field | None = None, page_id: str = "page_i
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": text, "n_chars": [len(x) for x in text]})
 
     read = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"))
-    return read.mapInPandas(run, f"page_id {read.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+    made = read.withColumn("page_id", F.col("page_id").cast("string")).mapInPandas(run, "page_id string, url string, text string, n_chars long")
+    return as_given(made, "page_id", read)
