@@ -9,7 +9,7 @@ hold more often than unlabelled rows do, counted over all of these; the gradient
 and `unlabelled`), scoring every whole text.
 
 Defined cases: a null or empty text has no feature and takes the score of the bias; without positives every score is 0;
-duplicate label rows count once; repeated rows are scored alike; an empty table gives an empty result; columns of the
+duplicate label rows count once; long texts are scored whole; repeated rows and equal texts are scored alike; an empty table gives an empty result; columns of the
 inputs other than id, text and toxic are not looked at.
 """
 
@@ -24,17 +24,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import as_given
+
 _WORDS = re.compile(r"[^\W\d_]+")
 PREFIX = 4
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds of the sample and of the features, and how the risk is minimised."""
+    """Bounds of the samples, what makes a feature, and how the risk is minimised.
+
+    `positives` bounds the labelled rows that the gradient steps use, `unlabelled` the others; the words of those
+    positives are the candidates for features.
+    """
 
     positives: int = 4000
     unlabelled: int = 12000
-    features: int = 20000
     least_positives: int = 4
     lift: float = 0.35
     rounds: int = 300
@@ -120,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
             yield pd.DataFrame({"word": [w for t in batch["text"] for w in tokens(t)]})
 
     common = chosen.mapInPandas(words, "word string").groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= settings.least_positives)
-    at = {r["word"]: i for i, r in enumerate(common.orderBy(F.desc("n"), "word").limit(settings.features).collect())}
+    at = {r["word"]: i for i, r in enumerate(common.orderBy(F.desc("n"), "word").collect())}
     positive, rest = _featurised(chosen, at), _featurised(unlabelled, at)
     if not at or not positive or not rest:
         return None
@@ -156,5 +161,5 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [one(t) for t in batch["text"]]})
 
-    read = docs.select("doc_id", "text")
-    return read.mapInPandas(run, f"doc_id {read.schema['doc_id'].dataType.simpleString()}, score double")
+    made = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, "doc_id string, score double")
+    return as_given(made, "doc_id", docs)
