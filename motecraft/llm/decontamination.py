@@ -15,7 +15,8 @@ sentence, the answer that last part; a single sentence is both.
 
 The index is broadcast in shards of at most `shard_words` words of items, one search per shard.
 
-Defined cases: null, empty and wordless texts and items match nothing; items with equal texts are all reported;
+Defined cases: null, empty and wordless texts and items match nothing; texts of any length are searched whole, in pieces;
+items with equal texts are all reported;
 repeated rows are reported each; empty tables give an empty result; columns other than ids and texts are not looked at.
 """
 
@@ -32,12 +33,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import as_given, materialize
 
 _WORDS = re.compile(r"[^\W_]+")
 _LAST_PART = re.compile(r"^(.*\S)\s*\n\s*(\S.*)$|^(.*[.!?])\s+(\S.*)$", re.S)
 
 
+#: Passages of a text that are bounded at once.
+PIECE = 128
+
+
 @dataclass(frozen=True)
 class Settings:
     """BM25 constants, sizes in words, and what counts as found and as verified."""
@@ -113,7 +118,16 @@ class Index:
         return cls(s, terms, segments, kept, np.concatenate(([0], np.cumsum(sizes))), np.array([b for b, _ in flat], np.int64), np.array([x for _, x in flat], np.float64), rest)
 
     def candidates(self, ids: np.ndarray) -> Iterator[tuple[int, int, float]]:
-        """Passage start, segment and score of all segments that reach the threshold."""
+        """Passage start, segment and score of all segments that reach the threshold.
+
+        A long text is searched in pieces that share a unit, so that the bounds never take more than a piece's memory.
+        """
+        size = self.settings.segment
+        for first in range(0, max(size, len(ids) - size), PIECE * size):
+            for start, i, score in self._piece(ids[first : first + (PIECE + 1) * size]):
+                yield first + start, i, score
+
+    def _piece(self, ids: np.ndarray) -> Iterator[tuple[int, int, float]]:
         s, n_blocks = self.settings, len(self.rest)
         units = -(-len(ids) // s.segment)
         at = np.flatnonzero(ids)
@@ -169,41 +183,41 @@ def _shards(benchmark: DataFrame, s: Settings) -> Iterator[Index]:
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([(len(p), sorted(set(p))) for t in batch["text"] for p in segment(words_of(t), s.segment)], columns=["n", "terms"])
+            rows = [(h, len(p), sorted(set(p))) for h, t in zip(batch["at"], batch["text"], strict=True) for p in segment(words_of(t), s.segment)]
+            yield pd.DataFrame(rows, columns=["at", "n", "terms"])
 
-    items = benchmark.select("item_id", "text").where("text is not null")
-    cuts = materialize(items.select("text").mapInPandas(cut, "n long, terms array<string>"))
+    items = benchmark.select("item_id", "text", F.xxhash64("item_id", "text").alias("at")).where("text is not null")
+    cuts = materialize(items.select("at", "text").mapInPandas(cut, "at long, n long, terms array<string>"))
     whole = cuts.agg(F.count("*").alias("segments"), F.sum("n").alias("words")).first()
     if not whole["segments"]:
         return
     frequency = materialize(cuts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")))
     n_shards = -(-whole["words"] // s.shard_words)
-    shard = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_shards))
+    shard = F.pmod("at", F.lit(n_shards))
     for k in range(n_shards):
         own = sorted(((r["item_id"], r["text"]) for r in items.where(shard == k).toLocalIterator()), key=repr)
         own = [x for x in own if words_of(x[1])]
-        used = {w for _, text in own for w in words_of(text)}
-        counts = {r["term"]: r["n"] for r in frequency.toLocalIterator() if r["term"] in used}
+        terms = cuts.where(shard == k).select(F.explode("terms").alias("term")).distinct()
+        counts = {r["term"]: r["n"] for r in frequency.join(terms, "term").toLocalIterator()}
         if own:
             yield Index.build(own, counts, whole["segments"], whole["words"] / whole["segments"], s)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """`doc_id`, `item_id`, `score`, `question_overlap`, `answer_overlap`: a row for each item in each document."""
-    read = docs.select("doc_id", "text")
-    kinds = read.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, question_overlap double, answer_overlap double"
+    read = docs.select(F.col("doc_id").cast("string"), "text")
+    schema = "doc_id string, item_id string, score double, question_overlap double, answer_overlap double"
     found = docs.sparkSession.createDataFrame([], schema)
     for index in _shards(benchmark, settings):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                rows = [(i, *hit) for i, t in zip(batch["doc_id"], batch["text"], strict=True) for hit in shared.value.search(t)]
+                rows = [(i, None if item is None else str(item), *hit) for i, t in zip(batch["doc_id"], batch["text"], strict=True) for item, *hit in shared.value.search(t)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
         found = found.unionByName(read.mapInPandas(run, schema))
-    return found
+    return as_given(as_given(found, "doc_id", docs), "item_id", benchmark)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
