@@ -1,14 +1,15 @@
 """Mixing sources to target weights by systematic sampling.
 
 Every document of a source expects the same number of copies, target words over source words. In the source's order
-(size class, bucket, size, id) the expected copies are summed up, one offset drawn for the source is added, and the
+(size class, bucket, size, id, hash of the text) the expected copies are summed up, one offset drawn for the source is added, and the
 document is taken once for each whole number its interval crosses: floor(rate) or floor(rate) + 1 times. As the order
 goes by size, the words taken follow the target closely.
 
 The running sum is built in two levels, so that a source with a third of all rows is never in one task: documents per
 (source, size class, bucket) are counted and summed up over those groups, then documents are numbered within a group.
 
-Defined cases: a null or empty text has size 0 and may be taken, for no words; a null source is a source of its own,
+Defined cases: a null or empty text has size 0 and may be taken, for no words; a long text counts with all its words; rows
+that tie in all of the order are equal texts under one id; a null source is a source of its own,
 last in order; repeated rows count one by one; an empty table gives an empty result; all columns of the input are kept
 as they are, whatever their names.
 """
@@ -65,7 +66,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, limi
 def plan_copies(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: str = SEED, buckets: int = BUCKETS, keep: list[str] | None = None) -> DataFrame:
     """One row per input row: `row` (the input row, or its columns `keep`), `size`, `source_size`, `target` and `copies`."""
     name = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), name.alias("name"), _source_key(F.col(source)).alias("key"), word_count(F.col(text)).alias("size"))
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), name.alias("name"), _source_key(F.col(source)).alias("key"), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("tie"))
     base = base.withColumn("class", size_class(F.col("size"))).withColumn("bucket", md5_number(F.concat_ws("|", "name", "size"), 8) % buckets)
     group = ["key", "class", "bucket"]
     groups = materialize(base.groupBy(*group).agg(F.count("*").alias("n"), F.sum("size").alias("words")))
@@ -74,7 +75,7 @@ def plan_copies(docs: DataFrame, *, text: str = "text", source: str = "source",
     per_source = per_source.select("key", "source_size", "target", rate.alias("rate"), (md5_number(F.concat_ws("|", F.lit(seed), "key"), 5) / _OFFSETS).alias("offset"))
     earlier = F.sum("n").over(Window.partitionBy("key").orderBy("class", "bucket").rowsBetween(Window.unboundedPreceding, -1))
     starts = groups.select(*group, F.coalesce(earlier, F.lit(0)).alias("earlier")).join(per_source, "key")
-    position = F.col("earlier") + F.row_number().over(Window.partitionBy(*group).orderBy("size", "name"))
+    position = F.col("earlier") + F.row_number().over(Window.partitionBy(*group).orderBy("size", "name", "tie"))
     crossed = F.floor(position * F.col("rate") + F.col("offset")) - F.floor((position - 1) * F.col("rate") + F.col("offset"))
     # a left join, as an inner one would filter on the keys first and count the words again for it
     return base.join(starts, group, "left").select("row", "size", "source_size", "target", crossed.alias("copies"))
