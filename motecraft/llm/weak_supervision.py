@@ -5,7 +5,7 @@ bad documents, how often each rule casts each vote, from the counts of the vote
 3^rules rows). The posterior probability that a document is good then stands in for "all rules must pass".
 
 Defined cases: a null or empty text has no words, fails the base rules and takes the posterior of a document on which
-every rule abstains; repeated rows are judged one by one; an empty table gives an empty result; columns of the input
+every rule abstains; long texts are counted whole; a posterior at the threshold passes; repeated rows are judged one by one; an empty table gives an empty result; columns of the input
 other than id and text are not looked at.
 """
 
