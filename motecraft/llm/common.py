@@ -32,8 +32,17 @@ def materialize(df: DataFrame) -> DataFrame:
     It cuts the lineage and, unlike a cached table, outlives lost executors.
     """
     path = f"{scratch_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.written_to = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what `materialize` wrote for these very tables, once nothing reads them any more."""
+    for made in tables:
+        java = made.sparkSession._jvm.org.apache.hadoop.fs.Path(made.written_to)
+        java.getFileSystem(made.sparkSession._jsc.hadoopConfiguration()).delete(java, True)
 
 
 def as_given(rows: DataFrame, column: str, like: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import fold_remainder, materialize, scratch_folder
+from .common import discard, fold_remainder, materialize, scratch_folder
 
 ORDER = 4
 QUANTILE = 0.995
@@ -142,9 +142,11 @@ def _stored(docs: DataFrame) -> DataFrame:
 
     spark, name = docs.sparkSession, f"batches_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made = docs.mapInArrow(run, kind).write.bucketBy(buckets, "batch").option("path", f"{scratch_folder(spark)}/{name}").option("compression", "zstd")
-    made.saveAsTable(name)
-    return spark.table(name)
+    path = f"{scratch_folder(spark)}/{name}"
+    docs.mapInArrow(run, kind).write.bucketBy(buckets, "batch").option("path", path).option("compression", "zstd").saveAsTable(name)
+    stored = spark.table(name)
+    stored.written_to, stored.named = path, name
+    return stored
 
 
 #: Counts of each fold; a model leaves one fold out, and the last model leaves out none.
@@ -192,7 +194,10 @@ def log_probabilities(counted: DataFrame) -> DataFrame:
             now = now.join(p.withColumnRenamed("gram", "shorter"), F.expr("substring(gram, 2)") == F.col("shorter"))
             lower = _each(lambda m: F.col(f"p{m}"))
         p = now.select("gram", *_each(lambda m, lower=lower: F.when(F.col(f"t{m}") > 0, (F.col(f"c{m}") - F.col(f"d{m}") + F.col(f"w{m}") * lower[m]) / F.col(f"t{m}")).otherwise(lower[m]).alias(f"p{m}")))
-    return p.select("gram", *_each(lambda m: F.ln(f"p{m}").alias(f"p{m}")))
+    # a probability and its logarithm need no more than a float
+    logs = materialize(p.select("gram", *_each(lambda m: F.ln(f"p{m}").cast("float").alias(f"p{m}"))))
+    discard(*levels[1:])
+    return logs
 
 
 def count(stored: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -212,15 +217,15 @@ def count(stored: DataFrame, trusted: DataFrame) -> DataFrame:
     return texts.groupBy("batch").cogroup(trusted.groupBy("batch")).applyInArrow(run, f"batch long, gram string, {', '.join(f'{n} long' for n in _COUNTS)}")
 
 
-def score(stored: DataFrame, logs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """`row`, `language`, `perplexity` and, of trusted documents, `apart`: the perplexity under the other folds' model.
+def score(stored: DataFrame, logs: DataFrame, trusted: DataFrame, columns: list[str]) -> DataFrame:
+    """`columns` of `stored`, `perplexity` and, of trusted documents, `apart`: the perplexity under the other folds' model.
 
     `logs` has `batch`, `gram` and the columns of `log_probabilities`; `trusted` as in `count`.
     """
     names = [f"p{m}" for m in MODELS]
     answers = logs.withColumns({"trusted_id": F.lit(None).cast(trusted.schema["trusted_id"].dataType), "fold": F.lit(None).cast("int")})
     known = trusted.select("batch", F.lit(None).cast("string").alias("gram"), *[F.lit(None).cast("float").alias(n) for n in names], "trusted_id", "fold")
-    kind = StructType([*stored.select("row", "language").schema, StructField("perplexity", DoubleType()), StructField("apart", DoubleType())])
+    kind = StructType([*stored.select(*columns).schema, StructField("perplexity", DoubleType()), StructField("apart", DoubleType())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         is_gram = pa.compute.is_valid(right["gram"])
@@ -230,10 +235,10 @@ def score(stored: DataFrame, logs: DataFrame, trusted: DataFrame) -> DataFrame:
         total, n = log_sums(left["body"].to_pylist(), found["gram"].to_pylist(), logs)
         fold = [folds.get(i) for i in left["id"].to_pylist()]
         value = lambda i, m: float(np.exp(-total[i, m] / n[i])) if m is not None and n[i] else None
-        columns = [[value(i, FOLDS) for i in range(len(n))], [value(i, f) for i, f in enumerate(fold)]]
-        return pa.table([left["row"], left["language"], *(pa.array(c, pa.float64()) for c in columns)], names=["row", "language", "perplexity", "apart"])
+        found = [[value(i, FOLDS) for i in range(len(n))], [value(i, f) for i, f in enumerate(fold)]]
+        return pa.table([*(left[c] for c in columns), *(pa.array(x, pa.float64()) for x in found)], names=[*columns, "perplexity", "apart"])
 
-    texts = stored.select("batch", "id", "row", "language", "body")
+    texts = stored.select("batch", "id", "rest", "language", "body")
     return texts.groupBy("batch").cogroup(answers.unionByName(known).groupBy("batch")).applyInArrow(run, kind)
 
 
@@ -242,8 +247,10 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, doc_id
 
     Trusted are the documents whose `quality` in `labels` is 1.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns])
-    base = docs.select(row.alias("row"), F.col(doc_id).alias("id"), F.coalesce(F.col(lang), F.lit("")).alias("language"), F.col(text).alias("body"))
+    wanted = keep or docs.columns
+    others = [c for c in wanted if c != text] or [doc_id]
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest"), F.col(doc_id).alias("id"), F.coalesce(F.col(lang), F.lit("")).alias("language"), F.col(text).alias("body"))
+    row = F.struct(*[(F.col("body") if c == text else F.col(f"rest.`{c}`")).alias(c) for c in wanted]).alias("row")
     trusted = labels.where("quality = 1").select(F.col("doc_id").alias("trusted_id")).where("trusted_id is not null").distinct()
     stored = _stored(base)
     trusted = stored.select("batch", "id").join(trusted, F.col("id") == F.col("trusted_id")).select("batch", "trusted_id").distinct()
@@ -256,11 +263,13 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, doc_id
     sizes = counted.agg(*_each(lambda m: F.sum(f"c{m}"))).first()
     if not sizes[FOLDS]:
         unknown = F.lit(None).cast("double")
-        return base.select("row", unknown.alias("perplexity"), unknown.alias("threshold"), (F.length("body") > 0).alias("kept"))
-    # a probability and its logarithm need no more than a float
-    logs = log_probabilities(counted).select("gram", *_each(lambda m: F.col(f"p{m}").cast("float").alias(f"p{m}")))
+        return base.select(row, unknown.alias("perplexity"), unknown.alias("threshold"), (F.length("body") > 0).alias("kept"))
+    logs = log_probabilities(counted)
     able = trusted.where(F.col("fold").isin([f for f in range(FOLDS) if sizes[f]]))
-    scored = materialize(score(stored, asked.select("batch", "gram").join(materialize(logs), "gram"), able))
+    columns = ["rest", "language", *(["body"] if text in wanted else [])]
+    scored = materialize(score(stored, asked.select("batch", "gram").join(logs, "gram"), able, columns))
+    discard(stored, trusted, asked, counted, logs)
+    docs.sparkSession.sql(f"DROP TABLE {stored.named}")
     sure = scored.where("apart is not null").select("language", F.col("apart").alias("perplexity"))
     if sure.isEmpty():
         scored = scored.withColumn("threshold", F.lit(float("inf")))
@@ -268,7 +277,7 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, doc_id
         overall = sure.agg(_quantile(F.col("perplexity"), quantile)).first()[0]
         scored = scored.join(materialize(thresholds(sure, quantile)), "language", "left")
         scored = scored.withColumn("threshold", F.coalesce("threshold", F.lit(overall).cast("double"), F.lit(float("inf"))))
-    return scored.select("row", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("kept"))
+    return scored.select(row, "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("kept"))
 
 
 def _quantile(value: Column, quantile: float) -> Column:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 from .components import connected_components
 from .shingles import BITS, shingle_set, simhash
 
@@ -100,17 +100,46 @@ def _print(h: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64))
 
 
+def _filter_bits(places: DataFrame) -> np.ndarray:
+    """A filter with the bits at `at` (0 to `FILTER`) set: 64 bits a word, of a fixed size whatever the input."""
+    words = places.select(F.floor(F.col("at") / 64).alias("word"), (F.col("at") % 64).cast("int").alias("bit"))
+    found = words.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toPandas()
+    bits = np.zeros(FILTER // 64, np.int64)
+    bits[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return bits
+
+
+def emitted(first: DataFrame) -> DataFrame:
+    """`key`, `fp`, `n`, `at`: the prefixes' shingles that more than one set has, and a few others.
+
+    Only a number of 32 bits is shuffled for each shingle; a filter then tells those that don't occur twice.
+    """
+    at = F.pmod(F.xxhash64("key"), F.lit(1 << 32)).alias("at")
+    twice = first.select(F.explode("prefix").alias("key")).select(at).groupBy("at").agg(F.count("*").alias("n")).where("n > 1")
+    shared = first.sparkSession.sparkContext.broadcast(_filter_bits(twice.select((F.col("at") % FILTER).alias("at"))))
+    hashed = F.transform("prefix", lambda k: F.pmod(F.xxhash64(k), F.lit(1 << 32)) % FILTER)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        for batch in batches:
+            fp, n = (batch.column(c).to_numpy() for c in (0, 1))
+            sizes = np.diff(batch.column(2).offsets.to_numpy())
+            keys, places = (batch.column(c).flatten().to_numpy() for c in (2, 3))
+            own = np.flatnonzero(held[places >> 6] >> (places & 63) & 1)
+            row = np.repeat(np.arange(len(fp)), sizes)[own]
+            at = own - (np.cumsum(sizes) - sizes)[row]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[own], fp[row], n[row], at)], names=["key", "fp", "n", "at"])
+
+    return first.select("fp", "n", "prefix", hashed.alias("places")).mapInArrow(run, "key long, fp long, n long, at long")
+
+
 def shingle_sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """`fp` and `hashes` of the rows of `texts` that `wanted` (`id`, `text_hash`) names, and of a few others.
 
     The rows are told by a filter of a fixed size, so that no text is shuffled.
     """
     key = F.pmod(F.xxhash64("id", "text_hash"), F.lit(FILTER))
-    words = wanted.select(F.floor(key / 64).alias("word"), (key % 64).cast("int").alias("bit")).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
-    found = words.toPandas()
-    bits = np.zeros(FILTER // 64, np.int64)
-    bits[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    shared = texts.sparkSession.sparkContext.broadcast(bits)
+    shared = texts.sparkSession.sparkContext.broadcast(_filter_bits(wanted.select(key.alias("at"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
@@ -148,7 +177,9 @@ def _similar(pairs: DataFrame, first: DataFrame, texts: DataFrame, shingle: int,
     sets = materialize(shingle_sets(texts, wanted, shingle))
     a, b = (sets.select(F.col("fp").alias(x), F.col("hashes").alias(f"hashes_{x}")) for x in "ab")
     both = pairs.join(b, "b").join(a, "a").select("a", "b", (F.size("hashes_a") + F.size("hashes_b")).alias("n"), F.size(F.array_intersect("hashes_a", "hashes_b")).alias("shared"))
-    return both.where(F.col("shared") * F.lit(q) >= (F.col("n") - F.col("shared")) * F.lit(p)).select("a", "b")
+    found = materialize(both.where(F.col("shared") * F.lit(q) >= (F.col("n") - F.col("shared")) * F.lit(p)).select("a", "b"))
+    discard(sets, pairs)
+    return found
 
 
 def _with_key(rows: DataFrame, *found: Column, where: str) -> DataFrame:
@@ -165,18 +196,19 @@ def links(first: DataFrame, texts: DataFrame, shingle: int, similarity: Fraction
     `candidates` are pairs to be looked at in any case.
     """
     may = _may_be_similar(similarity)
-    emitted = first.select("fp", "n", F.posexplode("prefix").alias("at", "key"))
     # a row with the least hash of each salt is the centre; where one row is alone there is none
     own = [F.min(F.struct(F.xxhash64("fp", F.lit(salt)), "fp", "n", "at")).alias(f"to_{salt}") for salt in range(CENTRES)]
-    met = materialize(_with_key(emitted, F.count("*").alias("here"), *own, where="here > 1").drop("here"))
+    met = materialize(_with_key(materialize(emitted(first)), F.count("*").alias("here"), *own, where="here > 1").drop("here"))
     for salt in range(CENTRES):
         to = F.col(f"to_{salt}")
         star = met.where(to["fp"] != F.col("fp")).select(to["fp"].alias("a"), to["n"].alias("n_a"), to["at"].alias("at_a"), F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
         candidates = candidates.union(star.where(may).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    edges = materialize(_similar(candidates, first, texts, shingle, similarity))
+    edges = _similar(candidates, first, texts, shingle, similarity)
     joined = connected_components(edges)
     now = materialize(met.join(joined, met["fp"] == joined["node"], "left").select("key", "fp", "n", "at", F.coalesce("component", "fp").alias("component")))
     left = materialize(_with_key(now, F.min("component").alias("least"), F.max("component").alias("most"), where="least <> most").drop("least", "most"))
     a, b = (left.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("fp", "n", "at", "component")]) for x in "ab")
     pairs = a.join(b, "key").where(F.col("fp_a") < F.col("fp_b")).where("component_a <> component_b").where(may)
-    return edges.union(_similar(pairs.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")), first, texts, shingle, similarity))
+    edges = edges.union(_similar(pairs.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")), first, texts, shingle, similarity))
+    discard(met, now, left)
+    return edges

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import set_join
-from .common import materialize
+from .common import discard, materialize
 from .components import connected_components
 from .shingles import BITS, NO_ID, hashes, simhash
 
@@ -124,11 +124,13 @@ def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     decided by the sets themselves.
     """
     least, texts = Fraction(str(similarity)), _read(docs, doc_id, text)
-    rows = materialize(set_join.sketches(texts, shingle, least))
+    wide = materialize(set_join.sketches(texts, shingle, least))
+    rows = materialize(wide.select("id", "text_hash", "fp"))
     picked = [F.first(c).alias(c) for c in ("n", "sketch", "prefix")]
-    first = materialize(rows.groupBy("fp").agg(F.min(F.struct("id", "text_hash")).alias("first"), *picked))
+    first = materialize(wide.groupBy("fp").agg(F.min(F.struct("id", "text_hash")).alias("first"), *picked))
+    discard(wide)
     edges = set_join.links(first, texts, shingle, least, _near(first))
-    return _keepers(rows.select("id", "text_hash", "fp"), first.select("fp", "first"), edges)
+    return _keepers(rows, first.select("fp", "first"), edges)
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
