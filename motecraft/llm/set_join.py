@@ -35,8 +35,8 @@ from .shingles import BITS, shingle_set, simhash
 SAMPLE, FREQUENT, CENTRES = 5_000, 200_000, 2
 #: Words of a sketch; sets smaller than `SMALL` are compared without.
 SKETCH, SMALL = 4, 64
-#: Bits of the filter that tells most texts without a candidate pair: 16 MB, whatever the input.
-FILTER = 1 << 27
+#: Bits of the filter that tells most texts without a candidate pair: 8 MB, whatever the input.
+FILTER = 1 << 26
 _BATCH = 1 << 20
 
 
@@ -56,10 +56,10 @@ def frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, shingle).view(np.int64))], names=["key"])
 
     counted = texts.select("text").mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 2")
-    top = counted.orderBy(F.desc("n"), "key").limit(FREQUENT).toPandas()
-    keys = top["key"].to_numpy(np.int64).view(np.uint64)
+    top = counted.orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
+    keys = top["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    return keys[order], top["n"].to_numpy(np.int64)[order]
+    return keys[order], top["n"].to_numpy()[order]
 
 
 def sketches(texts: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
@@ -103,9 +103,9 @@ def _print(h: np.ndarray) -> int:
 def _filter_bits(places: DataFrame) -> np.ndarray:
     """A filter with the bits at `at` (0 to `FILTER`) set: 64 bits a word, of a fixed size whatever the input."""
     words = places.select(F.floor(F.col("at") / 64).alias("word"), (F.col("at") % 64).cast("int").alias("bit"))
-    found = words.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toPandas()
+    found = words.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toArrow()
     bits = np.zeros(FILTER // 64, np.int64)
-    bits[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    bits[found["word"].to_numpy()] = found["bits"].to_numpy()
     return bits
 
 
