@@ -7,8 +7,8 @@ the work and not the result. A pair is looked at only if what follows the shared
 which holds at the first shared one, and if a sketch of 256 SimHash bits doesn't rule it out. It is decided by the whole
 sets, which are made again only of the texts in such pairs.
 
-What counts is who hangs together, so pairs within a component need no look. First the members at each shingle are
-checked against one or two of them; then every pair at a shingle that is still in two components is decided, so nothing
+What counts is who hangs together, so pairs within a component need no look. First each set is checked against one that
+it meets, then against one or two at each shingle; then every pair at a shingle that is still in two components is decided, so nothing
 is left to chance.
 
 Defined cases: texts without words are one set, the empty one; fewer words than a shingle make one shingle; letters A to
@@ -173,7 +173,8 @@ def _similar(pairs: DataFrame, first: DataFrame, texts: DataFrame, shingle: int,
     near = (apart <= bits_apart(float(similarity), BITS * SKETCH)) | (F.least("n_a", "n_b") < SMALL)
     sized = F.least("n_a", "n_b") * F.lit(q) >= F.greatest("n_a", "n_b") * F.lit(p)
     pairs = materialize(pairs.distinct().join(a, "a").join(b, "b").where(sized & near).select("a", "b"))
-    wanted = first.join(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi").select("first.*")
+    ends = pairs.select(F.col("a").alias("fp")).distinct().union(pairs.select("b").distinct())
+    wanted = first.join(ends, "fp", "left_semi").select("first.*")
     sets = materialize(shingle_sets(texts, wanted, shingle))
     a, b = (sets.select(F.col("fp").alias(x), F.col("hashes").alias(f"hashes_{x}")) for x in "ab")
     both = pairs.join(b, "b").join(a, "a").select("a", "b", (F.size("hashes_a") + F.size("hashes_b")).alias("n"), F.size(F.array_intersect("hashes_a", "hashes_b")).alias("shared"))
@@ -190,25 +191,41 @@ def _with_key(rows: DataFrame, *found: Column, where: str) -> DataFrame:
     return rows.join(materialize(rows.groupBy("key").agg(*found).where(where)), "key")
 
 
+def _stars(met: DataFrame, may: Column) -> DataFrame:
+    """Pairs (`a`, `b`) of each row with the centres of its key, where they are in two components and may be similar."""
+    own = [F.min(F.struct(F.xxhash64("fp", F.lit(salt)), "fp", "n", "at", "component")).alias(f"to_{salt}") for salt in range(CENTRES)]
+    apart = materialize(_with_key(met, F.min("component").alias("least"), F.max("component").alias("most"), *own, where="least <> most"))
+    pairs = None
+    for salt in range(CENTRES):
+        to = F.col(f"to_{salt}")
+        star = apart.where(to["component"] != F.col("component"))
+        star = star.select(to["fp"].alias("a"), to["n"].alias("n_a"), to["at"].alias("at_a"), F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
+        star = star.where(may).select("a", "b")
+        pairs = star if pairs is None else pairs.union(star)
+    return pairs
+
+
+def _in_components(met: DataFrame, edges: DataFrame) -> DataFrame:
+    joined = connected_components(edges)
+    return materialize(met.drop("component").join(joined, met["fp"] == joined["node"], "left").select("key", "fp", "n", "at", F.coalesce("component", "fp").alias("component")))
+
+
 def links(first: DataFrame, texts: DataFrame, shingle: int, similarity: Fraction, candidates: DataFrame) -> DataFrame:
     """Edges (`a`, `b`) that join exactly the sets of `first` at `similarity`, directly or over others.
 
-    `candidates` are pairs to be looked at in any case.
+    `candidates` are pairs to be looked at in any case. Of the centres that a set meets it is first checked against one,
+    so that a crowd makes no more pairs than it has members.
     """
     may = _may_be_similar(similarity)
-    # a row with the least hash of each salt is the centre; where one row is alone there is none
-    own = [F.min(F.struct(F.xxhash64("fp", F.lit(salt)), "fp", "n", "at")).alias(f"to_{salt}") for salt in range(CENTRES)]
-    met = materialize(_with_key(materialize(emitted(first)), F.count("*").alias("here"), *own, where="here > 1").drop("here"))
-    for salt in range(CENTRES):
-        to = F.col(f"to_{salt}")
-        star = met.where(to["fp"] != F.col("fp")).select(to["fp"].alias("a"), to["n"].alias("n_a"), to["at"].alias("at_a"), F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
-        candidates = candidates.union(star.where(may).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    edges = _similar(candidates, first, texts, shingle, similarity)
-    joined = connected_components(edges)
-    now = materialize(met.join(joined, met["fp"] == joined["node"], "left").select("key", "fp", "n", "at", F.coalesce("component", "fp").alias("component")))
-    left = materialize(_with_key(now, F.min("component").alias("least"), F.max("component").alias("most"), where="least <> most").drop("least", "most"))
+    met = materialize(emitted(first).withColumn("component", F.col("fp")))
+    one = _stars(met, may).groupBy("b").agg(F.min(F.struct(F.xxhash64("a"), "a"))["a"].alias("a")).select("a", "b")
+    edges = _similar(candidates.union(one), first, texts, shingle, similarity)
+    now = _in_components(met, edges)
+    edges = materialize(edges.union(_similar(_stars(now, may), first, texts, shingle, similarity)))
+    last = _in_components(met, edges)
+    left = materialize(_with_key(last, F.min("component").alias("least"), F.max("component").alias("most"), where="least <> most").drop("least", "most"))
     a, b = (left.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("fp", "n", "at", "component")]) for x in "ab")
     pairs = a.join(b, "key").where(F.col("fp_a") < F.col("fp_b")).where("component_a <> component_b").where(may)
     edges = edges.union(_similar(pairs.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")), first, texts, shingle, similarity))
-    discard(met, now, left)
+    discard(met, now, last, left)
     return edges
