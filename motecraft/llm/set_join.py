@@ -165,14 +165,19 @@ def bits_apart(similarity: float, bits: int, deviations: float = 6) -> int:
     return math.ceil(bits * share + deviations * math.sqrt(bits * share * (1 - share)))
 
 
+def _not_ruled_out(similarity: Fraction) -> Column:
+    """Whether the sizes and sketches of two sets allow the similarity."""
+    p, q = similarity.numerator, similarity.denominator
+    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    near = (apart <= bits_apart(float(similarity), BITS * SKETCH)) | (F.least("n_a", "n_b") < SMALL)
+    return (F.least("n_a", "n_b") * F.lit(q) >= F.greatest("n_a", "n_b") * F.lit(p)) & near
+
+
 def _similar(pairs: DataFrame, first: DataFrame, texts: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
     """Those of the pairs (`a`, `b`) whose whole sets are similar, each once."""
     p, q = similarity.numerator, similarity.denominator
     a, b = (first.select(F.col("fp").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
-    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    near = (apart <= bits_apart(float(similarity), BITS * SKETCH)) | (F.least("n_a", "n_b") < SMALL)
-    sized = F.least("n_a", "n_b") * F.lit(q) >= F.greatest("n_a", "n_b") * F.lit(p)
-    pairs = materialize(pairs.distinct().join(a, "a").join(b, "b").where(sized & near).select("a", "b"))
+    pairs = materialize(pairs.distinct().join(a, "a").join(b, "b").where(_not_ruled_out(similarity)).select("a", "b"))
     ends = pairs.select(F.col("a").alias("fp")).distinct().union(pairs.select("b").distinct())
     wanted = first.join(ends, "fp", "left_semi").select("first.*")
     sets = materialize(shingle_sets(texts, wanted, shingle))
@@ -192,15 +197,20 @@ def _with_key(rows: DataFrame, *found: Column, where: str) -> DataFrame:
 
 
 def _stars(met: DataFrame, may: Column) -> DataFrame:
-    """Pairs (`a`, `b`) of each row with the centres of its key, where they are in two components and may be similar."""
-    own = [F.min(F.struct(F.xxhash64("fp", F.lit(salt)), "fp", "n", "at", "component")).alias(f"to_{salt}") for salt in range(CENTRES)]
+    """Pairs (`a`, `b`, `at_a`) of each row with the centres of its key, where they are in two components and may be similar.
+
+    The first centre is the set that has the shingle earliest: what is unique to a set comes before, and of a crowd of
+    altered copies the original has the least of that, so it is similar to more of them than they are to each other.
+    """
+    first = [F.col("at"), *[F.xxhash64("fp", F.lit(salt)) for salt in range(1, CENTRES)]]
+    own = [F.min(F.struct(by.alias("by"), F.xxhash64("fp").alias("tie"), "fp", "n", "at", "component")).alias(f"to_{k}") for k, by in enumerate(first)]
     apart = materialize(_with_key(met, F.min("component").alias("least"), F.max("component").alias("most"), *own, where="least <> most"))
     pairs = None
-    for salt in range(CENTRES):
-        to = F.col(f"to_{salt}")
+    for k in range(CENTRES):
+        to = F.col(f"to_{k}")
         star = apart.where(to["component"] != F.col("component"))
         star = star.select(to["fp"].alias("a"), to["n"].alias("n_a"), to["at"].alias("at_a"), F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
-        star = star.where(may).select("a", "b")
+        star = star.where(may).select("a", "b", "at_a")
         pairs = star if pairs is None else pairs.union(star)
     return pairs
 
@@ -218,14 +228,15 @@ def links(first: DataFrame, texts: DataFrame, shingle: int, similarity: Fraction
     """
     may = _may_be_similar(similarity)
     met = materialize(emitted(first).withColumn("component", F.col("fp")))
-    one = _stars(met, may).groupBy("b").agg(F.min(F.struct(F.xxhash64("a"), "a"))["a"].alias("a")).select("a", "b")
+    one = _stars(met, may).groupBy("b").agg(F.min(F.struct("at_a", F.xxhash64("a"), "a"))["a"].alias("a")).select("a", "b")
     edges = _similar(candidates.union(one), first, texts, shingle, similarity)
     now = _in_components(met, edges)
-    edges = materialize(edges.union(_similar(_stars(now, may), first, texts, shingle, similarity)))
+    edges = materialize(edges.union(_similar(_stars(now, may).drop("at_a"), first, texts, shingle, similarity)))
     last = _in_components(met, edges)
-    left = materialize(_with_key(last, F.min("component").alias("least"), F.max("component").alias("most"), where="least <> most").drop("least", "most"))
-    a, b = (left.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("fp", "n", "at", "component")]) for x in "ab")
-    pairs = a.join(b, "key").where(F.col("fp_a") < F.col("fp_b")).where("component_a <> component_b").where(may)
+    left = _with_key(last, F.min("component").alias("least"), F.max("component").alias("most"), where="least <> most")
+    left = materialize(left.drop("least", "most").join(first.select("fp", "sketch"), "fp"))
+    a, b = (left.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("fp", "n", "at", "component", "sketch")]) for x in "ab")
+    pairs = a.join(b, "key").where(F.col("fp_a") < F.col("fp_b")).where("component_a <> component_b").where(may & _not_ruled_out(similarity))
     edges = edges.union(_similar(pairs.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")), first, texts, shingle, similarity))
     discard(met, now, last, left)
     return edges
