@@ -17,7 +17,7 @@ def op1_bm25_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = weak_supervision.judge(table(spark, sf_dir, "documents"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("posterior", 10).alias("posterior"))
 
 
 def op3_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,73 @@ def op10_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+OP2_SQL = r"""
+WITH RECURSIVE
+docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+read AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM docs),
+windows AS (
+  SELECT row, i, array_to_string(words[i : i + 7], ' ') AS part
+  FROM (SELECT row, words, unnest(range(1, len(words) - 6)) AS i FROM read)),
+twice AS (SELECT row, i FROM windows QUALIFY count(*) OVER (PARTITION BY row, part) > 1),
+spans AS (SELECT row, least(8, coalesce(lead(i) OVER (PARTITION BY row ORDER BY i) - i, 8)) AS n FROM twice),
+repeats AS (SELECT row, CAST(sum(n) AS BIGINT) AS n FROM spans GROUP BY row),
+counted AS (
+  SELECT read.row, doc_id, CAST(len(words) AS BIGINT) AS n_words,
+         CAST(length(text) - length(regexp_replace(text, '[^\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         coalesce(repeats.n, 0) AS n_repeat_words,
+         len(lines) AS n_lines,
+         len(list_filter(words, lambda w: NOT regexp_matches(w, '[\p{L}\p{N}]'))) AS n_bare_words,
+         length(text) - length(replace(text, '!', '')) AS n_exclaim,
+         length(text) - length(regexp_replace(text, '\p{Lu}', '', 'g')) AS n_upper,
+         length(text) - length(regexp_replace(text, '\p{L}', '', 'g')) AS n_letters
+  FROM read LEFT JOIN repeats ON read.row = repeats.row),
+ratios AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+         n_symbols / nullif(n_words, 0) AS r1, n_bare_words / nullif(n_words, 0) AS r2, n_repeat_words / nullif(n_words, 0) AS r3,
+         n_dup_lines / nullif(n_lines, 0) AS r4, n_exclaim / nullif(n_words, 0) AS r5, n_upper / nullif(n_letters, 0) AS r6,
+         n_letters / nullif(word_chars, 0) AS r7, word_chars / nullif(n_words, 0) AS r8
+  FROM counted),
+voted AS ( -- places: of each rule, the one of its vote -1, 0 or 1 among 24
+  SELECT *, [
+      CASE WHEN r1 < 0.1 THEN 3 WHEN r1 > 0.3 THEN 1 ELSE 2 END,
+      CASE WHEN r2 < 0.05 THEN 6 WHEN r2 > 0.2 THEN 4 ELSE 5 END,
+      CASE WHEN r3 < 0.05 THEN 9 WHEN r3 > 0.2 THEN 7 ELSE 8 END,
+      CASE WHEN r4 < 0.1 THEN 12 WHEN r4 > 0.3 THEN 10 ELSE 11 END,
+      CASE WHEN r5 < 0.05 THEN 15 WHEN r5 > 0.2 THEN 13 ELSE 14 END,
+      CASE WHEN r6 < 0.15 THEN 18 WHEN r6 > 0.4 THEN 16 ELSE 17 END,
+      CASE WHEN r7 > 0.85 THEN 21 WHEN r7 < 0.7 THEN 19 ELSE 20 END,
+      CASE WHEN r8 BETWEEN 3 AND 9 THEN 24 WHEN r8 < 2 OR r8 > 14 THEN 22 ELSE 23 END] AS places
+  FROM ratios),
+patterns AS (SELECT places, CAST(count(*) AS DOUBLE) AS n FROM voted GROUP BY places),
+counts AS (SELECT list({'places': places, 'n': n} ORDER BY places) AS held, sum(n) AS total FROM patterns),
+start AS (
+  SELECT list_transform(range(24), lambda k: CAST([0.005, 0.045, 0.95][k % 3 + 1] AS DOUBLE)) AS good,
+         list_transform(range(24), lambda k: CAST([0.25, 0.15, 0.60][k % 3 + 1] AS DOUBLE)) AS bad),
+fitted AS (
+  SELECT 0 AS round, false AS done, CAST(0.8 AS DOUBLE) AS prior, good, bad FROM start
+  UNION ALL
+  SELECT round + 1, abs(prior - least(0.99, greatest(0.01, sure / total))) < 1e-9, least(0.99, greatest(0.01, sure / total)),
+         list_transform(range(1, 25), lambda m:
+           (total / 50 * good0[m] + list_sum(list_transform(list_zip(held, p), lambda x: CASE WHEN list_contains(x[1]['places'], m) THEN x[1]['n'] * x[2] ELSE 0 END))) / (total / 50 + sure)),
+         list_transform(range(1, 25), lambda m:
+           (total / 50 * bad0[m] + list_sum(list_transform(list_zip(held, p), lambda x: CASE WHEN list_contains(x[1]['places'], m) THEN x[1]['n'] * (1 - x[2]) ELSE 0 END))) / (total / 50 + total - sure))
+  FROM (SELECT *, list_sum(list_transform(list_zip(held, p), lambda x: x[1]['n'] * x[2])) AS sure
+        FROM (SELECT fitted.*, held, total, start.good AS good0, start.bad AS bad0,
+                     list_transform(held, lambda x: 1 / (1 + exp(-(ln(prior / (1 - prior)) + list_sum(list_transform(x['places'], lambda m: ln(fitted.good[m] / fitted.bad[m]))))))) AS p
+              FROM fitted, counts, start WHERE NOT done AND round < 100))),
+model AS (SELECT * FROM fitted ORDER BY round DESC LIMIT 1),
+judged AS (
+  SELECT voted.*, 1 / (1 + exp(-(ln(prior / (1 - prior)) + list_sum(list_transform(places, lambda m: ln(good[m] / bad[m])))))) AS posterior
+  FROM voted, model)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND posterior >= 0.5 AS kept, round(posterior, 10) AS posterior
+FROM judged
+"""
+
 OP10_SQL = r"""
 WITH base AS (
   SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS name,
@@ -110,4 +177,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_ecoc": op9_language_ecoc,
     "op10_systematic_mixing": op10_systematic_mixing,
 }
-ORACLES: dict[str, str] = {"op10_systematic_mixing": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op10_systematic_mixing": OP10_SQL}

@@ -1,5 +1,6 @@
 """The pipeline's stages against brute force on small documents, and every query of the operators on the smallest tables."""
 
+import os
 import random
 import re
 from collections import Counter
@@ -113,11 +114,27 @@ def test_queries_cover_the_whole_table(spark, sf, name):
         assert Counter(r[key] for r in rows) == Counter(everything)
 
 
-def test_mixing_equals_sql(spark, sf):
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_sql(spark, sf, name):
+    equals_sql(spark, sf, name)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_sql_on_odd_documents(spark, tmp_path, name):
+    words = " ".join(f"w{i}" for i in range(9))
+    texts = [None, "", " \n\t ", "a", "# * $ !! <b>", f"{words} x {words}", f"{words} {words}", "a b " * 30, "LOUD Été ÉTÉ 漢字 \u00a0 ١٢\n\n é\n é\nx" * 3, "same same " * 4 + "end", "x" * 5000, "-- ** " * 40, "x" * 3]
+    rows = [(i if i % 4 else None, t, "s" if i % 3 else None) for i, t in enumerate(texts)] + [(1, "", "s"), (2, "", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    equals_sql(spark, tmp_path, name)
+    spark.createDataFrame([], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert queries.QUERIES[name](spark, f"{tmp_path}/none").count() == 0
+
+
+def equals_sql(spark, folder, name):
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
-    name = "op10_systematic_mixing"
-    df = queries.QUERIES[name](spark, sf)
+    files = f"{folder}/documents.parquet"
+    con.sql(f"create view documents as select * from '{files}{'/*.parquet' if os.path.isdir(files) else ''}'")
+    df = queries.QUERIES[name](spark, str(folder))
     want = con.sql(queries.ORACLES[name]).select(*df.columns).fetchall()
     assert Counter(map(tuple, df.collect())) == Counter(want)
 
