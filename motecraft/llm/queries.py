@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, ecoc, html_crf, kneser_ney, mixing, nnpu, simhash_ball, surrogates, url_lm, weak_supervision
+from . import byte_bpe, decontamination, ecoc, html_crf, kneser_ney, mixing, nnpu, simhash_ball, surrogates, url_lm, weak_supervision
 from .common import fold_remainder, table
 
 
@@ -62,6 +63,11 @@ def op10_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id"])
+    return made.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 OP2_SQL = r"""
 WITH RECURSIVE
 docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
@@ -176,5 +182,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_kneser_ney": op8_kneser_ney,
     "op9_language_ecoc": op9_language_ecoc,
     "op10_systematic_mixing": op10_systematic_mixing,
+    "op11_byte_bpe": op11_byte_bpe,
 }
 ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op10_systematic_mixing": OP10_SQL}
