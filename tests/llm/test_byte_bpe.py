@@ -44,18 +44,19 @@ def test_encode_and_decode_small_blocks_and_clashing_columns(spark, library):
     assert encoded.columns == ["row", "ids"] and encoded.select("row.*").columns == [c for c in docs.columns if c != "text"]
     got = {r["row"]["doc_id"]: r["ids"] for r in encoded.collect()}
     assert got == {i: library.encode_ordinary(t or "") for i, t in enumerate(ODD * 2)}
-    back = byte_bpe.decode(encoded, byte_bpe.token_table(spark, PATH), block=40).collect()
+    back = byte_bpe.decode(encoded, PATH).collect()
     assert {r["row"]["row"]["doc_id"]: bytes(r["bytes"]) for r in back} == {i: (t or "").encode() for i, t in enumerate(ODD * 2)}
 
 
 def test_decode_nulls_unknown_ids_and_empty_tables(spark):
-    table = byte_bpe.token_table(spark, PATH)
     rows = spark.createDataFrame([(1, None), (2, []), (3, [0, 1, 0])], "k int, ids array<int>")
-    tokens = {r["id"]: bytes(r["token"]) for r in table.where("id < 2").collect()}
-    assert {r["row"]["k"]: bytes(r["bytes"]) for r in byte_bpe.decode(rows, table).collect()} == {1: b"", 2: b"", 3: tokens[0] + tokens[1] + tokens[0]}
-    with pytest.raises(Exception, match="not in the table"):
-        byte_bpe.decode(spark.createDataFrame([(1, [60_000])], "k int, ids array<int>"), table).collect()
-    assert byte_bpe.decode(rows.where("k > 9"), table).collect() == []
+    tokens = {i: t for t, i in byte_bpe.ranks_of(PATH).items()}
+    assert {r["row"]["k"]: bytes(r["bytes"]) for r in byte_bpe.decode(rows, PATH).collect()} == {1: b"", 2: b"", 3: tokens[0] + tokens[1] + tokens[0]}
+    packed = rows.selectExpr("k", "CASE WHEN k = 3 THEN X'000000000100000000000000' END AS ids")
+    assert {r["row"]["k"]: bytes(r["bytes"]) for r in byte_bpe.decode(packed, PATH).collect()} == {1: b"", 2: b"", 3: tokens[0] + tokens[1] + tokens[0]}
+    with pytest.raises(Exception, match="60000"):
+        byte_bpe.decode(spark.createDataFrame([(1, [60_000])], "k int, ids array<int>"), PATH).collect()
+    assert byte_bpe.decode(rows.where("k > 9"), PATH).collect() == []
     assert byte_bpe.encode(spark.createDataFrame([], "doc_id long, text string"), PATH, P.PATTERN).collect() == []
     assert byte_bpe.encode(spark.createDataFrame([("a b",)], "text string"), PATH, P.PATTERN).count() == 1
 
