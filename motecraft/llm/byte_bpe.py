@@ -36,14 +36,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from .common import materialize
+from .common import bucketed
 
 #: Pre-tokens after which a block is closed.
-BLOCK = 2**21
+BLOCK = 2**20
 #: Entries a vocabulary may have: it is sent to every executor.
 MOST_TOKENS = 2**20
 #: Bytes of a pre-token up to which all candidates are looked at for each merge; a rank beyond all.
 SHORT, NEVER = 64, 2**62
+#: Shards of distinct pre-tokens for each partition of a shuffle.
+SHARDS = 4
 
 
 @functools.cache
@@ -207,7 +209,7 @@ def _blocks(rows: DataFrame, pattern: str, size: int, shards: int) -> DataFrame:
         if held:
             yield block()
 
-    return materialize(rows.mapInArrow(run, schema))
+    return bucketed(rows.mapInArrow(run, schema), "block", shards // SHARDS)
 
 
 def _encoded_lists(blocks: DataFrame, ranks: Broadcast, shards: int) -> DataFrame:
@@ -236,7 +238,7 @@ def _encoded_lists(blocks: DataFrame, ranks: Broadcast, shards: int) -> DataFram
 
 def _encoded(docs: DataFrame, path: str, pattern: str, text: str, keep: list[str] | None, packed: bool, block: int) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
-    shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = SHARDS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = _blocks(_with_row(docs, text, keep), pattern, block, shards)
     lists = _encoded_lists(blocks, spark.sparkContext.broadcast(ranks_of(path)), shards)
     back = lists.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("shard", "ids"))).alias("lists"))
@@ -250,9 +252,11 @@ def _encoded(docs: DataFrame, path: str, pattern: str, text: str, keep: list[str
                 lengths = np.concatenate([np.empty(0, np.uint32), *[n for n, _ in parts]]).astype(np.int64)
                 ids = np.concatenate([np.empty(0, np.uint32), *[_whole(x) for _, x in parts]])
                 at = _whole(zstandard.decompress(codes.as_py()))
-                start, n = (np.cumsum(lengths) - lengths)[at], lengths[at]
+                n = lengths[at]
                 total = np.concatenate(([0], np.cumsum(n)))
-                own = ids[np.repeat(start - total[:-1], n) + np.arange(total[-1])]
+                place = np.repeat(((np.cumsum(lengths) - lengths)[at] - total[:-1]).astype(np.int32), n)
+                place += np.arange(total[-1], dtype=np.int32)
+                own = ids[place]
                 ends = total[np.concatenate(([0], np.cumsum(sizes.values.to_numpy(), dtype=np.int64)))]
                 if packed:
                     made = pa.array([own[a:b].astype("<u4").tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())

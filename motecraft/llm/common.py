@@ -38,6 +38,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return made
 
 
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """`materialize` with the rows of a key in one bucket, so that a join on it needs no shuffle of them."""
+    spark, name = df.sparkSession, f"buckets_{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/{name}"
+    df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").saveAsTable(name)
+    made = spark.table(name)
+    made.written_to = path
+    spark.sql(f"DROP TABLE {name}")  # only its name: the files stay, and `made` knows them
+    return made
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete what `materialize` wrote for these very tables, once nothing reads them any more."""
     for made in tables:
