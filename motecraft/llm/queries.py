@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, ecoc, html_crf, kneser_ney, mixing, nnpu, simhash_ball, surrogates, url_lm, weak_supervision
+from . import byte_bpe, decontamination, ecoc, html_crf, kneser_ney, merkle, mixing, nnpu, simhash_ball, surrogates, url_lm, weak_supervision
 from .common import fold_remainder, table
 
 
@@ -68,6 +69,16 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    lowered = {"text": F.translate("text", string.ascii_uppercase, string.ascii_lowercase)}
+    tampered = merkle.leaf(*[lowered.get(c, F.col(c)) for c in columns])
+    docs = table(spark, sf_dir, "documents").withColumn("tampered", F.when(fold_remainder(F.col("doc_id"), 3) == 0, tampered))
+    made = merkle.manifest(docs, columns, group="lang", order="doc_id", keep=["doc_id", "tampered"])
+    judged = made.select("row.doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), merkle.folded(F.coalesce("row.tampered", "leaf"), F.col("proof")).alias("folded_root"))
+    return judged.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 OP2_SQL = r"""
 WITH RECURSIVE
 docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
@@ -171,6 +182,54 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
+OP12_SQL = r"""
+WITH RECURSIVE
+docs AS (
+  SELECT *, CASE WHEN lang IS NULL THEN '0' ELSE '1' || lang END AS grp, coalesce(CAST(doc_id AS VARCHAR), '') AS name,
+         '' || coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+            || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head
+  FROM documents),
+hashed AS (
+  SELECT grp, doc_id, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) AS lowered,
+         xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(list_filter(string_split(name, ''), lambda c: c <> ''), lambda c: CAST(ascii(c) AS BIGINT))),
+           lambda crc, b: list_reduce(list_concat([xor(crc, b)], CAST(range(8) AS BIGINT[])), lambda v, i: xor(v >> 1, (v & 1) * 3988292384)))) AS crc
+  FROM docs),
+leaves AS (
+  SELECT *, CASE WHEN crc % 3 = 0 THEN lowered ELSE leaf END AS shown, row_number() OVER w - 1 AS idx, count(*) OVER (PARTITION BY grp) AS n
+  FROM hashed WINDOW w AS (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf)),
+nodes AS (
+  SELECT grp, 0 AS level, idx, n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT grp, level + 1, idx // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY idx)) FROM nodes WHERE n > 1 GROUP BY grp, level, idx // 8, n),
+subroots AS (SELECT grp, h AS subroot, row_number() OVER (ORDER BY grp) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1),
+upper AS (
+  SELECT 0 AS level, idx, n, subroot AS h FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY idx)) FROM upper WHERE n > 1 GROUP BY level, idx // 8, n),
+runs AS (
+  SELECT grp, level, idx // 8 AS run, list(h ORDER BY idx) AS hs FROM nodes WHERE n > 1 GROUP BY ALL
+  UNION ALL
+  SELECT '', level, idx // 8, list(h ORDER BY idx) FROM upper WHERE n > 1 GROUP BY ALL),
+low AS (
+  SELECT row_number() OVER () AS id, grp, 0 AS level, idx, n, shown AS h, '' AS others FROM leaves
+  UNION ALL
+  SELECT id, low.grp, low.level + 1, idx // 8, (n + 7) // 8,
+         sha256(array_to_string(hs[1 : idx % 8], '') || h || array_to_string(hs[idx % 8 + 2 :], '')),
+         others || array_to_string(hs[1 : idx % 8], '') || array_to_string(hs[idx % 8 + 2 :], '')
+  FROM low JOIN runs ON runs.grp = low.grp AND runs.level = low.level AND run = idx // 8 WHERE n > 1),
+high AS (
+  SELECT id, 0 AS level, subroots.idx, subroots.n, h, others FROM low JOIN subroots USING (grp) WHERE low.n = 1
+  UNION ALL
+  SELECT id, high.level + 1, idx // 8, (n + 7) // 8,
+         sha256(array_to_string(hs[1 : idx % 8], '') || h || array_to_string(hs[idx % 8 + 2 :], '')),
+         others || array_to_string(hs[1 : idx % 8], '') || array_to_string(hs[idx % 8 + 2 :], '')
+  FROM high JOIN runs ON runs.grp = '' AND runs.level = high.level AND run = idx // 8 WHERE n > 1),
+root AS (SELECT h AS root FROM upper WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(others) AS proof_sha256, high.h AS folded_root, high.h = root AS verified
+FROM (SELECT row_number() OVER () AS id, grp, doc_id, leaf FROM leaves) JOIN high USING (id) JOIN subroots USING (grp), root WHERE high.n = 1
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bm25_leaks": op1_bm25_leaks,
     "op2_quality_rules": op2_quality_rules,
@@ -183,5 +242,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_ecoc": op9_language_ecoc,
     "op10_systematic_mixing": op10_systematic_mixing,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
-ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op10_systematic_mixing": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op10_systematic_mixing": OP10_SQL, "op12_merkle_manifest": OP12_SQL}
