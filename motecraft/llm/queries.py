@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, ecoc, html_crf, kneser_ney, merkle, mixing, nnpu, simhash_ball, surrogates, url_lm, weak_supervision
+from . import byte_bpe, collocations, decontamination, ecoc, html_crf, kneser_ney, merkle, mixing, nnpu, simhash_ball, surrogates, url_lm, weak_supervision
 from .common import fold_remainder, table
 
 
@@ -79,6 +79,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = r"""
 WITH RECURSIVE
 docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
@@ -230,6 +234,32 @@ SELECT doc_id, leaf, subroot, root, sha256(others) AS proof_sha256, high.h AS fo
 FROM (SELECT row_number() OVER () AS id, grp, doc_id, leaf FROM leaves) JOIN high USING (id) JOIN subroots USING (grp), root WHERE high.n = 1
 """
 
+OP13_SQL = r"""
+WITH
+pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+parted AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM parted, range(1, 5) AS r(k))),
+counted AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL),
+sizes AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counted WHERE k = 1 GROUP BY lang),
+found AS (SELECT lang, phrase, string_split(phrase, ' ') AS w, k, f AS a FROM counted WHERE k > 1 AND f >= 30),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, x.f AS l, y.f AS r, CAST((CAST(2000000 AS HUGEINT) * c.a) // (x.f + y.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM found) c
+  JOIN counted x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : c.cut], ' ')
+  JOIN counted y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.cut + 1 :], ' ')),
+scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+within AS (
+  SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT lang, w, a, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM found)) GROUP BY 1, 2),
+ranked AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank
+  FROM scored s LEFT JOIN within ON within.lang = s.lang AND within.phrase = s.phrase WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT ranked.lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bm25_leaks": op1_bm25_leaks,
     "op2_quality_rules": op2_quality_rules,
@@ -243,5 +273,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_systematic_mixing": op10_systematic_mixing,
     "op11_byte_bpe": op11_byte_bpe,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_collocations": op13_collocations,
 }
-ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op10_systematic_mixing": OP10_SQL, "op12_merkle_manifest": OP12_SQL}
+ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op10_systematic_mixing": OP10_SQL, "op12_merkle_manifest": OP12_SQL, "op13_collocations": OP13_SQL}
