@@ -240,17 +240,22 @@ pieces AS (
   SELECT coalesce(lang, 'und') AS lang,
          unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
   FROM documents),
-parted AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
-grams AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM parted, range(1, 5) AS r(k))),
-counted AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL),
+parted AS (SELECT lang, row_number() OVER () AS piece, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+words AS (SELECT lang, piece, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM parted),
+led AS (SELECT lang, w1, lead(w1) OVER x AS w2, lead(w1, 2) OVER x AS w3, lead(w1, 3) OVER x AS w4 FROM words WINDOW x AS (PARTITION BY piece ORDER BY i)),
+grams AS (
+  SELECT lang, 1 AS k, w1 AS phrase FROM led
+  UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM led WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM led WHERE w3 IS NOT NULL
+  UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM led WHERE w4 IS NOT NULL),
+counted AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL),
 sizes AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counted WHERE k = 1 GROUP BY lang),
-found AS (SELECT lang, phrase, string_split(phrase, ' ') AS w, k, f AS a FROM counted WHERE k > 1 AND f >= 30),
-cuts AS (
+found AS MATERIALIZED (SELECT lang, phrase, string_split(phrase, ' ') AS w, k, f AS a FROM counted WHERE k > 1 AND f >= 30),
+cuts AS (SELECT *, array_to_string(w[1 : cut], ' ') AS left_part, array_to_string(w[cut + 1 :], ' ') AS right_part FROM (SELECT *, unnest(range(1, k)) AS cut FROM found)),
+measured AS (
   SELECT c.lang, c.phrase, c.a, c.cut, x.f AS l, y.f AS r, CAST((CAST(2000000 AS HUGEINT) * c.a) // (x.f + y.f) AS BIGINT) AS score
-  FROM (SELECT *, unnest(range(1, k)) AS cut FROM found) c
-  JOIN counted x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : c.cut], ' ')
-  JOIN counted y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.cut + 1 :], ' ')),
-scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+  FROM cuts c JOIN counted x ON x.lang = c.lang AND x.phrase = c.left_part JOIN counted y ON y.lang = c.lang AND y.phrase = c.right_part),
+scored AS (SELECT * FROM measured QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
 within AS (
   SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(a) AS longer
   FROM (SELECT lang, w, a, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM found)) GROUP BY 1, 2),
