@@ -33,8 +33,8 @@ from .common import bucketed, discard, materialize
 
 #: Least occurrences and most words of a phrase, phrases reported for a language, parts of a longer phrase's frequency.
 LEAST, LONGEST, TOP, SHARE = 30, 4, 2000, (80, 100)
-#: Positions after which a block is closed.
-BLOCK = 2**20
+#: Positions after which a block is closed, and items that a task gathers before it returns them to the blocks.
+BLOCK, RETURNED = 2**20, 2**20
 #: Shares of a language that are ranked by themselves first.
 SHARES = 64
 #: Separators of pieces become line ends and tabs blanks.
@@ -92,16 +92,19 @@ def _blocks(docs: DataFrame, text: str, lang: str, size: int, buckets: int) -> D
     return bucketed(made.mapInArrow(run, "block long, lang string, n long, words array<string>, counts array<long>, positions binary"), "block", buckets)
 
 
-def frequent(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """Those of `rows` (`keys`, `n`, others) whose keys' `n` sum up to `least` at least, with `total`, `id` and, on one of them, `first`.
+def frequent(rows: DataFrame, keys: list[str], own: str, least: int) -> tuple[DataFrame, DataFrame]:
+    """The keys of `rows` (`keys`, `n`, `block`, `own`) whose `n` sum up to `least` at least, and what they are in each block.
 
-    The rows of a key meet sorted in one task, which sums them up as they pass. Ids are dense: a task counts its keys, and
-    the counts of the tasks before are added.
+    Returns `keys`, `total` and `id`, and of each block the arrays `own` and `ids`. The rows of a key meet sorted in one
+    task, which sums them up as they pass and gathers what goes back to a block, a row for each block. Ids are dense: a
+    task counts its keys, and the counts of the tasks before are added.
     """
-    others = [c for c in rows.columns if c not in (*keys, "n")]
+    kinds = dict(rows.dtypes)
+    names = [*keys, "total", "part", "place", "block", "own", "places"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made, rest = TaskContext.get().partitionId(), 0, None
+        back: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def starts(t: pa.Table) -> np.ndarray:
             new = np.ones(len(t), bool)
@@ -110,19 +113,28 @@ def frequent(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
                 new[1:] = ~np.logical_and.reduce(same)
             return np.flatnonzero(new)
 
-        def summed(t: pa.Table, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def summed(t: pa.Table, at: np.ndarray) -> pa.RecordBatch:
             nonlocal made
             total = np.add.reduceat(t["n"].to_numpy(), at)
             keep, sizes = total >= least, np.diff(at, append=len(t))
-            on = np.repeat(keep, sizes)
-            order = np.repeat(made + np.cumsum(keep) - 1, sizes)[on]
+            place = made + np.cumsum(keep) - 1
             made += int(keep.sum())
-            kept = t.select([*keys, *others]).filter(pa.array(on))
-            first = np.zeros(len(t), bool)
-            first[at] = True
-            for name, values in (("total", np.repeat(total, sizes)[on]), ("part", np.full(len(order), part)), ("place", order), ("first", first[on])):
-                kept = kept.append_column(name, pa.array(values, pa.bool_() if name == "first" else pa.int64()))
-            yield from kept.combine_chunks().to_batches()
+            on = np.repeat(keep, sizes)
+            back.append((t["block"].to_numpy()[on], t[own].to_numpy()[on].astype(np.int64), np.repeat(place, sizes)[on]))
+            n = int(keep.sum())
+            firsts = t.select(keys).take(pa.array(at[keep])).combine_chunks()
+            fields = [*(firsts[k].combine_chunks() for k in keys), pa.array(total[keep], pa.int64()), pa.array(np.full(n, part), pa.int64()), pa.array(place[keep], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(fields, names=names)
+
+        def returned() -> pa.RecordBatch:
+            blocks, owns, places = (np.concatenate(x) for x in zip(*back, strict=True))
+            back.clear()
+            order = np.argsort(blocks, kind="stable")
+            each, first = np.unique(blocks[order], return_index=True)
+            n, edge = len(each), pa.array([*first, len(order)], pa.int32())
+            lists = [pa.ListArray.from_arrays(edge, pa.array(x[order], pa.int64())) for x in (owns, places)]
+            nothing = [pa.nulls(n, {"string": pa.string(), "bigint": pa.int64()}[kinds[k]]) for k in keys]
+            return pa.RecordBatch.from_arrays([*nothing, pa.nulls(n, pa.int64()), pa.array(np.full(n, part), pa.int64()), pa.nulls(n, pa.int64()), pa.array(each, pa.int64()), *lists], names=names)
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -131,17 +143,22 @@ def frequent(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
                 at = starts(t)
                 rest = t.slice(at[-1])
                 if at[-1]:
-                    yield from summed(t.slice(0, at[-1]), at[:-1])
+                    yield summed(t.slice(0, at[-1]), at[:-1])
+                    if sum(len(x) for x, _, _ in back) >= RETURNED:
+                        yield returned()
         if rest is not None:
-            yield from summed(rest, starts(rest))
+            yield summed(rest, starts(rest))
+        if back:
+            yield returned()
 
-    kinds = ", ".join(f"{c} {dict(rows.dtypes)[c]}" for c in (*keys, *others))
     spread = rows.repartition(*keys).sortWithinPartitions(*keys)
-    found = materialize(spread.mapInArrow(run, f"{kinds}, total long, part long, place long, first boolean"))
-    counts = found.where("first").groupBy("part").count()
+    found = materialize(spread.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", total long, part long, place long, block long, own array<long>, places array<long>"))
+    counts = found.where("block IS NULL").groupBy("part").count()
     before = counts.select("part", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    # a row for each task of the shuffle
-    return found.join(F.broadcast(before), "part").select(*keys, *others, "total", "first", (F.col("before") + F.col("place")).alias("id"))
+    placed = found.join(F.broadcast(before), "part")  # a row for each task of the shuffle
+    one = placed.where("block IS NULL").select(*keys, "total", (F.col("before") + F.col("place")).alias("id"))
+    per_block = placed.where("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("own", F.transform("places", lambda x: x + F.col("before")).alias("ids"))).alias("parts"))
+    return one, per_block.select("block", F.flatten("parts.own").alias("own"), F.flatten("parts.ids").alias("ids"))
 
 
 class _Lists:
@@ -181,12 +198,7 @@ def _read(batch: pa.RecordBatch, i: int) -> _Lists:
     return _Lists(batch.column("block")[i].as_py(), np.repeat(values("phrases"), values("phrase_counts")), _unpack(batch.column("phrase_at")[i].as_py()), np.repeat(values("words"), values("word_counts")), _unpack(batch.column("word_at")[i].as_py()))
 
 
-def _kept(found: DataFrame, by: str) -> DataFrame:
-    """Of each block, its frequent items and their ids: no more than the block has."""
-    return found.groupBy("block").agg(F.collect_list(by).alias("own"), F.collect_list("id").alias("ids"))
-
-
-def _words_of_blocks(blocks: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
+def _words_of_blocks(blocks: DataFrame, kept: DataFrame, buckets: int) -> DataFrame:
     """The lists of frequent words, by id: the phrases of one word and the words that may follow them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +211,7 @@ def _words_of_blocks(blocks: DataFrame, found: DataFrame, buckets: int) -> DataF
                 on = every >= 0
                 yield _state(batch.column("block")[i].as_py(), every[on][:0], at[:0], every[on], at[on])
 
-    joined = blocks.select("block", "counts", "positions").join(_kept(found, "code"), "block")
+    joined = blocks.select("block", "counts", "positions").join(kept, "block")
     return bucketed(joined.mapInArrow(run, _STATE), "block", buckets)
 
 
@@ -221,7 +233,7 @@ def _extended(state: DataFrame, length: int, n_words: int) -> DataFrame:
     return state.mapInArrow(run, "key long, n long, block long")
 
 
-def _advanced(state: DataFrame, found: DataFrame, length: int, n_words: int, buckets: int) -> DataFrame:
+def _advanced(state: DataFrame, kept: DataFrame, length: int, n_words: int, buckets: int) -> DataFrame:
     """The lists of frequent phrases that are a word longer, and of the words at their ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +249,7 @@ def _advanced(state: DataFrame, found: DataFrame, length: int, n_words: int, buc
                 ends = np.isin(lists.word_at, at[hit] + length)
                 yield _state(lists.block, ids[place[hit]], at[hit], lists.words[ends], lists.word_at[ends])
 
-    return bucketed(state.join(_kept(found, "key"), "block").mapInArrow(run, _STATE), "block", buckets)
+    return bucketed(state.join(kept, "block").mapInArrow(run, _STATE), "block", buckets)
 
 
 def phrases(docs: DataFrame, *, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -246,24 +258,24 @@ def phrases(docs: DataFrame, *, text: str = "text", lang: str = "lang", least: i
     blocks = _blocks(docs, text, lang, block, buckets)
     sizes = materialize(blocks.groupBy("lang").agg(F.sum("n").alias("n")))
     each = blocks.select("lang", "block", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "item")).select("lang", F.col("item.words").alias("word"), F.col("item.counts").alias("n"), "block", "code")
-    found = frequent(each, ["lang", "word"], least)
-    state = _words_of_blocks(blocks, found, buckets)
-    words = materialize(found.where("first").select("id", "lang", F.array("word").alias("words"), F.col("total").alias("f")))
+    found, kept = frequent(each, ["lang", "word"], "code", least)
+    state = _words_of_blocks(blocks, kept, buckets)
+    words = materialize(found.select("id", "lang", F.array("word").alias("words"), F.col("total").alias("f")))
     discard(blocks)
     n_words = max(1, words.count())
     levels, n_left = [words], n_words
     for length in range(1, longest):
         if n_left * n_words >= 2**63:
             raise ValueError("more frequent phrases than a number of 64 bits can tell apart")
-        found = frequent(_extended(state, length, n_words), ["key"], least)
+        found, kept = frequent(_extended(state, length, n_words), ["key"], "key", least)
         left, last = F.expr(f"key div {n_words}L"), F.col("key") % n_words
-        grown = found.where("first").select("id", left.alias("left"), last.alias("last"), F.col("total").alias("f"))
+        grown = found.select("id", left.alias("left"), last.alias("last"), F.col("total").alias("f"))
         begun = levels[-1].select(F.col("id").alias("left"), "lang", F.col("words").alias("begun"))
         ended = words.select(F.col("id").alias("last"), F.col("words").alias("ended"))
         levels.append(materialize(grown.join(begun, "left").join(ended, "last").select("id", "lang", F.concat("begun", "ended").alias("words"), "f")))
         n_left = levels[-1].count()
         if length + 1 < longest:
-            state, before = _advanced(state, found, length, n_words, buckets), state
+            state, before = _advanced(state, kept, length, n_words, buckets), state
             discard(before)
     every = levels[0]
     for level in levels[1:]:
