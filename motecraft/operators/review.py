@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motecraft.config import Config, Thresholds
@@ -134,12 +134,47 @@ def decide_plain(points: DataFrame, thresholds: Thresholds = Thresholds(), score
     ).drop("_score", "_base")
 
 
+#: Edits that a log may hold beside `UNDO`, which takes back the latest edit of the same point that still stands.
+EDITS, UNDO = ("keep", "delete"), "undo"
+#: Places of the log that are summed up together before the sums are summed: bounds what one task orders.
+CHUNK = 65_536
+
+
+def standing_edits(log: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """The edit of each point that stands after its whole log (image_id, id, seq, action): `human_decision`, or null if all were undone.
+
+    Each point has a stack: an edit is put on it, an undo takes one off, or nothing from an empty one. The height after
+    each action is a running sum less its lowest value so far, if negative; what stands is the last edit that reached
+    the final height. Sums run over chunks of places first and over the chunks of a point then, so a point with many
+    actions is not in one task. Places are distinct within a point. Unknown actions fail; null ones count as none.
+    """
+    known = F.col("action").isin(*EDITS, UNDO)
+    step = F.when(F.col("action") == UNDO, -1).when(known, 1).otherwise(F.raise_error(F.concat(F.lit("unknown action: "), F.col("action"))).cast("int"))
+    point, part = ["image_id", "id"], ["image_id", "id", "_chunk"]
+    acts = log.where("action IS NOT NULL").select(*point, "seq", "action", step.alias("_step"), F.floor(F.col("seq") / chunk).alias("_chunk"))
+    inner = Window.partitionBy(*part).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    acts = acts.withColumn("_sum", F.sum("_step").over(inner)).withColumn("_low", F.min("_sum").over(inner))
+    earlier = Window.partitionBy(*point).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = acts.groupBy(*part).agg(F.sum("_step").alias("_all"), F.min("_sum").alias("_least"))
+    chunks = chunks.withColumn("_before", F.coalesce(F.sum("_all").over(earlier), F.lit(0)))
+    chunks = chunks.withColumn("_lowest", F.coalesce(F.min(F.col("_before") + F.col("_least")).over(earlier), F.lit(0))).drop("_all", "_least")
+    chunks = chunks.withColumnsRenamed({c: f"_of_{c}" for c in part})
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in part]
+    height = F.col("_before") + F.col("_sum") - F.least(F.lit(0), "_lowest", F.col("_before") + F.col("_low"))
+    high = acts.join(chunks, same).select(*point, "seq", "action", "_step", height.alias("_height"))
+    reached = high.groupBy(*point, "_height").agg(F.max("seq").alias("_last"), F.max_by(F.when(F.col("_step") > 0, F.col("action")), F.when(F.col("_step") > 0, F.col("seq"))).alias("_edit"))
+    return reached.groupBy(*point).agg(F.max_by(F.when(F.col("_height") > 0, F.col("_edit")), "_last").alias("human_decision"))
+
+
 def corrected(points: DataFrame, corrections: DataFrame, added: DataFrame | None = None) -> DataFrame:
     """Human edits: `corrections` (image_id, id, human_decision) delete or keep points, `added` are manual ones.
 
-    The exact format of exported corrections is not known; this follows the visible effects of the edits.
+    Of several edits of a point the last by `seq` counts; without that column, keeping goes before deleting. A log with
+    undos becomes corrections by `standing_edits`. The exact format of exported corrections is not known; this follows
+    the visible effects of the edits.
     """
-    edits = corrections.select("image_id", "id", F.col("human_decision").alias("_edit"))
+    last = F.max_by("human_decision", "seq") if "seq" in corrections.columns else F.max("human_decision")
+    edits = corrections.groupBy("image_id", "id").agg(last.alias("_edit"))
     p = with_optional(points).join(edits, ["image_id", "id"], "left")
     keep = F.col("_edit") == "keep"
     edited = p.withColumns(

@@ -314,6 +314,39 @@ def q_human_edits(spark, sf_dir):
     return report.summarise(review.corrected(p, edits)).select("image_id", "count", "review_count")
 
 
+@query(
+    """WITH l AS (SELECT event_type AS image_id, user_id % 40 AS id, event_id AS seq, ['undo', 'keep', 'undo', 'delete', 'keep'][(event_id * 7 + user_id) % 5 + 1] AS action FROM events),
+s AS (SELECT image_id, id, list_reduce(list_transform(list(action ORDER BY seq), lambda a: [a]), lambda stack, a: CASE WHEN a[1] = 'undo' THEN stack[1 : len(stack) - 1] ELSE list_concat(stack, a) END, []::VARCHAR[]) AS stack FROM l GROUP BY ALL)
+SELECT image_id, id, stack[len(stack)] AS human_decision FROM s"""
+)
+def q_edit_log(spark, sf_dir):
+    """What stands of each point's edits after all undos."""
+    action = F.element_at(F.array(*map(F.lit, ("undo", "keep", "undo", "delete", "keep"))), ((F.col("event_id") * 7 + F.col("user_id")) % 5 + 1).cast("int"))
+    log = _table(spark, sf_dir, "events").select(F.col("event_type").alias("image_id"), (F.col("user_id") % 40).alias("id"), F.col("event_id").alias("seq"), action.alias("action"))
+    return review.standing_edits(log, chunk=500)
+
+
+#: The 64 components of an embedding as an 8 x 8 picture of eight greys.
+GREYS = """px AS (SELECT vec_id, i - 1 AS i, (i - 1) % 8 AS x, (i - 1) // 8 AS y, least(7, greatest(0, floor(4 + 16 * embedding[i]::DOUBLE)))::INT AS v FROM embeddings, range(1, 65) AS r(i))"""
+
+
+def grey_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grey = F.transform("embedding", lambda e: F.least(F.lit(7), F.greatest(F.lit(0), F.floor(4 + 16 * e.cast("double")))).cast("int"))
+    return images.pictures(_table(spark, sf_dir, "embeddings").select("vec_id", grey.alias("grey")), "vec_id", "grey", 8)
+
+
+@query(
+    f"""WITH RECURSIVE {GREYS}, m AS (SELECT vec_id, t, x, y, i FROM px, range(0, 8) AS l(t) WHERE v >= t),
+c(vec_id, t, x, y, label) USING KEY (vec_id, t, x, y) AS (SELECT vec_id, t, x, y, i FROM m UNION (SELECT m.vec_id, m.t, m.x, m.y, min(c.label) FROM m JOIN c ON m.vec_id = c.vec_id AND m.t = c.t AND abs(m.x - c.x) <= 1 AND abs(m.y - c.y) <= 1 JOIN recurring.c AS old ON old.vec_id = m.vec_id AND old.t = m.t AND old.x = m.x AND old.y = m.y WHERE c.label < old.label GROUP BY ALL)),
+r AS (SELECT c.vec_id, c.t AS level, c.label, count(*) AS area FROM c JOIN px ON px.vec_id = c.vec_id AND px.x = c.x AND px.y = c.y GROUP BY ALL HAVING min(px.v) = c.t)
+SELECT vec_id, level, area, count(*) AS n FROM r GROUP BY ALL"""
+)
+def q_region_areas(spark, sf_dir):
+    """Areas of the nodes of the trees of bright regions, by level: regions that hold a pixel of just that level."""
+    found = images.region_tree(grey_pictures(spark, sf_dir))
+    return found.groupBy(F.col("image_id").cast("long").alias("vec_id"), F.col("level").cast("long").alias("level"), "area").agg(F.count("*").alias("n"))
+
+
 #: Red, green and blue of the formula image: background, two dark squares, and their bright cores.
 PIXELS = """px AS (SELECT x, y, CASE WHEN core1 THEN 195 WHEN core2 THEN 218 WHEN dark THEN 65 ELSE 245 END AS r, CASE WHEN core1 THEN 220 WHEN core2 THEN 225 WHEN dark THEN 75 ELSE 245 END AS g, CASE WHEN core1 THEN 160 WHEN core2 THEN 205 WHEN dark THEN 70 ELSE 245 END AS b FROM (
   SELECT x, y, greatest(abs(x - 45), abs(y - 80)) <= 7 AS core1, greatest(abs(x - 105), abs(y - 80)) <= 7 AS core2, least(greatest(abs(x - 45), abs(y - 80)), greatest(abs(x - 105), abs(y - 80))) <= 11 AS dark
