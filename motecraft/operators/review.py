@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motecraft.config import Config, Thresholds
+from motecraft.functions.numbers import rounded
 
 #: Fixed texts of the reason codes, in the order in which they are listed.
 REASON_TEXT = {
@@ -87,7 +88,7 @@ def decide(points: DataFrame, thresholds: Thresholds = Thresholds(), score: str
     base = F.coalesce("baseline_status", "status", F.lit("review"))
     accepted = base == "accepted"
     priority, reject, accept = s < thresholds.priority_below, s < thresholds.reject, s >= thresholds.accept
-    rounded = F.bround(s, 6)
+    shown = rounded(s, 6)
 
     def pick(people: Column, suggested: Column, *rest: Column) -> Column:
         """Values of the rows of the table: accepted and low, accepted, rejected, accepted by score, left."""
@@ -103,7 +104,7 @@ def decide(points: DataFrame, thresholds: Thresholds = Thresholds(), score: str
         "removed": pick(old("removed"), old("removed"), lit(False), lit(False), lit(True), lit(False), lit(False)),
         "model_rejected": pick(old("model_rejected"), old("model_rejected"), lit(False), lit(False), lit(True), lit(False), lit(False)),
         "reason": pick(old("reason"), old("reason"), _noted(PRIORITY_TEXT), old("reason"), _noted(REJECT_TEXT), _noted(ACCEPT_TEXT), _noted(UNSURE_TEXT)),
-        "model_score": F.when(F.col("_people"), F.col("model_score")).otherwise(rounded),
+        "model_score": F.when(F.col("_people"), F.col("model_score")).otherwise(shown),
         "baseline_status": F.when(F.col("_people") | F.col("_aside"), F.col("baseline_status")).otherwise(base),
         "review_priority": F.when(F.col("_people") | F.col("_aside"), F.col("review_priority")).otherwise(priority),
         "origin": F.when(F.col("_people") | F.col("_aside"), F.col("origin")).otherwise("automatic"),
@@ -122,7 +123,7 @@ def decide_plain(points: DataFrame, thresholds: Thresholds = Thresholds(), score
     return ready.withColumns(
         {
             "baseline_status": F.col("_base"),
-            "model_score": F.bround(s, 6),
+            "model_score": rounded(s, 6),
             "review_priority": priority,
             "model_decision": F.when(accepted & priority, "review_original_green").when(accepted, "preserve_original_green").when(reject, "reject").when(accept, "accept").otherwise("review"),
             "reason": F.when(accepted & ~priority, F.col("reason")).when(accepted, _noted(PRIORITY_TEXT)).when(reject, _noted(PLAIN_REJECT_TEXT)).when(accept, _noted(ACCEPT_TEXT)).otherwise(_noted(UNSURE_TEXT)),

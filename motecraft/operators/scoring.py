@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motecraft.config import Thresholds
-from motecraft.operators import features
+from motecraft.operators import features, trees
 
 
 class Scorer(Protocol):
@@ -48,6 +48,12 @@ def by_function(f: Callable[[np.ndarray], np.ndarray], feature_names: list[str]
     return scorer
 
 
+def ensemble(folder: str, scale: float = 1.0) -> tuple[Scorer, Thresholds]:
+    """The scorer of a model of trees in a folder, and its own thresholds."""
+    model, thresholds, _ = trees.load(folder, features.names(), features.VERSION)
+    return by_function(model.scores, features.names(), scale), thresholds
+
+
 def checked_artifact(path: str, metadata: dict, feature_version: str = features.VERSION) -> tuple[bytes, Thresholds]:
     """A model file's bytes and thresholds, after its hash, features and feature version are found as in `metadata`.
 

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from motecraft.config import Config, Thresholds
 from motecraft.functions import values
-from motecraft.operators import report, review, spatial
+from motecraft.functions.numbers import rounded
+from motecraft.operators import report, review, spatial, trees
 from motecraft.plans import images
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -326,6 +327,37 @@ def q_edit_log(spark, sf_dir):
     return review.standing_edits(log, chunk=500)
 
 
+@query(
+    """WITH v AS (SELECT event_id, value, event_id / 8.0::DOUBLE AS eighth, value * 1000 / 7 AS odd FROM events)
+SELECT event_id, CAST(printf('%.2f', value) AS DOUBLE) AS two, CAST(printf('%.2f', eighth) AS DOUBLE) AS tie, CAST(printf('%.3f', odd) AS DOUBLE) AS three FROM v"""
+)
+def q_rounded(spark, sf_dir):
+    """Decimals by the exact binary value, halves to even."""
+    v, n = F.col("value"), F.col("event_id")
+    return _table(spark, sf_dir, "events").select("event_id", rounded(v, 2).alias("two"), rounded(n / 8, 2).alias("tie"), rounded(v * 1000 / 7, 3).alias("three"))
+
+
+#: Five small trees over `value` and `user_id` of events, with thresholds from the largest of both.
+TREES = """SELECT tree, node, feature, CASE feature WHEN 0 THEN most_value WHEN 1 THEN most_user END * (tree + 1 + node * 3 % 5) / 12.0 AS threshold,
+  CASE WHEN feature IS NOT NULL THEN node * 2 + 1 END AS "left", CASE WHEN feature IS NOT NULL THEN node * 2 + 2 END AS "right", CASE WHEN feature IS NULL THEN (tree * 7 + node * 3) % 11 / 10.0 END AS value
+  FROM (SELECT *, CASE WHEN node < 3 AND NOT (node = 2 AND tree = 3) THEN (tree + node) % 2 END AS feature FROM (SELECT max(value) AS most_value, max(user_id) AS most_user FROM events), {trees}, {nodes} WHERE NOT (tree = 3 AND node > 4))"""
+
+
+@query(
+    f"""WITH RECURSIVE nodes AS ({TREES.format(trees="(SELECT range AS tree FROM range(5))", nodes="(SELECT range AS node FROM range(7))")}),
+w AS (SELECT event_id, e.value AS f0, e.user_id::DOUBLE AS f1, t.tree, 0::BIGINT AS node FROM events e, (SELECT DISTINCT tree FROM nodes) t
+  UNION ALL SELECT event_id, f0, f1, w.tree, CASE WHEN CASE n.feature WHEN 0 THEN f0 ELSE f1 END <= n.threshold THEN n."left" ELSE n."right" END FROM w JOIN nodes n ON n.tree = w.tree AND n.node = w.node WHERE n.feature IS NOT NULL)
+SELECT event_id, round(avg(n.value), 9) AS score FROM w JOIN nodes n ON n.tree = w.tree AND n.node = w.node WHERE n.feature IS NULL GROUP BY event_id"""
+)
+def q_tree_scores(spark, sf_dir):
+    """Scores of events by an ensemble whose nodes are a table."""
+    events = _table(spark, sf_dir, "events")
+    made = TREES.format(trees="(SELECT id AS tree FROM range(5))", nodes="(SELECT id AS node FROM range(7))").replace('"left"', "`left`").replace('"right"', "`right`").replace("FROM events", "FROM {events}").replace("12.0", "12.0D").replace("10.0", "10.0D")
+    nodes = spark.sql(made, events=events).toPandas()  # a model: 33 nodes
+    scored = trees.walk(events.select("event_id", "value", "user_id"), ["value", "user_id"], trees.Ensemble(nodes))
+    return scored.select("event_id", F.round("score", 9).alias("score"))
+
+
 #: The 64 components of an embedding as an 8 x 8 picture of eight greys.
 GREYS = """px AS (SELECT vec_id, i - 1 AS i, (i - 1) % 8 AS x, (i - 1) // 8 AS y, least(7, greatest(0, floor(4 + 16 * embedding[i]::DOUBLE)))::INT AS v FROM embeddings, range(1, 65) AS r(i))"""
 
