@@ -28,7 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 import tiktoken
 import zstandard
 from pyspark import Broadcast, TaskContext
@@ -171,7 +171,7 @@ def _whole(planes: memoryview | bytes) -> np.ndarray:
 def _lists(words: pa.StringArray, shards: int) -> tuple[list[bytes | None], np.ndarray]:
     """Distinct words dealt to shards, each shard's in order and packed, and the number of each word in the order of all shards."""
     dealt = np.fromiter((zlib.crc32(w) % shards for w in words.cast(pa.binary()).to_pylist()), np.int64, len(words))
-    order = pa.compute.sort_indices(pa.table({"shard": dealt, "word": words}), [("shard", "ascending"), ("word", "ascending")]).to_numpy()
+    order = pc.sort_indices(pa.table({"shard": dealt, "word": words}), [("shard", "ascending"), ("word", "ascending")]).to_numpy()
     number = np.empty(len(words), np.uint32)
     number[order] = np.arange(len(words), dtype=np.uint32)
     ordered, ends = words.take(pa.array(order)), np.searchsorted(dealt[order], np.arange(shards + 1))

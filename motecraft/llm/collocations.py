@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -109,7 +109,7 @@ def frequent(rows: DataFrame, keys: list[str], own: str, least: int) -> tuple[Da
         def starts(t: pa.Table) -> np.ndarray:
             new = np.ones(len(t), bool)
             if len(t) > 1:
-                same = [pa.compute.equal(t[k].slice(1), t[k].slice(0, len(t) - 1)).to_numpy() for k in keys]
+                same = [pc.equal(t[k].slice(1), t[k].slice(0, len(t) - 1)).to_numpy() for k in keys]
                 new[1:] = ~np.logical_and.reduce(same)
             return np.flatnonzero(new)
 
