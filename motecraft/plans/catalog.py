@@ -1,7 +1,7 @@
 """Queries that run each operator on tables, with the SQL that must give the same rows.
 
 The tables hold no images. Embeddings stand in for points (three components as x, y and rank, the label as the image),
-events for scored points; pixel queries use an image whose pixels are a formula of x and y.
+events for scored points; pixel queries use pictures made of each embedding's components, or drawn for each supplier.
 """
 
 from __future__ import annotations
@@ -379,73 +379,89 @@ def q_region_areas(spark, sf_dir):
     return found.groupBy(F.col("image_id").cast("long").alias("vec_id"), F.col("level").cast("long").alias("level"), "area").agg(F.count("*").alias("n"))
 
 
-#: Red, green and blue of the formula image: background, two dark squares, and their bright cores.
-PIXELS = """px AS (SELECT x, y, CASE WHEN core1 THEN 195 WHEN core2 THEN 218 WHEN dark THEN 65 ELSE 245 END AS r, CASE WHEN core1 THEN 220 WHEN core2 THEN 225 WHEN dark THEN 75 ELSE 245 END AS g, CASE WHEN core1 THEN 160 WHEN core2 THEN 205 WHEN dark THEN 70 ELSE 245 END AS b FROM (
-  SELECT x, y, greatest(abs(x - 45), abs(y - 80)) <= 7 AS core1, greatest(abs(x - 105), abs(y - 80)) <= 7 AS core2, least(greatest(abs(x - 45), abs(y - 80)), greatest(abs(x - 105), abs(y - 80))) <= 11 AS dark
-  FROM (SELECT range AS x FROM range(160)), (SELECT range AS y FROM range(160))))"""
+#: Pictures of 8 x 8 pixels: an embedding's components as green, and turned by a third and two thirds as red and blue.
+_BYTE = "least(255, greatest(0, floor(128 + 512 * embedding[{}]::DOUBLE)))::INT"
+PIXELS = f"px AS (SELECT vec_id, (i - 1) % 8 AS x, (i - 1) // 8 AS y, {_BYTE.format('i')} AS g, {_BYTE.format('(i + 20) % 64 + 1')} AS r, {_BYTE.format('(i + 41) % 64 + 1')} AS b FROM embeddings, range(1, 65) AS n(i))"
+
+
+def colour_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grey = F.transform("embedding", lambda e: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(128 + 512 * e.cast("double")))).cast("int"))
+    turned = lambda by: F.concat(F.slice("grey", by + 1, 64 - by), F.slice("grey", 1, by))
+    greys = _table(spark, sf_dir, "embeddings").select("vec_id", grey.alias("grey"))
+    mixed = F.flatten(F.transform(F.arrays_zip(turned(42).alias("blue"), F.col("grey"), turned(21).alias("red")), lambda p: F.array(p["blue"], p["grey"], p["red"])))
+    return images.pictures(greys.select("vec_id", mixed.alias("values")), "vec_id", "values", 8, 3)
+
+
+#: Fewer threshold levels than by default, as there is an image for each supplier.
+DRAWN = Config(threshold_step=60)
+
+
+def drawn_pictures(spark: SparkSession, sf_dir: str, dim: bool = False) -> DataFrame:
+    """An image for each supplier, with a core where its balance says."""
+    at = lambda part: (F.pmod(F.floor(F.col("s_acctbal") / part), F.lit(24)) + 20).cast("int")
+    return images.drawn(_table(spark, sf_dir, "supplier").select("s_suppkey", at(1).alias("x"), at(24).alias("y"), F.lit(dim).alias("dim")), "s_suppkey", "x", "y", "dim")
 
 
 @query(f"WITH {PIXELS} SELECT least(r, g) - b AS chroma, count(*) AS n, min(x) AS x0, max(y) AS y1 FROM px GROUP BY 1")
 def q_px_chroma(spark, sf_dir):
-    px = images.pixels(images.formula_images(spark))
+    px = images.pixels(colour_pictures(spark, sf_dir))
     return px.groupBy(values.chroma().cast("long").alias("chroma")).agg(F.count("*").alias("n"), F.min("x").cast("long").alias("x0"), F.max("y").cast("long").alias("y1"))
 
 
-@query(f"WITH {PIXELS}, t AS (SELECT x, y, CASE WHEN (x - 30) * (x - 30) + (y - 30) * (y - 30) <= 36 THEN 220 ELSE r END AS r, g - CASE WHEN (x - 30) * (x - 30) + (y - 30) * (y - 30) <= 36 THEN 205 ELSE 0 END AS g, b - CASE WHEN (x - 30) * (x - 30) + (y - 30) * (y - 30) <= 36 THEN 200 ELSE 0 END AS b FROM px) SELECT x, y FROM t WHERE r > g + 35 AND r > b + 35 AND r > 130")
+@query(f"WITH {PIXELS} SELECT vec_id, x, y FROM px WHERE r > g + 35 AND r > b + 35 AND r > 130")
 def q_px_red(spark, sf_dir):
-    px = images.pixels(images.formula_images(spark, red_disc=True))
-    return px.where(values.is_red(Config())).select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
+    px = images.pixels(colour_pictures(spark, sf_dir))
+    return px.where(values.is_red(Config())).select(F.col("image_id").cast("long").alias("vec_id"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
 
 
 @query(
-    """WITH g AS (SELECT x, y FROM (SELECT range AS x FROM range(160)), (SELECT range AS y FROM range(160))), r AS (SELECT x, y FROM (SELECT range AS x FROM range(160)), (SELECT range AS y FROM range(160)) WHERE (x - 30) * (x - 30) + (y - 30) * (y - 30) <= 36)
-SELECT g.x, g.y, round(sqrt(min(CASE WHEN (g.x - r.x) * (g.x - r.x) + (g.y - r.y) * (g.y - r.y) <= 324 THEN (g.x - r.x) * (g.x - r.x) + (g.y - r.y) * (g.y - r.y) END)), 6) AS distance FROM g, r GROUP BY g.x, g.y"""
+    f"""WITH {PIXELS}, red AS (SELECT * FROM px WHERE r > g + 35 AND r > b + 35 AND r > 130)
+SELECT px.vec_id, px.x, px.y, round(sqrt(min((px.x - red.x) * (px.x - red.x) + (px.y - red.y) * (px.y - red.y))), 6) AS distance FROM px LEFT JOIN red USING (vec_id) GROUP BY ALL"""
 )
 def q_px_red_distance(spark, sf_dir):
     """How far pixels are from red, within the range that matters."""
-    px = images.pixels(images.formula_images(spark, red_disc=True)).withColumn("id", F.col("y") * 160 + F.col("x"))
+    px = images.pixels(colour_pictures(spark, sf_dir)).withColumn("id", F.col("y") * 8 + F.col("x"))
     found = spatial.nearest(px, px.where(values.is_red(Config())), float(review.RED_RANGE))
-    return found.select((F.col("id") % 160).cast("long").alias("x"), F.floor(F.col("id") / 160).alias("y"), F.round("distance", 6).alias("distance"))
+    return found.select(F.col("image_id").cast("long").alias("vec_id"), (F.col("id") % 8).cast("long").alias("x"), F.floor(F.col("id") / 8).alias("y"), F.round("distance", 6).alias("distance"))
 
 
 @query(f"WITH {PIXELS} SELECT level, count(*) FILTER (g > level) AS n FROM px, (SELECT range AS level FROM range(65, 256, 8)) GROUP BY level")
 def q_px_threshold_levels(spark, sf_dir):
     levels = F.explode(F.sequence(F.lit(65), F.lit(255), F.lit(8))).alias("level")
-    px = images.pixels(images.formula_images(spark)).groupBy("green").agg(F.count("*").alias("n"))
+    px = images.pixels(colour_pictures(spark, sf_dir)).groupBy("green").agg(F.count("*").alias("n"))
     return px.select("green", "n", levels).groupBy(F.col("level").cast("long").alias("level")).agg(F.coalesce(F.sum(F.when(F.col("green") > F.col("level"), F.col("n"))), F.lit(0)).cast("long").alias("n"))
 
 
 @query(
-    f"""WITH RECURSIVE {PIXELS}, m AS (SELECT x, y FROM px WHERE g > 145 AND g < 245),
-c(x, y, label) USING KEY (x, y) AS (SELECT x, y, y * 160 + x FROM m UNION (SELECT m.x, m.y, min(c.label) FROM m JOIN c ON abs(m.x - c.x) <= 1 AND abs(m.y - c.y) <= 1 JOIN recurring.c AS old ON old.x = m.x AND old.y = m.y WHERE c.label < old.label GROUP BY m.x, m.y))
-SELECT count(*) AS area, min(x) AS x0, min(y) AS y0, (max(x) - min(x) + 1) AS width, (max(y) - min(y) + 1) AS height, avg(x) AS cx, avg(y) AS cy FROM c GROUP BY label"""
+    f"""WITH RECURSIVE {PIXELS}, m AS (SELECT vec_id, x, y FROM px WHERE g > 145 AND g < 245),
+c(vec_id, x, y, label) USING KEY (vec_id, x, y) AS (SELECT vec_id, x, y, y * 8 + x FROM m UNION (SELECT m.vec_id, m.x, m.y, min(c.label) FROM m JOIN c ON m.vec_id = c.vec_id AND abs(m.x - c.x) <= 1 AND abs(m.y - c.y) <= 1 JOIN recurring.c AS old ON old.vec_id = m.vec_id AND old.x = m.x AND old.y = m.y WHERE c.label < old.label GROUP BY ALL))
+SELECT vec_id, count(*) AS area, min(x) AS x0, min(y) AS y0, (max(x) - min(x) + 1) AS width, (max(y) - min(y) + 1) AS height, round(avg(x), 9) AS cx, round(avg(y), 9) AS cy FROM c GROUP BY vec_id, label"""
 )
 def q_px_components(spark, sf_dir):
-    found = images.components(images.formula_images(spark), "green", above=145, below=245)
-    return found.select(*[F.col(c).cast("long").alias(c) for c in ("area", "x0", "y0", "width", "height")], "cx", "cy")
+    found = images.components(colour_pictures(spark, sf_dir), "green", above=145, below=245)
+    return found.select(F.col("image_id").cast("long").alias("vec_id"), *[F.col(c).cast("long").alias(c) for c in ("area", "x0", "y0", "width", "height")], F.round("cx", 9).alias("cx"), F.round("cy", 9).alias("cy"))
 
 
 @query()
 def q_detect_formula_image(spark, sf_dir):
-    """The whole detection on the formula image."""
-    return images.detect(images.formula_images(spark))
+    """The whole detection on an image for each supplier."""
+    return images.detect(drawn_pictures(spark, sf_dir), DRAWN)
 
 
 @query()
 def q_features_formula_image(spark, sf_dir):
     from motecraft.operators import features
 
-    found = images.formula_images(spark)
-    return features.extract(found, images.detect(found).select("image_id", "id", "x", "y"))
+    found = drawn_pictures(spark, sf_dir)
+    return features.extract(found, images.detect(found, DRAWN).select("image_id", "id", "x", "y"))
 
 
 @query()
 def q_recovery_formula_image(spark, sf_dir):
     from motecraft.operators import detect
 
-    found = images.formula_images(spark, dim=True)
-    made = detect.candidates(found)
-    return detect.propose(made, detect.points_of(made).where("false"))
+    made = detect.candidates(drawn_pictures(spark, sf_dir, dim=True), DRAWN)
+    return detect.propose(made, detect.points_of(made, DRAWN).where("false"), DRAWN)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
