@@ -37,6 +37,8 @@ FOREIGN = frozenset(("svg", "math"))
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Elements that tell what part of a page they hold.
+MARKS = frozenset("article main form nav header footer aside dialog".split())
 #: What an opening tag closes: an open element of the same kind.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 LISTS = frozenset("ul ol menu dl table tbody thead tfoot div section article".split())
@@ -56,12 +58,18 @@ _PARTS = re.compile(r"[a-z]+")
 
 @dataclass
 class Block:
-    """Text of a leaf block, the characters of it in links, the nearest block tag, and what surrounds it."""
+    """Text of a leaf block, the characters of it in links, the nearest block tag, and what surrounds it.
+
+    `marks` names the two innermost of the elements in `MARKS`; `story` tells whether the block is in an article or main
+    element ("in"), only others of its page are ("out"), or none is ("none").
+    """
 
     text: str
     linked: int
     tag: str
     around: frozenset[str]
+    marks: str = ""
+    story: str = "none"
 
 
 def blocks(page: str | None, known: Container[str] | None = None) -> list[Block]:
@@ -74,13 +82,14 @@ def blocks(page: str | None, known: Container[str] | None = None) -> list[Block]
     depth: Counter[str] = Counter()
     around: Counter[str] = Counter()
     block_tags: list[str] = []
+    marks: list[str] = []
     text: list[str] = []
     linked: list[str] = []
 
     def flush() -> None:
         clean = " ".join(html.unescape("".join(text)).split())
         if clean:
-            found.append(Block(clean, len(" ".join(html.unescape("".join(linked)).split())), block_tags[-1] if block_tags else "", frozenset(around)))
+            found.append(Block(clean, len(" ".join(html.unescape("".join(linked)).split())), block_tags[-1] if block_tags else "", frozenset(around), ">".join(marks[-2:]), "in" if depth["article"] or depth["main"] else "out"))
         text.clear()
         linked.clear()
 
@@ -96,6 +105,8 @@ def blocks(page: str | None, known: Container[str] | None = None) -> list[Block]
         around.update(here)
         if tag in BLOCK:
             block_tags.append(tag)
+        if tag in MARKS:
+            marks.append(tag)
 
     def close(tags, stop=frozenset()) -> None:
         if not any(depth[t] for t in tags):
@@ -115,6 +126,8 @@ def blocks(page: str | None, known: Container[str] | None = None) -> list[Block]
                     del around[x]
             if tag in BLOCK:
                 block_tags.pop()
+            if tag in MARKS:
+                marks.pop()
         del stack[i:]
 
     at, page = 0, page or ""
@@ -153,6 +166,9 @@ def blocks(page: str | None, known: Container[str] | None = None) -> list[Block]
     if at < len(page):
         say(page[at:])
     flush()
+    if not any(b.story == "in" for b in found):
+        for b in found:
+            b.story = "none"
     return found
 
 
@@ -163,7 +179,12 @@ def block_features(block: Block, i: int, n: int) -> list[str]:
         "bias",
         f"tag={block.tag}",
         *sorted(block.around),
+        f"marks={block.marks}",
+        f"mark={block.marks.rpartition('>')[2]}",
+        f"story={block.story}",
+        f"story={block.story} words={min(4, words.bit_length())}",
         f"words={min(7, words.bit_length())}",
+        f"long={words > 25} {words > 60} {words > 150}",
         f"links={0 if share == 0 else 1 if share < 0.3 else 2 if share < 0.8 else 3}",
         f"ends={block.text[-1] in '.!?…:\"”»'}",
         f"commas={min(3, block.text.count(','))}",
@@ -207,7 +228,7 @@ class Field:
         return "\n\n".join(b.text for b, keep in zip(found, self.decode(found), strict=True) if keep)
 
 
-def train(pages: list[tuple[list[Block], list[bool]]], rounds: int = 150, rate: float = 0.1, ridge: float = 1e-3) -> Field:
+def train(pages: list[tuple[list[Block], list[bool]]], rounds: int = 300, rate: float = 0.1, ridge: float = 1e-4) -> Field:
     """Maximum likelihood with a ridge, by full-batch gradient ascent; forward-backward runs over all pages at once."""
     pages = [p for p in pages if p[0]]
     names: dict[str, int] = {}
@@ -264,7 +285,7 @@ ASIDE_NAMES = {
 MAIN_NAMES = ("content", "post", "entry", "article", "main", "body", "story", "text")
 
 
-def labelled_pages(n: int = 600, seed: int = 11) -> list[tuple[str, list[bool]]]:
+def labelled_pages(n: int = 1000, seed: int = 11) -> list[tuple[str, list[bool]]]:
     """Generated pages and the label of each of their blocks, in many layouts."""
     rng = random.Random(seed)
     letters = "etaoinshrdlucmfwypvbgk"
@@ -283,7 +304,7 @@ def labelled_pages(n: int = 600, seed: int = 11) -> list[tuple[str, list[bool]]]
         return f"{rng.choice('jqxz')}{rng.randint(1, 9)}{rng.choice('jqxz')}"
 
     def prose() -> str:
-        return " ".join(sentence(1, 20) for _ in range(rng.choice((1, 1, 1, 2, 3, 6))))
+        return " ".join(sentence(1, 20) for _ in range(rng.choice((1, 1, 1, 2, 3, 6, 20))))
 
     class Page:
         def __init__(self) -> None:
@@ -345,6 +366,8 @@ def labelled_pages(n: int = 600, seed: int = 11) -> list[tuple[str, list[bool]]]
                 self.bare(rng.choice(("&copy; ", "", "© 2020 ")) + sentence(2, 12))
             elif kind == "header":
                 self.leaf(rng.choice(("h1", "div", "p")), words(1, 5).title(), False)
+                if rng.random() < 0.4:
+                    self.leaf(rng.choice(("p", "div", "h2")), sentence(1, 10), False)
                 if rng.random() < 0.5:
                     self.links(rng.randint(2, 5))
             elif kind == "side":
@@ -365,17 +388,67 @@ def labelled_pages(n: int = 600, seed: int = 11) -> list[tuple[str, list[bool]]]
             self.labels.append(False)
 
         def form(self) -> None:
-            self.out.append('<form action="/s"><div>')
-            self.bare(f"<label>{words(1, 4)}</label><input name=q>")
-            self.out.append("</div></form>")
+            """A search, newsletter or answer form, with its explanations."""
+            self.out.append(rng.choice(('<form action="/s">', "<form>", '<form method="post"><div>', "<form><fieldset>")))
+            for _ in range(rng.choice((0, 1, 1, 2))):
+                self.leaf(rng.choice(("p", "p", "h3", "div")), rng.choice((words(1, 6).capitalize(), sentence(2, 12), prose())), False)
+            for _ in range(rng.choice((1, 1, 2))):
+                self.out.append("<div>")
+                self.bare(f"<label>{words(1, 4)}</label><input name=q>")
+                self.out.append("</div>")
+            if rng.random() < 0.25:
+                self.select()
+            if rng.random() < 0.6:
+                self.leaf("button", words(1, 2).capitalize(), False)
+            self.out.append("</form>")
+
+        def select(self) -> None:
+            self.out.append("<select>")
+            for _ in range(rng.randint(1, 4)):
+                self.leaf("option", words(1, 2), False)
+            self.out.append("</select>")
+
+        def within(self) -> None:
+            """What interrupts a story."""
+            kind = rng.choice(("ad", "side", "notice", "comments", "nav", "form", "form", "button", "select"))
+            if kind == "form":
+                self.form()
+            elif kind == "select":
+                self.select()
+            elif kind == "button":
+                self.leaf("button", words(1, 3).capitalize(), False)
+            else:
+                self.aside(kind)
+
+        def single(self) -> None:
+            """The whole story as one block, in an element of its own or not, its lines divided or not."""
+            body = rng.choice(("<br>", "<br><br>", " ")).join(prose() for _ in range(rng.choice((1, 1, 2, 4))))
+            if rng.random() < 0.5:
+                self.leaf(rng.choice(("p", "p", "div")), body, True)
+            else:
+                self.out.append(body)
+                self.labels.append(True)
 
         def story(self) -> None:
             tag = rng.choice(("article", "article", "main", "div", "section"))
             attr = f' {rng.choice(("class", "id"))}="{rng.choice(MAIN_NAMES)}"' if tag in ("div", "section") or rng.random() < 0.2 else ""
             self.out.append(f"<{tag}{attr}>")
-            if rng.random() < 0.85:
-                self.leaf("h1", sentence(1, 12), True)
-            for k in range(rng.choice((1, 2, 4, 8, 12))):
+            if rng.random() < 0.2:
+                if rng.random() < 0.3:
+                    self.leaf("h1", sentence(1, 12), True)
+                self.single()
+                if rng.random() < 0.4:
+                    self.within()
+                self.out.append(f"</{tag}>")
+                return
+            if rng.random() < 0.75:
+                titled = rng.random() < 0.15
+                self.out.append("<header>" if titled else "")
+                self.leaf(rng.choice(("h1", "h1", "h1", "h2")), rng.choice((sentence(1, 12), words(1, 5).capitalize())), True)
+                self.out.append("</header>" if titled else "")
+                if rng.random() < 0.15:
+                    self.within()
+            for k in range(rng.choice((1, 2, 2, 3, 4, 8, 12))):
                 kind = rng.random()
                 if kind < 0.68 or not k:
                     self.leaf("p", rng.choice(("", "", "<b>", "<em>")) + prose() + rng.choice(("", "", "<br>", f' <a href="#">{words(1, 3)}</a> {words(1, 3)}.')), True)
@@ -400,14 +473,27 @@ def labelled_pages(n: int = 600, seed: int = 11) -> list[tuple[str, list[bool]]]
                         self.leaf("td", words(1, 4), True)
                     self.out.append("</tr></table>")
                 else:
-                    self.aside(rng.choice(("ad", "side", "notice", "comments", "nav")))
-            if rng.random() < 0.25:
+                    self.within()
+            if rng.random() < 0.35:
                 self.aside(rng.choice(("comments", "comments", "side", "footer")))
             self.out.append(f"</{tag}>")
 
     def page() -> tuple[str, list[bool]]:
         p = Page()
         p.out.append(f"<!DOCTYPE html><html><head><title>{words(1, 5)}</title><style>p{{}}</style></head><body>")
+        if rng.random() < 0.1:
+            if rng.random() < 0.3:
+                p.aside(rng.choice(("nav", "header")))
+            if rng.random() < 0.3:
+                p.leaf("h1", sentence(1, 12), True)
+            for _ in range(rng.choice((1, 1, 2, 4))):
+                p.leaf("p", prose(), True)
+            if rng.random() < 0.2:
+                p.form()
+            if rng.random() < 0.3:
+                p.aside("footer")
+            p.out.append("</body></html>")
+            return "".join(p.out), p.labels
         if rng.random() < 0.2:
             for _ in range(rng.randint(0, 3)):
                 p.plain_aside()
@@ -416,10 +502,12 @@ def labelled_pages(n: int = 600, seed: int = 11) -> list[tuple[str, list[bool]]]
                 p.plain_aside()
             p.out.append("</body></html>")
             return "".join(p.out), p.labels
+        whole = rng.random() < 0.04
+        p.out.append('<form id="page">' if whole else "")
         for kind, chance in (("notice", 0.2), ("header", 0.4), ("nav", 0.6), ("ad", 0.4)):
             if rng.random() < chance:
                 p.aside(kind)
-        if rng.random() < 0.15:
+        if not whole and rng.random() < 0.2:
             p.form()
         if rng.random() < 0.15:
             p.aside("side")
@@ -430,11 +518,11 @@ def labelled_pages(n: int = 600, seed: int = 11) -> list[tuple[str, list[bool]]]
         for kind, chance in (("comments", 0.35), ("side", 0.3), ("ad", 0.2)):
             if rng.random() < chance:
                 p.aside(kind)
-        if rng.random() < 0.15:
+        if not whole and rng.random() < 0.15:
             p.form()
         if rng.random() < 0.75:
             p.aside("footer")
-        p.out.append("</body></html>")
+        p.out.append("</form></body></html>" if whole else "</body></html>")
         return "".join(p.out), p.labels
 
     return [page() for _ in range(n)]
