@@ -358,6 +358,16 @@ def q_tree_scores(spark, sf_dir):
     return scored.select("event_id", F.round("score", 9).alias("score"))
 
 
+@query()
+def q_extra_trees(spark, sf_dir):
+    """Nodes of extremely randomised trees grown on all events, with the events of both classes that are in each."""
+    from motecraft.operators import extra_trees
+
+    events = _table(spark, sf_dir, "events")
+    rows = events.select(F.array(F.col("value"), F.col("user_id").cast("double"), F.hour("ts").cast("double")).alias("values"), (F.col("event_type") == F.lit("purchase")).cast("int").alias("label"))
+    return spark.createDataFrame(extra_trees.grow(rows, trees=4, seed=7, min_leaf=200, settle=images.settle).astype({"feature": float, "left": float, "right": float}))
+
+
 #: The 64 components of an embedding as an 8 x 8 picture of eight greys.
 GREYS = """px AS (SELECT vec_id, i - 1 AS i, (i - 1) % 8 AS x, (i - 1) // 8 AS y, least(7, greatest(0, floor(4 + 16 * embedding[i]::DOUBLE)))::INT AS v FROM embeddings, range(1, 65) AS r(i))"""
 
@@ -425,6 +435,16 @@ def q_px_red_distance(spark, sf_dir):
     return found.select(F.col("image_id").cast("long").alias("vec_id"), (F.col("id") % 8).cast("long").alias("x"), F.floor(F.col("id") / 8).alias("y"), F.round("distance", 6).alias("distance"))
 
 
+@query(
+    f"""WITH {PIXELS}, red AS (SELECT * FROM px WHERE r > g + 35 AND r > b + 35 AND r > 130)
+SELECT px.vec_id, px.x, px.y, round(sqrt(min((px.x - red.x) * (px.x - red.x) + (px.y - red.y) * (px.y - red.y))), 9) AS distance FROM px LEFT JOIN red USING (vec_id) GROUP BY ALL"""
+)
+def q_distance_transform(spark, sf_dir):
+    """The distances of all pixels to red that detection measures candidates by."""
+    found = images.red_distances(colour_pictures(spark, sf_dir))
+    return found.select(F.col("image_id").cast("long").alias("vec_id"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.round("distance", 9).alias("distance"))
+
+
 @query(f"WITH {PIXELS} SELECT level, count(*) FILTER (g > level) AS n FROM px, (SELECT range AS level FROM range(65, 256, 8)) GROUP BY level")
 def q_px_threshold_levels(spark, sf_dir):
     levels = F.explode(F.sequence(F.lit(65), F.lit(255), F.lit(8))).alias("level")

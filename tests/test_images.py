@@ -98,6 +98,16 @@ def found(spark, image, cfg=Config()):
     return plan.detect(plan.image_rows(spark, [("i", image)]), cfg).orderBy("id").collect()
 
 
+def test_distances_equal_all_pairs():
+    rng = np.random.default_rng(5)
+    for shape, share in (((1, 1), 0.5), ((1, 40), 0.1), ((40, 1), 0.1), ((23, 31), 0.01), ((31, 23), 0.3), ((16, 16), 1.0), ((9, 9), 0.0)):
+        mask = rng.random(shape) < share
+        y, x = np.mgrid[: shape[0], : shape[1]]
+        at = np.argwhere(mask)
+        want = np.min([np.hypot(y - a, x - b) for a, b in at], axis=0) if len(at) else np.full(shape, np.inf)
+        np.testing.assert_allclose(pixels.distance(mask), want, rtol=0, atol=1e-9)
+
+
 def test_cores_are_found_once_also_across_tiles(spark):
     small = Config(tile_size=64, tile_padding=64)
     cores = [(64, 50), (128, 128), (40, 100), (150, 30)]
