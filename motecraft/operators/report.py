@@ -55,5 +55,16 @@ def job_states(items: DataFrame, job: str = "job_id", done: Column | None = None
     done, failed = done if done is not None else F.col("status") == "completed", failed if failed is not None else F.col("status") == "failed"
     counted = items.groupBy(job).agg(F.count("*").alias("total"), F.count_if(done).alias("succeeded"), F.count_if(failed).alias("failed"))
     ended = F.col("succeeded") + F.col("failed")
-    state = F.when(ended == 0, "queued").when(ended < F.col("total"), "running").when(F.col("succeeded") > 0, "completed").otherwise("failed")
-    return counted.select(job, state.alias("state"), ended.alias("completed"), "total", "failed")
+    return counted.select(job, job_state().alias("state"), ended.alias("completed"), "total", "failed")
+
+
+def job_state() -> Column:
+    """The state of a job from its counts `total`, `succeeded` and `failed`."""
+    ended = F.col("succeeded") + F.col("failed")
+    return F.when(ended == 0, "queued").when(ended < F.col("total"), "running").when(F.col("succeeded") > 0, "completed").otherwise("failed")
+
+
+def job_message() -> Column:
+    """What a job with failed images is told; null if none failed."""
+    some = F.format_string("%d of %d images failed; the other results are there", "failed", "total")
+    return F.when(F.col("failed") > 0, F.when(F.col("succeeded") > 0, some).otherwise("no image could be processed"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motecraft.config import Thresholds
-from motecraft.operators import features, trees
+from motecraft.operators import extra_trees, features, trees
 
 
 class Scorer(Protocol):
@@ -54,6 +54,16 @@ def ensemble(folder: str, scale: float = 1.0) -> tuple[Scorer, Thresholds]:
     return by_function(model.scores, features.names(), scale), thresholds
 
 
+def fitted(labelled: DataFrame, folder: str, thresholds: Thresholds, count: int = 240, seed: int = 0, scale: float = 1.0, settle: Callable[[DataFrame], DataFrame] = lambda df: df) -> Scorer:
+    """Extremely randomised trees grown on `values` and `label` of labelled points, saved in `folder`, as a scorer.
+
+    Leaves hold three points or more, half the features are tried at each cut, and both classes weigh alike.
+    """
+    nodes = extra_trees.grow(labelled, trees=count, seed=seed, min_leaf=3, max_features=0.5, settle=settle)
+    trees.save(nodes, folder, features.names(), features.VERSION, thresholds)
+    return ensemble(folder, scale)[0]
+
+
 def checked_artifact(path: str, metadata: dict, feature_version: str = features.VERSION) -> tuple[bytes, Thresholds]:
     """A model file's bytes and thresholds, after its hash, features and feature version are found as in `metadata`.
 
@@ -73,7 +83,7 @@ def checked_artifact(path: str, metadata: dict, feature_version: str = features.
 def forest(labelled: DataFrame, trees: int = 240, seed: int = 1, scale: float = 1.0) -> Scorer:
     """A random forest fitted on `values` and `label` of labelled points.
 
-    Spark ML has no extremely randomised trees, so this stands in for that classifier and gives other scores.
+    Its cuts are searched, not drawn; `fitted` grows extremely randomised trees.
     """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array

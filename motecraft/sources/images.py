@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motecraft.functions import values
+from motecraft.sources import formats
 
 #: Suffixes of the plain scan, of the wide scan and of uploads, with the first bytes of their formats.
 PLAIN_SUFFIXES = ("png",)
@@ -63,20 +64,22 @@ def conflicts(files: DataFrame) -> DataFrame:
 
 
 def checked(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """`files` with `error`: a bad name, size, suffix, or content that isn't of the suffix's format; else null."""
+    """`files` with `error`: a bad name, size, suffix, content that isn't of the suffix's format, or several frames; else null.
+
+    `frames`, `orientation` and `deep` (16-bit grey) are read from the file's own tables.
+    """
     start = F.hex(F.substring("content", 1, 8))
     fits = F.lit(False)
     for suffix, starts in MAGIC.items():
         for m in starts:
             fits = fits | ((F.col("suffix") == suffix) & start.startswith(m))
-    deep = F.col("suffix").eqNullSafe("png") & F.hex(F.substring("content", 25, 1)).eqNullSafe("10") & F.hex(F.substring("content", 26, 1)).isin("00", "04")
     error = (
         F.when(~values.valid_file_name(F.col("name"), SUFFIXES), "file name")
         .when(F.col("n_bytes") > max_bytes, "file too large")
         .when(~fits, "content is not of the suffix's format")
-        .when(deep, "grey images of 16 bits are not supported")
+        .when(F.col("frames") > 1, "several frames")
     )
-    return files.withColumn("error", error)
+    return files.withColumn("facts", formats.facts_of(F.col("content"))).select(*files.columns, "facts.*").withColumn("error", error)
 
 
 def within_limits(files: DataFrame, max_files: int = MAX_FILES, max_total: int = MAX_TOTAL_BYTES) -> DataFrame:
@@ -93,13 +96,20 @@ def _plain(path):
 def decoded(spark: SparkSession, folder: str, files: DataFrame, max_pixels: int = MAX_PIXELS) -> DataFrame:
     """Image rows of checked files by Spark's image source, undecodable ones with `error`.
 
-    Orientation marks are not applied, and 16-bit grey is refused by `checked`, as the source keeps its low byte only.
+    Pictures are turned as their orientation mark says, and of 16-bit grey the high bytes are kept; the image source does
+    neither.
     """
     raw = spark.read.format("image").load(folder).select("image.*").withColumn("at", _plain(F.col("origin"))).drop("origin")
-    joined = files.drop("content").withColumn("at", _plain(F.col("path"))).join(raw, "at", "left")
+    deep = formats.grey_of(F.when(F.col("deep") & F.col("error").isNull(), F.col("content")))
+    kept = files.withColumn("grey", deep).drop("content").withColumn("at", _plain(F.col("path")))
+    joined = kept.join(raw, "at", "left").withColumns({"data": F.when(F.col("deep"), F.col("grey")).otherwise(F.col("data")), "nChannels": F.when(F.col("deep"), 1).otherwise(F.col("nChannels"))})
     pixels = F.col("width").cast("long") * F.col("height")
-    error = F.coalesce("error", F.when(F.coalesce(F.col("height"), F.lit(-1)) < 0, "the image can't be decoded").when(pixels > max_pixels, "too many pixels"))
-    return joined.select(F.col("name").alias("image_id"), "name", "width", "height", F.col("nChannels").alias("n_channels"), "data", "sha256", "n_bytes", error.alias("error"))
+    undecodable = (F.coalesce(F.col("height"), F.lit(-1)) < 0) | F.col("data").isNull()
+    judged = joined.withColumn("error", F.coalesce("error", F.when(undecodable, "the image can't be decoded").when(pixels > max_pixels, "too many pixels")))
+    on_side = F.col("orientation") >= 5
+    turned = formats.turned_of(F.when((F.col("orientation") > 1) & F.col("error").isNull(), F.col("data")), F.col("height"), F.col("width"), F.col("nChannels"), F.col("orientation"))
+    seen = judged.withColumn("turned", turned).withColumns({"data": F.coalesce("turned", "data"), "seen_width": F.when(on_side, F.col("height")).otherwise(F.col("width")), "seen_height": F.when(on_side, F.col("width")).otherwise(F.col("height"))})
+    return seen.select(F.col("name").alias("image_id"), "name", F.col("seen_width").alias("width"), F.col("seen_height").alias("height"), F.col("nChannels").alias("n_channels"), "data", "sha256", "n_bytes", "error")
 
 
 def export_names(files: DataFrame, batch: str) -> DataFrame:
