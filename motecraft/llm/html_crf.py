@@ -56,6 +56,21 @@ _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]
 _PARTS = re.compile(r"[a-z]+")
 
 
+#: Fixed words that layouts use for the classes and ids of what is not main text, by the element they may stand on.
+ASIDE_NAMES = {
+    "nav": ("nav", "menu", "navbar", "navigation", "breadcrumbs", "pagination", "toc"),
+    "ad": ("ad", "ads", "advert", "advertisement", "banner", "sponsored", "promo", "sponsor"),
+    "notice": ("cookie", "notice", "consent", "popup", "modal", "alert", "gdpr", "disclaimer", "newsletter", "subscribe"),
+    "side": ("sidebar", "aside", "widget", "related", "share", "social", "recommended", "trending", "tags", "rail"),
+    "comments": ("comments", "comment", "reply", "discussion", "responses", "disqus", "respond", "commentlist", "user-comments", "kommentare", "commentaires", "comentarios"),
+    "header": ("header", "masthead", "topbar", "branding", "site"),
+    "footer": ("footer", "copyright", "legal", "colophon", "bottom"),
+}
+MAIN_NAMES = ("content", "post", "entry", "article", "main", "body", "story", "text")
+#: Their parts, as `Block.around` has them.
+_ASIDE = frozenset(f".{part}" for names in ASIDE_NAMES.values() for name in names for part in _PARTS.findall(name))
+
+
 @dataclass
 class Block:
     """Text of a leaf block, the characters of it in links, the nearest block tag, and what surrounds it.
@@ -191,6 +206,7 @@ def block_features(block: Block, i: int, n: int) -> list[str]:
         f"sign={any(c in block.text for c in '©®™|»')}",
         f"first={i == 0}",
         f"last={i == n - 1}",
+        f"tag={block.tag} story={block.story} aside={not _ASIDE.isdisjoint(block.around)}",
     ]
 
 
@@ -272,19 +288,6 @@ def train(pages: list[tuple[list[Block], list[bool]]], rounds: int = 300, rate:
     return Field({k: float(w[i]) for k, i in names.items()}, move.tolist())
 
 
-#: Fixed words that layouts use for the classes and ids of what is not main text, by the element they may stand on.
-ASIDE_NAMES = {
-    "nav": ("nav", "menu", "navbar", "navigation", "breadcrumbs", "pagination", "toc"),
-    "ad": ("ad", "ads", "advert", "advertisement", "banner", "sponsored", "promo", "sponsor"),
-    "notice": ("cookie", "notice", "consent", "popup", "modal", "alert", "gdpr", "disclaimer", "newsletter", "subscribe"),
-    "side": ("sidebar", "aside", "widget", "related", "share", "social", "recommended", "trending", "tags", "rail"),
-    "comments": ("comments", "comment", "reply", "discussion", "responses", "disqus", "respond", "commentlist", "user-comments", "kommentare", "commentaires", "comentarios"),
-    "header": ("header", "masthead", "topbar", "branding", "site"),
-    "footer": ("footer", "copyright", "legal", "colophon", "bottom"),
-}
-MAIN_NAMES = ("content", "post", "entry", "article", "main", "body", "story", "text")
-
-
 def labelled_pages(n: int = 1000, seed: int = 11) -> list[tuple[str, list[bool]]]:
     """Generated pages and the label of each of their blocks, in many layouts."""
     rng = random.Random(seed)
@@ -424,7 +427,7 @@ def labelled_pages(n: int = 1000, seed: int = 11) -> list[tuple[str, list[bool]]
             """The whole story as one block, in an element of its own or not, its lines divided or not."""
             body = rng.choice(("<br>", "<br><br>", " ")).join(prose() for _ in range(rng.choice((1, 1, 2, 4))))
             if rng.random() < 0.5:
-                self.leaf(rng.choice(("p", "p", "div")), body, True)
+                self.leaf(rng.choice(("p", "p", "div", "div")), body, True, rng.choice(("", "", f' class="{opaque()}"')))
             else:
                 self.out.append(body)
                 self.labels.append(True)

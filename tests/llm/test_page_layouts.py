@@ -27,6 +27,9 @@ CASES = {
     "bare_article": (f"<article>{LONG}</article>", (LONG,)),
     "bare_main": (f"{MENU}<main>{SHORT}</main>", (SHORT,)),
     "lines": (f"<article>{SHORT}<br>{LONG}<br><br>{SHORT}</article>", (f"{SHORT} {LONG} {SHORT}",)),
+    "one_division": (f"<article><div>{LONG}</div></article>", (LONG,)),
+    "one_division_with_a_menu": (f"{MENU}<article><div>{LONG}</div></article>{FOOT}", (LONG,)),
+    "named_division": (f'{MENU}<div class="story"><div>{LONG}</div></div>{FOOT}', (LONG,)),
     "select": (f"<article><p>{LONG}</p><select><option>One</option><option>Two</option></select></article>", (LONG,)),
     "only_a_paragraph": (f"<p>{LONG}", (LONG,)),
     "only_paragraphs": (f"<html><body><p>{LONG}</p><p>{SHORT}</p></body></html>", (LONG, SHORT)),
