@@ -452,16 +452,24 @@ def q_px_threshold_levels(spark, sf_dir):
     return px.select("green", "n", levels).groupBy(F.col("level").cast("long").alias("level")).agg(F.coalesce(F.sum(F.when(F.col("green") > F.col("level"), F.col("n"))), F.lit(0)).cast("long").alias("n"))
 
 
-@query(
-    f"""WITH RECURSIVE {PIXELS}, m AS (SELECT vec_id, x, y FROM px WHERE g > 145 AND g < 245),
+_COMPONENTS = f"""WITH RECURSIVE {PIXELS}, m AS (SELECT vec_id, x, y FROM px WHERE g > 145 AND g < 245),
 c(vec_id, x, y, label) USING KEY (vec_id, x, y) AS (SELECT vec_id, x, y, y * 8 + x FROM m UNION (SELECT m.vec_id, m.x, m.y, min(c.label) FROM m JOIN c ON m.vec_id = c.vec_id AND abs(m.x - c.x) <= 1 AND abs(m.y - c.y) <= 1 JOIN recurring.c AS old ON old.vec_id = m.vec_id AND old.x = m.x AND old.y = m.y WHERE c.label < old.label GROUP BY ALL))
 SELECT vec_id, count(*) AS area, min(x) AS x0, min(y) AS y0, (max(x) - min(x) + 1) AS width, (max(y) - min(y) + 1) AS height, round(avg(x), 9) AS cx, round(avg(y), 9) AS cy FROM c GROUP BY vec_id, label"""
-)
+
+
+@query(_COMPONENTS)
 def q_px_components(spark, sf_dir):
     found = images.components(colour_pictures(spark, sf_dir), "green", above=145, below=245)
     return found.select(F.col("image_id").cast("long").alias("vec_id"), *[F.col(c).cast("long").alias(c) for c in ("area", "x0", "y0", "width", "height")], F.round("cx", 9).alias("cx"), F.round("cy", 9).alias("cy"))
 
 
+@query(_COMPONENTS)
+def q_tiled_components(spark, sf_dir):
+    """The same regions, from tiles of three pixels that are joined along their seams."""
+    found = images.tiled_components(colour_pictures(spark, sf_dir), "green", above=145, below=245, size=3)
+    return found.select(F.col("image_id").cast("long").alias("vec_id"), *[F.col(c).cast("long").alias(c) for c in ("area", "x0", "y0", "width", "height")], F.round("cx", 9).alias("cx"), F.round("cy", 9).alias("cy"))
+
+
 @query()
 def q_detect_formula_image(spark, sf_dir):
     """The whole detection on an image for each supplier."""

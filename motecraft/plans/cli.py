@@ -34,6 +34,8 @@ def main(argv: list[str] | None = None) -> int:
     files = images.scan(spark, args.input)
     if args.input_list:
         files = images.selected(files, images.listed(spark, args.input_list)).drop("place")
+    if files.isEmpty():
+        parser.error("no images to count")
     problems = images.conflicts(files).limit(20).collect()
     if problems:
         parser.error("; ".join(f"{p['name']}: {p['problem']}" for p in problems))
@@ -45,7 +47,7 @@ def main(argv: list[str] | None = None) -> int:
         except (OSError, KeyError, ValueError) as error:
             parser.error(f"the model can't be used: {error}")
     result = plan.count_images(rows, cfg, scorer, thresholds, recover=bool(scorer) and not args.no_recovery)
-    sinks.write_bundle(result, args.output, cfg, model=bool(scorer))
+    sinks.write_bundle(result, args.output, cfg, model=bool(scorer), images=rows)
     failed = result["errors"].count()
     print(f"{result['summary'].count()} images counted, {failed} failed, {result['summary'].agg(F.sum('count')).first()[0]} points")
     return 1 if failed else 0

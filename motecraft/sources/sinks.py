@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
+from pathlib import Path
+from urllib.parse import quote
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -61,14 +64,54 @@ def write_csv(rows: DataFrame, folder: str) -> None:
     marked.write.mode("overwrite").option("header", True).csv(folder)
 
 
-def write_bundle(result: dict[str, DataFrame], folder: str, cfg: Config = Config(), model: bool = False) -> None:
-    """All results of a batch: per-image JSON, the batch document, counts, and the upload manifest."""
-    records = image_records(result["summary"], result["points"], result["exclusions"])
+def picture_name(image_id: str) -> str:
+    """The file name of an image's picture: unlike for unlike images, and without separators of paths."""
+    return quote(image_id, safe=" ()[]+=@,") + ".png"
+
+
+def source_path(name: Column, folder: str = "images") -> Column:
+    """A relative address of a file of the bundle; the separators between folders stay."""
+    return F.concat(F.lit(folder + "/"), F.replace(F.url_encode(name), F.lit("+"), F.lit("%20")))
+
+
+def write_pictures(pictures: DataFrame, folder: str) -> int:
+    """Write each `png` as a file into a folder that all executors share; how many were written.
+
+    A file appears whole or not at all, so that a task that runs twice does no harm.
+    """
+
+    def run(batches):
+        import pandas as pd
+
+        target = Path(folder)
+        target.mkdir(parents=True, exist_ok=True)
+        for batch in batches:
+            for row in batch.itertuples():
+                part = target / f".{uuid.uuid4().hex}"
+                part.write_bytes(row.png)
+                part.replace(target / picture_name(row.image_id))
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return pictures.mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def write_bundle(result: dict[str, DataFrame], folder: str, cfg: Config = Config(), model: bool = False, images: DataFrame | None = None) -> None:
+    """All results of a batch: per-image JSON, the batch document, counts, and the upload manifest.
+
+    With the images also their annotated pictures and red masks, as files, and a payload for a page that shows them: one
+    line of JSON an image, safe inside a script element.
+    """
+    records = image_records(result["summary"].withColumn("src", source_path(F.col("name"))), result["points"], result["exclusions"])
     write_image_json(records, f"{folder}/images")
     batch_document(records, cfg, "learned" if model else "training-free").write.mode("overwrite").text(f"{folder}/detections")
     write_csv(count_table(result["summary"], model), f"{folder}/counts")
     manifest = result["summary"].select("name", "sha256").unionByName(result["errors"].select(F.col("image_id").alias("name"), "error"), allowMissingColumns=True)
     manifest.select(F.to_json(F.struct("name", "sha256", "error")).alias("json")).write.mode("overwrite").text(f"{folder}/manifest")
+    if images is not None:
+        good = images.join(result["summary"].select("image_id"), "image_id", "left_semi")
+        write_pictures(annotations(good, result["points"], result["exclusions"]), f"{folder}/annotated")
+        write_pictures(red_masks(good, cfg), f"{folder}/red_masks")
+        as_json(records).select(html_payload(F.col("json")).alias("value")).write.mode("overwrite").text(f"{folder}/payload")
 
 
 def png(image: np.ndarray) -> bytes:

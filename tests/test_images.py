@@ -238,7 +238,12 @@ def test_lists_keep_order_and_refuse_paths(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     rows = plan.image_rows(spark, [("a", scene(160, 160, [(45, 80)])), ("=b", scene(100, 100, red=[(50, 50, 20)]))])
     result = plan.count_images(rows)
-    sinks.write_bundle(result, str(tmp_path / "out"))
+    sinks.write_bundle(result, str(tmp_path / "out"), images=rows)
+    for kind in ("annotated", "red_masks"):
+        drawn = {f.name: f.read_bytes() for f in (tmp_path / "out" / kind).iterdir()}
+        assert set(drawn) == {"a.png", "=b.png"} and all(v.startswith(b"\x89PNG") for v in drawn.values())
+    payload = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "out/payload")).collect()]
+    assert {(r["image_id"], r["width"], r["height"], r["src"]) for r in payload} == {("a", 160, 160, "images/a"), ("=b", 100, 100, "images/%3Db")}
     table = sinks.count_table(result["summary"]).collect()
     assert [r["name"] for r in table] == ["'=b", "a", "TOTAL"] and table[2]["count"] == 1
     assert spark.read.option("header", True).csv(str(tmp_path / "out/counts")).count() == 3
