@@ -8,8 +8,8 @@ which holds at the first shared one, and if a sketch of 256 SimHash bits doesn't
 sets, which are made again only of the texts in such pairs.
 
 What counts is who hangs together, so pairs within a component need no look. First each set is checked against one that
-it meets, then against one or two at each shingle; then every pair at a shingle that is still in two components is decided, so nothing
-is left to chance.
+it meets, then against one or two at each shingle; then every pair at a shingle that is still in two components is decided. Pairs
+whose sketches of 256 bits differ by more than six deviations from what the similarity allows are ruled out without the sets.
 
 Defined cases: texts without words are one set, the empty one; fewer words than a shingle make one shingle; letters A to
 Z are compared in lower case; null ids count as the largest id; an empty table gives an empty result.
