@@ -1,12 +1,16 @@
 """Personal data replaced by surrogates, in DataFrame functions only.
 
-Entities (e-mail, phone, IP, social security and account numbers, cards with a right check digit, credentials, persons
-after a title) are found by pattern. All distinct entities of the corpus form a table; each gets a surrogate of its own type, keyed by a secret:
-letters stay letters of their script, digits digits, hex stays hex, punctuation stays, cards keep their first digit and
-a valid check digit, account numbers their country and valid check digits, given names keep gender and script, addresses end in the reserved top-level domain `example`.
-
-One entity has one surrogate in all documents and notations (coreference). In a text that names a person after a title,
-the same given or family name standing alone gets the same surrogate. A surrogate that another entity has, or that
+Entities (e-mail, phone, IP of both versions, social security and account numbers, cards with a right check digit,
+credentials, persons after a title) are found by pattern. All distinct entities of the corpus form a table; each gets a
+surrogate of its own type, keyed by a secret: letters stay letters of their script and case, digits digits, hex stays hex,
+punctuation stays, cards keep their first digit and a valid check digit, account numbers their country and valid check
+digits, phone numbers their dialling code, given names gender and script, addresses end in the reserved top-level domain
+`example`.
+
+A person has up to four parts after the title, with hyphens, apostrophes and inner capitals; the last is the family name,
+the others are given names, and initials and particles between them stay. Names wholly in capitals are the same names and
+stay in capitals. One entity has one surrogate in all documents and notations (coreference). In a text that names a person
+after a title, the same given or family name standing alone, or as a part of a hyphenated name, gets the same surrogate. A surrogate that another entity has, or that
 is itself an entity of the corpus, is drawn anew until there is none (distinctness); the rounds run on the entity table
 alone. Texts without any candidate character never leave their partition.
 
@@ -26,15 +30,25 @@ KEY = "motecraft-surrogates-1"
 
 #: Titles with the gender they tell (n: none).
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "n", "Prof": "n", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Г-н": "m", "Г-жа": "f"}
-#: Given names that stand in, by gender and script (l: Latin, c: Cyrillic).
+#: Words in lower case between the parts of a name.
+PARTICLES = ["al", "bin", "da", "de", "del", "den", "der", "di", "dos", "du", "el", "la", "le", "van", "von", "zu"]
+#: Given names that stand in, by gender and script (l: Latin, c: Cyrillic, g: Greek); others are coined.
 GIVEN = {
     "ml": ["Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Leo", "Martin", "Oscar", "Paul", "Simon", "Victor"],
     "fl": ["Alma", "Berta", "Clara", "Dora", "Elena", "Flora", "Greta", "Helen", "Irma", "Julia", "Laura", "Maria", "Nora", "Paula", "Sofia", "Vera"],
     "nl": ["Alex", "Andrea", "Charlie", "Dominique", "Eden", "Francis", "Jamie", "Kim", "Lee", "Morgan", "Noel", "Robin", "Sam", "Sascha", "Taylor", "Toni"],
     "mc": ["Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Кирилл", "Лев", "Максим", "Никита", "Олег", "Павел", "Роман", "Семён", "Тимур"],
     "fc": ["Анна", "Вера", "Галина", "Дарья", "Елена", "Жанна", "Зоя", "Ирина", "Лариса", "Мария", "Нина", "Ольга", "Полина", "Раиса", "Софья", "Таисия"],
+    "mg": ["Αλέξης", "Ανδρέας", "Γιάννης", "Γιώργος", "Δημήτρης", "Ηλίας", "Θανάσης", "Κώστας", "Λεωνίδας", "Μάριος", "Νίκος", "Ορέστης", "Πέτρος", "Σπύρος", "Στέφανος", "Φώτης"],
+    "fg": ["Άννα", "Γεωργία", "Δήμητρα", "Ειρήνη", "Ελένη", "Ζωή", "Ιωάννα", "Καλλιόπη", "Κατερίνα", "Λίνα", "Μαρία", "Νίκη", "Ξένια", "Ρένα", "Σοφία", "Χριστίνα"],
     "nc": ["Валя", "Женя", "Саша", "Слава", "Шура", "Вася", "Лёня", "Миша", "Паша", "Рома", "Сева", "Тоня", "Юля", "Яна", "Ника", "Лена"],
 }
+#: What a name is made of. Repetition of groups is bounded, as the expression engine recurs there.
+_SPACE = r"[ \u00A0]{1,3}"
+NAME = r"\p{Lu}(?:['’]\p{Lu})?[\p{L}\p{M}]++(?:['’-](?![sS](?!\p{L}))\p{L}[\p{L}\p{M}]*+){0,4}+"
+#: Titles as they are written; short ones in capitals only with their point, as they are words of other kinds too.
+TITLE = "|".join(t + (r"\." if t.isupper() and len(t) <= 3 else r"\.?") for t in sorted({w for t in TITLES for w in (t, t.upper())}, key=lambda t: (-len(t), t)))
+_HEX = "[0-9A-Fa-f]{1,4}"
 #: Fixed patterns, the more specific ones first. Addresses have the lengths that mail allows, 64 characters before the sign
 #: and 127 parts of 63 after it; that, and not going back, keeps the time in proportion to the text.
 PATTERNS = {
@@ -43,16 +57,32 @@ PATTERNS = {
     "email": r"[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]{0,63}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+){1,126}+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)",
+    "ipsix": rf"(?<![\p{{L}}\d:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{2,6}}(?::{_HEX}){{1,5}}|(?:2[0-9A-Fa-f]{{3}}|(?i:fe80|f[cd][0-9a-f]{{2}})):(?::{_HEX}){{1,6}})(?![\p{{L}}\d:])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
     "card": r"(?<![\d.-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d-])",
-    "person": r"(?<![\p{L}])(?:" + "|".join(sorted(TITLES, key=lambda t: (-len(t), t))) + r")\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?(?![\p{L}])",
+    "person": rf"(?<![\p{{L}}])(?:{TITLE}){_SPACE}(?:(?:{NAME}|\p{{Lu}}\.|{'|'.join(PARTICLES)}){_SPACE}){{0,3}}{NAME}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every match holds, found in one cheap pass: most characters are told by two sets.
-HINT = r"[0-9@=:]|(?=[" + "".join(sorted({t[0] for t in TITLES} | {"A"})) + r"])(?:AKIA|(?:" + "|".join(TITLES) + r")\.? \p{Lu})"
-
-_CYRILLIC = ("abdefgiklmnoprstuvz", "абдефгиклмнопрстувз")
+HINT = r"[0-9@=:]|(?=[" + "".join(sorted({t[0] for t in TITLES} | {"A"})) + rf"])(?:AKIA|(?:{TITLE}){_SPACE}\p{{L}})"
+
+#: Dialling codes have one, two or three digits.
+DIALLING = r"^\+(?:1|7|2[07]|3[0123469]|4[013456789]|5[1-8]|6[0-6]|8[1246]|9[0123458]|\d{3})"
+#: The letters that stand in for these in names of other scripts.
+_COINED = "abdefgiklmnoprstuvz"
+_SCRIPTS = {"c": ("Cyrillic", "абдефгиклмнопрстувз"), "g": ("Greek", "αβδεφγικλμνοπρστυχζ"), "a": ("Armenian", "աբդեֆգիկլմնօպրստըվզ")}
+#: Letters of scripts without capitals, which stand in for letters of theirs.
+_CASELESS = {
+    "Arabic": "ابتجدرسعفقلمنهوي",
+    "Hebrew": "אבגדהוזחטיכלמנסע",
+    "Han": "人口土山川心手日月木水火田目耳金",
+    "Hiragana": "あいうえおかきくけこさしすせそた",
+    "Katakana": "アイウエオカキクケコサシスセソタ",
+    "Hangul": "가나다라마바사아자차카타파하고노",
+    "Devanagari": "अआइईउकखगघचजटडतदन",
+    "Thai": "กขคงจชซดตถทนบปผพ",
+}
 _CONSONANTS, _VOWELS = "bdfgklmnprstvz", "aeiou"
 _CHARS = r"(?s)."
 
@@ -72,7 +102,10 @@ def _valid_card(mention: Column) -> Column:
 
 
 def _script(name: Column) -> Column:
-    return F.when(name.rlike(r"^\p{IsCyrillic}"), "c").otherwise("l")
+    found = F.lit("l")
+    for letter, (script, _) in _SCRIPTS.items():
+        found = F.when(name.rlike(rf"^\p{{Is{script}}}"), letter).otherwise(found)
+    return found
 
 
 def _bare(mention: Column) -> Column:
@@ -83,22 +116,46 @@ def _secret_start(mention: Column) -> Column:
     return F.regexp_extract(mention, r"^[A-Za-z_]+\s*[=:]\s*[\"']?", 0)
 
 
-def _person(mention: Column) -> tuple[Column, Column, Column, Column]:
-    """Title with its point, gender, given name (empty if there is one name only) and family name."""
-    parts = F.split(mention, " ")
-    title = F.get(parts, F.lit(0))
-    gender = F.create_map(*[F.lit(x) for kv in TITLES.items() for x in kv])[F.regexp_replace(title, r"\.$", "")]
-    return title, gender, F.when(F.size(parts) > 2, F.get(parts, F.lit(1))).otherwise(""), F.element_at(parts, -1)
+def _person(mention: Column) -> tuple[Column, Column, Column]:
+    """Title with what follows it up to the name, gender, and pieces: names, and what stands between them; the last is a name."""
+    start = F.regexp_extract(mention, rf"^(?:{TITLE}){_SPACE}", 0)
+    gender = F.create_map(*[F.lit(x) for t, g in TITLES.items() for x in (t.lower(), g)])[F.lower(F.regexp_replace(start, r"\.?[ \u00A0]+$", ""))]
+    pieces = F.regexp_extract_all(F.substring(mention, F.length(start) + 1, F.length(mention)), F.lit(rf"{NAME}|\p{{Lu}}|\P{{Lu}}++"), F.lit(0))
+    return start, gender, pieces
+
+
+def _is_name(piece: Column) -> Column:
+    return piece.rlike(rf"^{NAME}$")
+
+
+def _capitals(name: Column) -> Column:
+    """Whether a name is wholly in capitals."""
+    return name.rlike(r"^[\p{Lu}\p{M}'’-]{2,}$")
+
+
+def _canonical(name: Column) -> Column:
+    """A name in capitals as it is else written."""
+    parts = F.regexp_extract_all(name, F.lit(r"[\p{L}\p{M}]++|[^\p{L}\p{M}]++"), F.lit(0))
+    small = F.array_join(F.transform(parts, lambda x: F.concat(F.substring(x, 1, 1), F.lower(F.substring(x, F.lit(2), F.length(x))))), "")
+    return F.when(_capitals(name), small).otherwise(name)
+
+
+def _name_key(name: Column, gender: Column, is_family: Column) -> Column:
+    plain = _canonical(name)
+    return F.when(is_family, F.concat(F.lit("family_"), _script(plain), F.lit(":"), plain)).otherwise(F.concat(F.lit("given_"), gender, _script(plain), F.lit(":"), plain))
+
+
+def _of_names(mention: Column, made) -> Column:
+    """`made(piece, key)` of each piece of a person, where the key is null for what isn't a name."""
+    _, gender, pieces = _person(mention)
+    return let(pieces, lambda all_: F.transform(all_, lambda x, i: made(x, F.when(_is_name(x), _name_key(x, gender, i == F.size(all_) - 1)))))
 
 
 def entity_keys(mention: Column) -> Column:
-    """The entities a mention names, as `type:canonical form`: one, or given and family name of a person."""
+    """The entities a mention names, as `type:canonical form`: one, or given names and family name of a person."""
     kind = _kind(mention)
-    _, gender, given, family = _person(mention)
-    names = F.filter(
-        F.array(F.when(given != "", F.concat(F.lit("given_"), gender, _script(given), F.lit(":"), given)), F.concat(F.lit("family_"), _script(family), F.lit(":"), family)), lambda x: x.isNotNull()
-    )
-    value = F.when(kind.isin("phone", "card", "ssn", "iban"), _bare(mention)).when(kind == "email", F.lower(mention)).when(kind == "secret", F.regexp_replace(mention, r"^[A-Za-z_]+\s*[=:]\s*[\"']?", "")).otherwise(mention)
+    names = F.filter(_of_names(mention, lambda _, key: key), lambda x: x.isNotNull())
+    value = F.when(kind.isin("phone", "card", "ssn", "iban"), _bare(mention)).when(kind.isin("email", "ipsix"), F.lower(mention)).when(kind == "secret", F.regexp_replace(mention, r"^[A-Za-z_]+\s*[=:]\s*[\"']?", "")).otherwise(mention)
     return F.when(kind == "person", names).when(kind == "none", F.array().cast("array<string>")).otherwise(F.array(F.concat(kind, F.lit(":"), value)))
 
 
@@ -115,15 +172,13 @@ def _like(value: Column, stream: Column, hexed: bool = False) -> Column:
 
     def one(c: Column, i: Column) -> Column:
         b = _byte(stream, i)
-        plain = (
-            F.when(c.rlike(r"\d"), pick("123456789", b))
-            .when(c.rlike(r"\p{IsCyrillic}"), pick(_CYRILLIC[1], b))
-            .when(c.rlike(r"\p{Lu}"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", b))
-            .when(c.rlike(r"\p{L}"), pick("abcdefghijklmnopqrstuvwxyz", b))
-            .otherwise(c)
-        )
-        low, high = value.rlike("^[0-9a-f]+$"), value.rlike("^[0-9A-F]+$")
-        return F.when(low, pick("0123456789abcdef", b)).when(high, pick("0123456789ABCDEF", b)).otherwise(plain) if hexed else plain
+        plain = F.when(c.rlike(r"\p{Lu}"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", b)).when(c.rlike(r"\p{L}"), pick("abcdefghijklmnopqrstuvwxyz", b)).otherwise(c)
+        for script, letters in [*_SCRIPTS.values(), *_CASELESS.items()]:
+            small = pick(letters, b)
+            plain = F.when(c.rlike(rf"[\p{{L}}&&\p{{Is{script}}}]"), F.when(c.rlike(r"\p{Lu}"), F.upper(small)).otherwise(small)).otherwise(plain)
+        plain = F.when(c.rlike("[0-9]"), pick("123456789", b)).when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", b)).when(c.rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz", b)).otherwise(plain)
+        low, high = value.rlike("^[0-9a-f:]+$"), value.rlike("^[0-9A-F]+$")
+        return F.when(c == ":", c).when(low, pick("0123456789abcdef", b)).when(high, pick("0123456789ABCDEF", b)).otherwise(plain) if hexed else plain
 
     return F.array_join(F.transform(F.regexp_extract_all(value, F.lit(_CHARS), F.lit(0)), one), "")
 
@@ -159,18 +214,20 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> C
         card = F.concat(F.substring(value, 1, 1), _like(F.substring(value, F.lit(2), F.length(value) - 2), stream))
         made = F.when(kind == "email", email).when(kind == "ip", F.concat_ws(".", *[(_byte(stream, F.lit(k)) * 7 + _byte(stream, F.lit(k + 4))) % 254 + 1 for k in range(4)]))
         made = made.when(kind == "card", F.concat(card, _check_digit(card)))
-        made = made.when((kind == "phone") & value.startswith("+"), F.concat(F.substring(value, 1, 2), _like(F.substring(value, F.lit(3), F.length(value)), stream)))
+        made = made.when((kind == "phone") & value.startswith("+"), let(F.regexp_extract(value, DIALLING, 0), lambda code: F.concat(code, _like(F.substring(value, F.length(code) + 1, F.length(value)), stream))))
         made = made.when(kind == "aws", F.concat(F.lit("AKIA"), _like(F.substring(value, F.lit(5), F.length(value)), stream)))
         made = made.when(kind == "iban", let(_like(F.substring(value, F.lit(5), F.length(value)), stream), lambda rest: F.concat(F.substring(value, 1, 2), _account_digits(F.concat(rest, F.substring(value, 1, 2))), rest)))
-        made = made.when(kind == "secret", _like(value, stream, hexed=True))
+        made = made.when(kind.isin("secret", "ipsix"), _like(value, stream, hexed=True))
         latin = _syllables(stream, (3 + attempt / 2).cast("int"))
-        family = F.when(kind == "family_c", F.initcap(F.translate(F.lower(latin), *_CYRILLIC))).otherwise(latin)
+        family = latin
+        for letter, (_, letters) in _SCRIPTS.items():
+            family = F.when(F.right(kind, F.lit(1)) == letter, F.initcap(F.translate(F.lower(latin), _COINED, letters))).otherwise(family)
         made = made.when(kind.startswith("family"), family)
         for group, names in GIVEN.items():
             name = lambda k, names=names: F.get(F.array(*map(F.lit, names)), _byte(stream, F.lit(k)) % len(names))
-            coined = F.when(attempt > 3, F.concat(F.lit("-"), family if group[1] == "l" else F.initcap(F.translate(F.lower(latin), *_CYRILLIC)))).when(attempt > 0, F.concat(F.lit("-"), name(9))).otherwise("")
+            coined = F.when(attempt > 3, F.concat(F.lit("-"), family)).when(attempt > 0, F.concat(F.lit("-"), name(9))).otherwise("")
             made = made.when(kind == f"given_{group}", F.concat(name(8), coined))
-        return made.otherwise(_like(value, stream))
+        return made.when(kind.startswith("given"), family).otherwise(_like(value, stream))
 
     stream = F.concat(*[F.sha2(F.concat_ws("|", F.lit(key), kind, value, attempt.cast("string"), F.lit(k)), 256) for k in range(4)])
     return let(stream, by_stream)
@@ -204,7 +261,8 @@ def _written(mention: Column, known: Column) -> Column:
         return F.struct(F.concat(acc["out"], F.when(skip, c).otherwise(F.substring(made, acc["i"], F.lit(1)))).alias("out"), (acc["i"] + F.when(skip, 0).otherwise(1)).alias("i"))
 
     spaced = F.aggregate(F.regexp_extract_all(mention, F.lit(_CHARS), F.lit(0)), start, step, lambda acc: acc["out"])
-    names = F.concat_ws(" ", F.get(F.split(mention, " "), F.lit(0)), F.array_join(F.transform(keys, lambda k: known[k]), " "))
+    named = lambda x, key: F.when(key.isNull(), x).when(_capitals(x), F.upper(known[key])).otherwise(known[key])
+    names = F.concat(_person(mention)[0], F.array_join(_of_names(mention, named), ""))
     return F.when(kind == "none", mention).when(kind.isin("phone", "card", "ssn", "iban"), spaced).when(kind == "secret", F.concat(_secret_start(mention), made)).when(kind == "person", names).otherwise(made)
 
 
@@ -222,8 +280,11 @@ def _bare_names(known: Column) -> Column:
 
 def _without_names(gap: Column, names: Column) -> Column:
     """What stands between mentions, with the surrogates of bare names."""
-    words = F.regexp_extract_all(gap, F.lit(r"\p{L}++|\P{L}++"), F.lit(0))
-    return F.when(F.size(names) > 0, F.array_join(F.transform(words, lambda w: F.coalesce(names[w], w)), "")).otherwise(gap)
+    letters = r"[\p{L}\p{M}]++|[^\p{L}\p{M}]++"
+    of = lambda w: F.when(_capitals(w), F.upper(names[_canonical(w)])).otherwise(names[w])
+    parts = lambda w: F.array_join(F.transform(F.regexp_extract_all(w, F.lit(letters), F.lit(0)), lambda x: F.coalesce(of(x), x)), "")
+    words = F.regexp_extract_all(gap, F.lit(f"{NAME}|{letters}"), F.lit(0))
+    return F.when(F.size(names) > 0, F.array_join(F.transform(words, lambda w: F.coalesce(of(w), F.when(w.rlike("['’-]"), parts(w)), w)), "")).otherwise(gap)
 
 
 def replace(docs: DataFrame, text: str = "text", key: str = KEY, count: str | None = None) -> DataFrame:
