@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from motecraft.config import Config, Thresholds
@@ -414,14 +414,14 @@ def drawn_pictures(spark: SparkSession, sf_dir: str, dim: bool = False) -> DataF
 
 @query(f"WITH {PIXELS} SELECT least(r, g) - b AS chroma, count(*) AS n, min(x) AS x0, max(y) AS y1 FROM px GROUP BY 1")
 def q_px_chroma(spark, sf_dir):
-    px = images.pixels(colour_pictures(spark, sf_dir))
-    return px.groupBy(values.chroma().cast("long").alias("chroma")).agg(F.count("*").alias("n"), F.min("x").cast("long").alias("x0"), F.max("y").cast("long").alias("y1"))
+    px = images.measured_pixels(colour_pictures(spark, sf_dir))
+    return px.groupBy(F.col("chroma").cast("long").alias("chroma")).agg(F.count("*").alias("n"), F.min("x").cast("long").alias("x0"), F.max("y").cast("long").alias("y1"))
 
 
 @query(f"WITH {PIXELS} SELECT vec_id, x, y FROM px WHERE r > g + 35 AND r > b + 35 AND r > 130")
 def q_px_red(spark, sf_dir):
-    px = images.pixels(colour_pictures(spark, sf_dir))
-    return px.where(values.is_red(Config())).select(F.col("image_id").cast("long").alias("vec_id"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
+    px = images.measured_pixels(colour_pictures(spark, sf_dir))
+    return px.where("red").select(F.col("image_id").cast("long").alias("vec_id"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
 
 
 @query(
@@ -476,6 +476,70 @@ def q_detect_formula_image(spark, sf_dir):
     return images.detect(drawn_pictures(spark, sf_dir), DRAWN)
 
 
+#: What a picture looks like around row 3 and column 4: mirrored at its borders without repeating them.
+_AROUND = """c AS (SELECT vec_id, x, y, unnest([{'channel': 'green', 'v': g}, {'channel': 'chroma', 'v': least(r, g) - b}, {'channel': 'g_minus_r', 'v': g - r}, {'channel': 'blue', 'v': b}], recursive := true) FROM px),
+m AS (SELECT i, CASE WHEN abs(i) % 14 >= 8 THEN 14 - abs(i) % 14 ELSE abs(i) % 14 END AS at FROM range(-40, 41) AS r(i)),
+o AS (SELECT a.i - 3 AS dy, b.i - 4 AS dx, a.at AS y, b.at AS x, sqrt((a.i - 3) ** 2 + (b.i - 4) ** 2) AS away FROM m AS a, m AS b)"""
+
+
+def _centre_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features at the middle of each embedding's picture, without blur."""
+    from motecraft.operators import features
+
+    shown = colour_pictures(spark, sf_dir)
+    middle = shown.select("image_id", F.lit(1).alias("id"), F.lit(4.0).alias("x"), F.lit(3.0).alias("y"))
+    return features.extract(shown, middle, sigmas=(0, 0)).select(F.col("image_id").cast("long").alias("vec_id"), F.transform("values", lambda v: F.round(v.cast("double"), 4)).alias("values"))
+
+
+def _named(prefix: str, columns: dict[str, str | None]) -> Column:
+    """A struct of the features `prefix` + name; null where a column has no name."""
+    from motecraft.operators import features
+
+    place = {n: i for i, n in enumerate(features.names())}
+    return F.struct(*[(F.lit(None).cast("double") if n is None else F.col("values")[place[prefix + n]]).alias(c) for c, n in columns.items()])
+
+
+@query(
+    f"""WITH {PIXELS}, {_AROUND}, k AS (SELECT vec_id, channel, v, CASE WHEN away < 3 THEN 0 WHEN away < 6 THEN 1 WHEN away < 9 THEN 2 WHEN away < 12 THEN 3 WHEN away < 16 THEN 4 WHEN away < 22 THEN 5 ELSE 6 END AS band FROM c JOIN o USING (x, y) WHERE away < 32),
+s AS (SELECT vec_id, channel, band, quantile_cont(v::DOUBLE, 0.1) AS q10, quantile_cont(v::DOUBLE, 0.5) AS q50, quantile_cont(v::DOUBLE, 0.9) AS q90, stddev_pop(v) AS std, avg(v) AS mean FROM k GROUP BY ALL)
+SELECT s.vec_id, s.channel, s.band, round(q10::FLOAT::DOUBLE, 4) AS q10, round(q50::FLOAT::DOUBLE, 4) AS q50, round(q90::FLOAT::DOUBLE, 4) AS q90, round(std::FLOAT::DOUBLE, 4) AS std, CASE WHEN s.band > 0 THEN round((z.mean - s.mean)::FLOAT::DOUBLE, 4) END AS less
+FROM s JOIN (SELECT vec_id, channel, mean FROM s WHERE band = 0) AS z USING (vec_id, channel)"""
+)
+def q_feature_bands(spark, sf_dir):
+    """Quantiles, deviation and what the middle has more, by band around it, from the extracted features."""
+    from itertools import pairwise
+
+    from motecraft.operators import features
+
+    rows = []
+    for channel in features.RADIAL_CHANNELS:
+        for band, (low, high) in enumerate(pairwise(features.BANDS)):
+            of = {c: f"r{low}_{high}_{c}" for c in ("q10", "q50", "q90", "std")} | {"less": f"center_minus_r{band}" if band else None}
+            rows.append(F.struct(F.lit(channel).alias("channel"), F.lit(band).alias("band"), _named(f"{channel}_", of).alias("of")))
+    return _centre_features(spark, sf_dir).select("vec_id", F.explode(F.array(*rows)).alias("r")).select("vec_id", "r.channel", "r.band", "r.of.*")
+
+
+@query(
+    f"""WITH {PIXELS}, {_AROUND}, w AS (SELECT vec_id, channel, list(v ORDER BY y, x) AS vs FROM c WHERE channel IN ('green', 'chroma') GROUP BY ALL),
+t AS (SELECT t, r, 32 + sin(t * (2 * pi() / 32)) * r AS yy, 32 + cos(t * (2 * pi() / 32)) * r AS xx FROM range(32) AS a(t), range(6, 20) AS b(r)),
+f AS (SELECT t, yy - floor(yy) AS fy, xx - floor(xx) AS fx, floor(yy)::INT - 29 AS y0, floor(xx)::INT - 28 AS x0 FROM t),
+n AS (SELECT t, fy, fx, ya.at * 8 + xa.at + 1 AS aa, ya.at * 8 + xb.at + 1 AS ab, yb.at * 8 + xa.at + 1 AS ba, yb.at * 8 + xb.at + 1 AS bb FROM f JOIN m AS ya ON ya.i = y0 JOIN m AS yb ON yb.i = y0 + 1 JOIN m AS xa ON xa.i = x0 JOIN m AS xb ON xb.i = x0 + 1),
+l AS (SELECT vec_id, channel, t, min((vs[aa] * (1 - fx) + vs[ab] * fx) * (1 - fy) + (vs[ba] * (1 - fx) + vs[bb] * fx) * fy) AS low FROM w, n GROUP BY ALL),
+z AS (SELECT vec_id, channel, avg(v) AS mean FROM c JOIN o USING (x, y) WHERE away < 3 GROUP BY ALL), d AS (SELECT vec_id, channel, mean - low AS d FROM l JOIN z USING (vec_id, channel)),
+g AS (SELECT vec_id, channel, {", ".join(f"round(quantile_cont(d, {q / 100})::FLOAT::DOUBLE, 4) AS depth{q}" for q in (0, 10, 25, 50, 75, 90, 100))}, {", ".join(f"round(avg((d > {t})::INT)::FLOAT::DOUBLE, 4) AS deeper{t}" for t in (5, 15, 30, 60))} FROM d GROUP BY ALL),
+i AS (SELECT vec_id, channel, dx, dy, v, away FROM c JOIN o USING (x, y) WHERE away < 11 AND channel IN ('green', 'chroma')), q AS (SELECT vec_id, channel, quantile_cont(v::DOUBLE, 0.25) AS low FROM i GROUP BY ALL),
+h AS (SELECT vec_id, channel, dx, dy, greatest(v - low, 0) AS v FROM i JOIN q USING (vec_id, channel)), e AS (SELECT vec_id, channel, sum(v * dx) / greatest(sum(v), 1e-5) AS cx, sum(v * dy) / greatest(sum(v), 1e-5) AS cy FROM h GROUP BY ALL)
+SELECT g.*, round(sqrt(cx * cx + cy * cy)::FLOAT::DOUBLE, 4) AS away11 FROM g JOIN e USING (vec_id, channel)"""
+)
+def q_feature_rims(spark, sf_dir):
+    """How deep and how far closed the dark rim around the middle is, and how far its mass lies off, from the extracted features."""
+    from motecraft.operators import features
+
+    of = {f"depth{q}": f"trough_depth_q{q}" for q in features.DEPTH_QUANTILES} | {f"deeper{t}": f"dark_coverage_{t}" for t in features.COVERAGE} | {"away11": "center_offset_11"}
+    rows = [F.struct(F.lit(channel).alias("channel"), _named(f"{channel}_", of).alias("of")) for channel in features.RADIAL_CHANNELS[:2]]
+    return _centre_features(spark, sf_dir).select("vec_id", F.explode(F.array(*rows)).alias("r")).select("vec_id", "r.channel", "r.of.*")
+
+
 @query()
 def q_features_formula_image(spark, sf_dir):
     from motecraft.operators import features
