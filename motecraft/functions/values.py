@@ -51,6 +51,12 @@ def orientation_histogram(gradients: DataFrame, keys: Sequence[str], n: int = 8)
     return rows.select(*keys, F.explode(shares).alias("s")).groupBy(*keys, F.col("s.bin").alias("bin")).agg(F.sum("s.v").alias("weight"))
 
 
+def casefold(name: Column) -> Column:
+    """A name without case: capitals first, which also writes out ß and ligatures, and one form of the Greek sigma."""
+    # the step between also keeps the optimizer from leaving out `upper` below `lower`
+    return F.translate(F.lower(F.replace(F.upper(name), F.lit("ẞ"), F.lit("SS"))), "ς", "σ")
+
+
 def valid_file_name(name: Column, suffixes: Sequence[str], longest: int = 255) -> Column:
     """A plain file name: not too long, no control characters or separators, one of the suffixes."""
     return (

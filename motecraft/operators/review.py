@@ -190,3 +190,9 @@ def corrected(points: DataFrame, corrections: DataFrame, added: DataFrame | None
         return edited
     manual = added.withColumns({"origin": F.lit("manual"), "status": F.lit("accepted"), "confirmed": F.lit(True), "removed": F.lit(False)})
     return edited.unionByName(manual, allowMissingColumns=True)
+
+
+def in_review_order(points: DataFrame, score: str = "model_score") -> DataFrame:
+    """`points` with their `place` in the review of their image: the lowest score first, absent ones as 1, then by id."""
+    order = Window.partitionBy("image_id").orderBy(F.coalesce(F.col(score), F.lit(1.0)), "id")
+    return points.withColumn("place", F.row_number().over(order))

@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motecraft.config import Config, Thresholds
 from motecraft.functions import values
 from motecraft.functions.numbers import rounded
-from motecraft.operators import report, review, spatial, trees
+from motecraft.operators import detect, report, review, spatial, trees
 from motecraft.plans import images
+from motecraft.sources import images as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -127,8 +128,8 @@ SELECT image_id, count(*) AS n FROM inside GROUP BY image_id"""
 def q_tile_interiors(spark, sf_dir):
     """Every point is in the half-open interior of exactly one of the tiles that see it."""
     wide = points(spark, sf_dir).withColumn("tile", F.explode(F.sequence(F.floor(F.col("x") / 15) - 1, F.floor(F.col("x") / 15) + 1)))
-    inside = wide.where((F.col("x") >= 15 * F.col("tile")) & (F.col("x") < 15 * F.col("tile") + 15))
-    return inside.groupBy("image_id").agg(F.count("*").alias("n"))
+    tiles = wide.withColumns({"tile_x0": 15 * F.col("tile"), "tile_x1": 15 * F.col("tile") + 15, "tile_y0": F.floor(F.col("y") / 15) * 15, "tile_y1": F.floor(F.col("y") / 15) * 15 + 15})
+    return tiles.where(detect.in_tile()).groupBy("image_id").agg(F.count("*").alias("n"))
 
 
 def scored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,6 +252,21 @@ def q_job_states(spark, sf_dir):
     return report.job_states(items, done=F.col("l_returnflag") == "A", failed=F.col("l_returnflag") == "R")
 
 
+@query(
+    r"""WITH f AS (SELECT regexp_extract(url, '^[^?#]*') || '.png' AS path FROM pages UNION ALL SELECT upper(regexp_extract(url, '^[^?#]*')) || '.gif' FROM pages WHERE page_id % 7 = 0 UNION ALL SELECT regexp_extract(url, '^[^?#]*') || '.png' FROM pages WHERE page_id % 11 = 0),
+g AS (SELECT path, regexp_extract(path, '[^/]*$') AS name FROM f)
+SELECT 'same stem' AS problem, min(name) AS name FROM g GROUP BY lower(regexp_replace(name, '\.[^.]*$', '')) HAVING count(*) > 1
+UNION ALL SELECT 'suffix', name FROM g WHERE name LIKE '%.gif' UNION ALL SELECT 'listed twice', min(name) FROM g GROUP BY path HAVING count(*) > 1"""
+)
+def q_selection_conflicts(spark, sf_dir):
+    """What stands against a selection of one file for each page, some of them once more in capitals or as they are."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[^?#]*", 0).alias("at"))
+    paths = pages.select(F.concat("at", F.lit(".png")).alias("path"))
+    paths = paths.union(pages.where("page_id % 7 = 0").select(F.concat(F.upper("at"), F.lit(".gif")))).union(pages.where("page_id % 11 = 0").select(F.concat("at", F.lit(".png"))))
+    files = paths.select("path", F.regexp_extract("path", "[^/]*$", 0).alias("name")).withColumn("suffix", F.lower(F.regexp_extract("name", r"\.([^.]*)$", 1)))
+    return sources.conflicts(files)
+
+
 @query("SELECT page_id, length(n) BETWEEN 1 AND 255 AND NOT regexp_matches(n, '[\\x00-\\x1f\\x7f/\\\\:]') AND n NOT IN ('.', '..') AND regexp_matches(lower(n), '\\.(png|html|jpg)$') AS valid FROM (SELECT page_id, regexp_extract(url, '[^/]*$') AS n FROM pages)")
 def q_file_names(spark, sf_dir):
     name = F.regexp_extract("url", "[^/]*$", 0)
@@ -259,9 +275,9 @@ def q_file_names(spark, sf_dir):
 
 @query("SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY coalesce(CASE WHEN event_id % 4 > 0 THEN least(value / 350.0, 1.0) END, 1.0), event_id) AS place FROM events")
 def q_review_order(spark, sf_dir):
-    e = _table(spark, sf_dir, "events").select("event_id", "event_type", F.when(F.col("event_id") % 4 > 0, F.least(F.col("value") / 350.0, F.lit(1.0))).alias("model_score"))
-    order = Window.partitionBy("event_type").orderBy(F.coalesce("model_score", F.lit(1.0)), "event_id")
-    return e.select("event_id", F.row_number().over(order).cast("long").alias("place"))
+    score = F.when(F.col("event_id") % 4 > 0, F.least(F.col("value") / 350.0, F.lit(1.0)))
+    e = _table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("image_id"), score.alias("model_score"))
+    return review.in_review_order(e).select(F.col("id").alias("event_id"), F.col("place").cast("long").alias("place"))
 
 
 @query("SELECT event_type, round(avg(value) FILTER (user_id % 3 = 0) - quantile_cont(value, 0.5) FILTER (user_id % 3 <> 0), 6) AS edge FROM events GROUP BY event_type")
@@ -550,8 +566,6 @@ def q_features_formula_image(spark, sf_dir):
 
 @query()
 def q_recovery_formula_image(spark, sf_dir):
-    from motecraft.operators import detect
-
     made = detect.candidates(drawn_pictures(spark, sf_dir, dim=True), DRAWN)
     return detect.propose(made, detect.points_of(made, DRAWN).where("false"), DRAWN)
 

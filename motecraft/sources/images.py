@@ -27,6 +27,16 @@ def scan(spark: SparkSession, folder: str, suffixes=SUFFIXES, recursive: bool =
     return described(files)
 
 
+def ordered(files: DataFrame) -> DataFrame:
+    """Files by name without case; equal ones by name and path."""
+    return files.orderBy(values.casefold(F.col("name")), "name", "path")
+
+
+def plain_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The older scan: PNG files of the folder itself, each once, in order."""
+    return ordered(scan(spark, folder, PLAIN_SUFFIXES).dropDuplicates(["path"]))
+
+
 def described(files: DataFrame) -> DataFrame:
     name = F.url_decode(F.regexp_replace(F.regexp_extract("path", "[^/]*$", 0), r"\+", "%2B"))
     return files.select("path", name.alias("name"), F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)).alias("suffix"), "content", F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
@@ -53,14 +63,16 @@ def selected(files: DataFrame, names: DataFrame) -> DataFrame:
 def conflicts(files: DataFrame) -> DataFrame:
     """Reasons why a selection can't be processed as one batch: `problem`, `name`; empty if it can.
 
-    Stems must differ even in another case, as results are named after them; suffixes must be known.
+    Stems must differ even in another case, as results are named after them; suffixes must be known; a path may stand
+    once, however its slashes are written; a selection without any file has the problem `empty` and no name.
     """
-    stem = F.lower(F.regexp_replace("name", r"\.[^.]*$", ""))
+    stem = values.casefold(F.regexp_replace("name", r"\.[^.]*$", ""))
     twice = files.groupBy(stem.alias("stem")).agg(F.count("*").alias("n"), F.min("name").alias("name")).where("n > 1")
     unknown = files.where(~F.col("suffix").isin(*SUFFIXES))
-    again = files.groupBy("path").agg(F.count("*").alias("n"), F.min("name").alias("name")).where("n > 1")
+    again = files.groupBy(F.regexp_replace(_plain(F.col("path")), r"(?<=.)/(?:\.?/)+", "/").alias("path")).agg(F.count("*").alias("n"), F.min("name").alias("name")).where("n > 1")
     tell = lambda df, problem: df.select(F.lit(problem).alias("problem"), "name")
-    return tell(twice, "same stem").union(tell(unknown, "suffix")).union(tell(again, "listed twice"))
+    empty = files.agg(F.count("*").alias("n"), F.lit(None).cast("string").alias("name")).where("n = 0")
+    return tell(twice, "same stem").union(tell(unknown, "suffix")).union(tell(again, "listed twice")).union(tell(empty, "empty"))
 
 
 def checked(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -116,5 +128,5 @@ def export_names(files: DataFrame, batch: str) -> DataFrame:
     """Batch-unique names that carry nothing of the users' own: twelve hex digits of the batch and a number."""
     from pyspark.sql import Window
 
-    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.lower("name"), "path"))
+    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(values.casefold(F.col("name")), "path"))
     return files.withColumn("export_name", F.concat(F.format_string("%s_image_%03d.", F.lit(batch[:12]), place), "suffix"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motecraft.config import Config
+from motecraft.functions import values
 from motecraft.operators import report, review
 
 
@@ -55,7 +56,7 @@ def count_table(summary: DataFrame, model: bool = False, total: bool = True) ->
     ready = summary.withColumn("accepted_count", F.col("count") - F.col("review_count"))
     measures = list(MODEL_COUNTS if model else PLAIN_COUNTS)
     rows = report.with_total(ready, "name", measures) if total else ready.select("name", *measures, F.lit(0).alias("is_total"))
-    return rows.orderBy("is_total", F.lower("name"), "name").select(report.csv_safe(F.col("name")).alias("name"), *measures)
+    return rows.orderBy("is_total", values.casefold(F.col("name")), "name").select(report.csv_safe(F.col("name")).alias("name"), *measures)
 
 
 def write_csv(rows: DataFrame, folder: str) -> None:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from motecraft.config import Config
-from motecraft.functions import pixels
+from motecraft.functions import pixels, values
 from motecraft.operators import detect, features, review, scoring
 from motecraft.plans import images as plan
 from motecraft.sources import images, sinks
@@ -219,6 +219,8 @@ def test_scan_check_and_decode(spark, tmp_path):
     limits = images.within_limits(images.checked(files)).first()
     assert limits["accepted"] and not images.within_limits(images.checked(files), max_files=2).first()["accepted"]
     assert images.conflicts(files).count() == 0
+    assert [tuple(r) for r in images.conflicts(files.where("false")).collect()] == [("empty", None)]
+    assert [r["name"] for r in images.plain_scan(spark, where).collect()] == ["cut.png", "fake.png", "grey.png", "One.png", "two.PNG"]
     assert [r["problem"] for r in images.conflicts(files.union(files.where("name = 'One.png'"))).collect()] == ["same stem", "listed twice"]
     exported = images.export_names(files, "0123456789abcdef").collect()
     assert len({r["export_name"] for r in exported}) == 5 and all(r["export_name"].startswith("0123456789ab_image_0") for r in exported)
@@ -279,3 +281,12 @@ def test_drop_folder_as_jobs(spark, tmp_path):
 def test_statuses_are_consistent(spark):
     got = found(spark, scene(160, 160, [(45, 80), (105, 80)]))
     assert all((p["status"] == "review") == bool(p["reason_codes"]) and p["reason"].count(review.SEPARATOR) == max(0, len(p["reason_codes"]) - 1) for p in got)
+
+
+def test_names_without_case(spark):
+    same = ["Straße.png", "STRASSE.png", "STRAẞE.png", "ΟΔΟΣ.png", "οδος.png", "οδοσ.png", "ﬁle.png", "FILE.png", "Ä.png", "ä.png", "мир.png", "МИР.png", "a.png"]
+    rows = spark.createDataFrame([(n, f"/x/{n}", "png") for n in same], "name string, path string, suffix string")
+    assert {r["name"]: r["folded"] for r in rows.select("name", values.casefold(F.col("name")).alias("folded")).collect()} == {n: n.casefold() for n in same}
+    assert images.conflicts(rows).where("problem = 'same stem'").count() == 5
+    twice = spark.createDataFrame([("a.png", "file:/x/a.png", "png"), ("a.png", "file:///x/./a.png", "png")], rows.schema)
+    assert {r["problem"] for r in images.conflicts(twice.select("name", "path", "suffix")).collect()} == {"same stem", "listed twice"}
