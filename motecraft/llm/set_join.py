@@ -4,12 +4,15 @@ Every text is the set of its shingles' XXH64. All sets are put into one order, r
 enough share a shingle among the first n - ceil(t n) + 1 of each: rows meet there, at every size of the input, and none
 that is similar is missed. The order is any that all share; a sample tells which shingles are frequent, which decides
 the work and not the result. A pair is looked at only if what follows the shared shingle can still make it similar,
-which holds at the first shared one, and if a sketch of 256 SimHash bits doesn't rule it out. It is decided by the whole
+which holds at the first shared one, and if a sketch of 256 bits doesn't rule it out. It is decided by the whole
 sets, which are made again only of the texts in such pairs.
 
 What counts is who hangs together, so pairs within a component need no look. First each set is checked against one that
-it meets, then against one or two at each shingle; then every pair at a shingle that is still in two components is decided. Pairs
-whose sketches of 256 bits differ by more than six deviations from what the similarity allows are ruled out without the sets.
+it meets, then against one or two at each shingle; then every pair at a shingle that is still in two components is decided,
+at the first shingle that it shares: at a later one it is passed over where one of the few shingles before is shared, too.
+Pairs of large sets whose sketches of 256 SimHash bits differ by more than six deviations from what the similarity allows
+are ruled out without the sets; of two small sets, those whose shingles, dealt to 192 places, are too often at places that
+the other leaves empty, which rules out no pair that is similar.
 
 Defined cases: texts without words are one set, the empty one; fewer words than a shingle make one shingle; letters A to
 Z are compared in lower case; null ids count as the largest id; an empty table gives an empty result.
@@ -20,11 +23,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
@@ -33,8 +38,10 @@ from .shingles import BITS, shingle_set, simhash
 
 #: Documents in the sample for the order, at least; shingles known as frequent; members at a shingle that all others are checked against.
 SAMPLE, FREQUENT, CENTRES = 5_000, 200_000, 2
-#: Words of a sketch; sets smaller than `SMALL` are compared without.
+#: Words of a sketch; in those of sets smaller than `SMALL`, all but the first hold the places of their shingles.
 SKETCH, SMALL = 4, 64
+#: How many shingles before a shared one are looked at for an earlier one that the same two sets share.
+BEFORE = 4
 #: Bits of the filter that tells most texts without a candidate pair: 8 MB, whatever the input.
 FILTER = 1 << 26
 _BATCH = 1 << 20
@@ -85,7 +92,7 @@ def sketches(texts: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
             for i, text_hash, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 h = shingle_set(text, shingle)
                 first = h[np.lexsort((h, rank(h)))[: prefix_length(len(h), similarity)]]
-                rows.append((i, text_hash, _print(h), len(h), simhash([h], SKETCH).view(np.int64), first.view(np.int64)))
+                rows.append((i, text_hash, _print(h), len(h), _sketch(h).view(np.int64), first.view(np.int64)))
                 held += len(first)
                 if held > _BATCH:
                     yield made(rows)
@@ -100,6 +107,16 @@ def _print(h: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64))
 
 
+def _sketch(h: np.ndarray) -> np.ndarray:
+    """SimHash bits; of a small set one word of them and a bit for each place that its shingles take."""
+    if len(h) >= SMALL:
+        return simhash([h], SKETCH)
+    places = (h % np.uint64(BITS * (SKETCH - 1))).astype(np.int64)
+    taken = np.zeros(SKETCH - 1, np.uint64)
+    np.bitwise_or.at(taken, places // BITS, np.uint64(1) << (places % BITS).astype(np.uint64))
+    return np.concatenate((simhash([h]), taken))
+
+
 def _filter_bits(places: DataFrame) -> np.ndarray:
     """A filter with the bits at `at` (0 to `FILTER`) set: 64 bits a word, of a fixed size whatever the input."""
     words = places.select(F.floor(F.col("at") / 64).alias("word"), (F.col("at") % 64).cast("int").alias("bit"))
@@ -168,8 +185,12 @@ def bits_apart(similarity: float, bits: int, deviations: float = 6) -> int:
 def _not_ruled_out(similarity: Fraction) -> Column:
     """Whether the sizes and sketches of two sets allow the similarity."""
     p, q = similarity.numerator, similarity.denominator
-    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    near = (apart <= bits_apart(float(similarity), BITS * SKETCH)) | (F.least("n_a", "n_b") < SMALL)
+    words = [(F.col("sketch_a")[k], F.col("sketch_b")[k]) for k in range(SKETCH)]
+    apart = reduce(add, [F.bit_count(x.bitwiseXOR(y)) for x, y in words])
+    own_a, own_b = (reduce(add, [F.bit_count(w[i].bitwiseAND(F.bitwise_not(w[1 - i]))) for w in words[1:]]) for i in (0, 1))
+    shared = F.least(F.col("n_a") - own_a, F.col("n_b") - own_b)
+    small = F.greatest("n_a", "n_b") < SMALL
+    near = F.when(small, shared * F.lit(p + q) >= (F.col("n_a") + F.col("n_b")) * F.lit(p)).otherwise((apart <= bits_apart(float(similarity), BITS * SKETCH)) | (F.least("n_a", "n_b") < SMALL))
     return (F.least("n_a", "n_b") * F.lit(q) >= F.greatest("n_a", "n_b") * F.lit(p)) & near
 
 
@@ -220,6 +241,22 @@ def _in_components(met: DataFrame, edges: DataFrame) -> DataFrame:
     return materialize(met.drop("component").join(joined, met["fp"] == joined["node"], "left").select("key", "fp", "n", "at", F.coalesce("component", "fp").alias("component")))
 
 
+def _with_earlier(rows: DataFrame) -> DataFrame:
+    """`rows` with `before`: the keys of the same set's `BEFORE` rows before."""
+    return rows.withColumn("before", F.collect_list("key").over(Window.partitionBy("fp").orderBy("at").rowsBetween(-BEFORE, -1)))
+
+
+def _apart(left: DataFrame, may: Column) -> DataFrame:
+    """Pairs (`a`, `b`) of sets of two components that share a key and may be similar.
+
+    A pair whose `before` have a key in common shares that one, too, and is looked at there: at the first key that it
+    shares there is none, so every pair is looked at, and at few of the keys that it goes on to share.
+    """
+    a, b = (left.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("fp", "n", "at", "component", "before", "sketch")]) for x in "ab")
+    pairs = a.join(b, "key").where(F.col("fp_a") < F.col("fp_b")).where("component_a <> component_b").where(~F.arrays_overlap("before_a", "before_b")).where(may)
+    return pairs.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+
+
 def links(first: DataFrame, texts: DataFrame, shingle: int, similarity: Fraction, candidates: DataFrame) -> DataFrame:
     """Edges (`a`, `b`) that join exactly the sets of `first` at `similarity`, directly or over others.
 
@@ -233,10 +270,11 @@ def links(first: DataFrame, texts: DataFrame, shingle: int, similarity: Fraction
     now = _in_components(met, edges)
     edges = materialize(edges.union(_similar(_stars(now, may).drop("at_a"), first, texts, shingle, similarity)))
     last = _in_components(met, edges)
+    discard(met, now)
     left = _with_key(last, F.min("component").alias("least"), F.max("component").alias("most"), where="least <> most")
-    left = materialize(left.drop("least", "most").join(first.select("fp", "sketch"), "fp"))
-    a, b = (left.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("fp", "n", "at", "component", "sketch")]) for x in "ab")
-    pairs = a.join(b, "key").where(F.col("fp_a") < F.col("fp_b")).where("component_a <> component_b").where(may & _not_ruled_out(similarity))
-    edges = edges.union(_similar(pairs.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")), first, texts, shingle, similarity))
-    discard(met, now, last, left)
+    left = materialize(_with_earlier(left.drop("least", "most").join(first.select("fp", "sketch"), "fp")))
+    discard(last)
+    pairs = _apart(left, may & _not_ruled_out(similarity))
+    edges = edges.union(_similar(pairs, first, texts, shingle, similarity))
+    discard(left)
     return edges

@@ -83,3 +83,26 @@ def test_altered_copies_that_are_similar_to_their_original_only(spark):
 def test_prefix_lengths():
     least = set_join.Fraction("0.8")
     assert [set_join.prefix_length(n, least) for n in (0, 1, 4, 5, 6, 100)] == [0, 1, 1, 2, 2, 21]
+
+
+def of_sets(spark, sets):
+    """Rows as of the sets' prefixes in one order, each set a component of its own."""
+    rows = [(key, fp, len(keys), at, fp, [int(w) for w in set_join._sketch(set_join.np.array(keys, "uint64")).view("int64")]) for fp, keys in enumerate(sets) for at, key in enumerate(sorted(keys))]
+    return set_join._with_earlier(spark.createDataFrame(rows, "key long, fp long, n long, at long, component long, sketch array<long>"))
+
+
+def test_a_pair_that_shares_many_shingles_is_looked_at_few_times_and_never_missed(spark):
+    rng = random.Random(26)
+    crowd = [rng.sample(range(100, 140), 30) for _ in range(12)] + [[k, 500 + k, *range(1000 + 20 * k, 1008 + 20 * k)] for k in range(4)] + [[k, 600 + k] for k in range(4)]
+    found = [(r["a"], r["b"]) for r in set_join._apart(of_sets(spark, crowd), set_join.F.lit(True)).collect()]
+    sharing = {(a, b) for b in range(len(crowd)) for a in range(b) if set(crowd[a]) & set(crowd[b])}
+    assert set(found) == sharing and len(found) < 2 * len(sharing)
+
+
+def test_places_of_small_sets_rule_out_the_dissimilar_and_no_similar_pair(spark):
+    rng = random.Random(27)
+    h = [rng.getrandbits(63) for _ in range(5000)]
+    pairs = [(h[4000 + 90 * k :][: 9 * k], h[4000 + 91 * k :][: 9 * k]) for k in range(1, 7)] + [([*h[:1], *h[100 * k : 100 * k + 40]], [*h[:1], *h[100 * k + 50 : 100 * k + 90]]) for k in range(1, 40)]
+    left = of_sets(spark, [s for pair in pairs for s in pair])
+    allowed = {(r["a"], r["b"]) for r in set_join._apart(left, set_join._not_ruled_out(set_join.Fraction("0.8"))).collect()}
+    assert allowed == {(2 * k, 2 * k + 1) for k in range(6)}
