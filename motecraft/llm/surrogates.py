@@ -141,46 +141,56 @@ def _canonical(name: Column) -> Column:
 
 
 def _name_key(name: Column, gender: Column, is_family: Column) -> Column:
-    plain = _canonical(name)
-    return F.when(is_family, F.concat(F.lit("family_"), _script(plain), F.lit(":"), plain)).otherwise(F.concat(F.lit("given_"), gender, _script(plain), F.lit(":"), plain))
+    group = F.when(is_family, F.lit("family_")).otherwise(F.concat(F.lit("given_"), gender))
+    return let(_canonical(name), lambda plain: F.concat(group, _script(plain), F.lit(":"), plain))
 
 
 def _of_names(mention: Column, made) -> Column:
     """`made(piece, key)` of each piece of a person, where the key is null for what isn't a name."""
     _, gender, pieces = _person(mention)
-    return let(pieces, lambda all_: F.transform(all_, lambda x, i: made(x, F.when(_is_name(x), _name_key(x, gender, i == F.size(all_) - 1)))))
+    one = lambda x, key: let(key, lambda key: made(x, key))
+    return let(pieces, lambda all_: F.transform(all_, lambda x, i: one(x, F.when(_is_name(x), _name_key(x, gender, i == F.size(all_) - 1)))))
+
+
+def _value_key(mention: Column, kind: Column) -> Column:
+    """The entity that a mention of any kind but persons and none names."""
+    value = F.when(kind.isin("phone", "card", "ssn", "iban"), _bare(mention)).when(kind.isin("email", "ipsix"), F.lower(mention)).when(kind == "secret", F.regexp_replace(mention, r"^[A-Za-z_]+\s*[=:]\s*[\"']?", "")).otherwise(mention)
+    return F.concat(kind, F.lit(":"), value)
 
 
 def entity_keys(mention: Column) -> Column:
     """The entities a mention names, as `type:canonical form`: one, or given names and family name of a person."""
-    kind = _kind(mention)
     names = F.filter(_of_names(mention, lambda _, key: key), lambda x: x.isNotNull())
-    value = F.when(kind.isin("phone", "card", "ssn", "iban"), _bare(mention)).when(kind.isin("email", "ipsix"), F.lower(mention)).when(kind == "secret", F.regexp_replace(mention, r"^[A-Za-z_]+\s*[=:]\s*[\"']?", "")).otherwise(mention)
-    return F.when(kind == "person", names).when(kind == "none", F.array().cast("array<string>")).otherwise(F.array(F.concat(kind, F.lit(":"), value)))
+    return let(_kind(mention), lambda kind: F.when(kind == "person", names).when(kind == "none", F.array().cast("array<string>")).otherwise(F.array(_value_key(mention, kind))))
 
 
 def _byte(stream: Column, i) -> Column:
     return F.conv(F.substring(stream, (F.lit(2) * (i % 128) + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
 
 
-def _like(value: Column, stream: Column, hexed: bool = False) -> Column:
+def _like(value: Column, stream: Column, hexed: Column | None = None) -> Column:
     """A string of the same format: digit for digit, letter for letter of the same case and script.
 
-    With `hexed`, a value of hexadecimal digits stays one.
+    Where `hexed`, a value of hexadecimal digits stays one.
     """
-    pick = lambda alphabet, b: F.substring(F.lit(alphabet), b % len(alphabet) + 1, F.lit(1))
+    digits = F.when(value.rlike("^[0-9a-f:]+$"), "0123456789abcdef").when(value.rlike("^[0-9A-F]+$"), "0123456789ABCDEF")
+
+    def of(digits: Column) -> Column:
+        def one(c: Column, i: Column) -> Column:
+            letters = F.coalesce(F.when(c != ":", digits), _standing_in(c))
+            return F.coalesce(let(letters, lambda a: F.substring(F.when(c.rlike(r"\p{Lu}"), F.upper(a)).otherwise(a), _byte(stream, i) % F.length(a) + 1, F.lit(1))), c)
 
-    def one(c: Column, i: Column) -> Column:
-        b = _byte(stream, i)
-        plain = F.when(c.rlike(r"\p{Lu}"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", b)).when(c.rlike(r"\p{L}"), pick("abcdefghijklmnopqrstuvwxyz", b)).otherwise(c)
-        for script, letters in [*_SCRIPTS.values(), *_CASELESS.items()]:
-            small = pick(letters, b)
-            plain = F.when(c.rlike(rf"[\p{{L}}&&\p{{Is{script}}}]"), F.when(c.rlike(r"\p{Lu}"), F.upper(small)).otherwise(small)).otherwise(plain)
-        plain = F.when(c.rlike("[0-9]"), pick("123456789", b)).when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", b)).when(c.rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz", b)).otherwise(plain)
-        low, high = value.rlike("^[0-9a-f:]+$"), value.rlike("^[0-9A-F]+$")
-        return F.when(c == ":", c).when(low, pick("0123456789abcdef", b)).when(high, pick("0123456789ABCDEF", b)).otherwise(plain) if hexed else plain
+        return F.array_join(F.transform(F.regexp_extract_all(value, F.lit(_CHARS), F.lit(0)), one), "")
 
-    return F.array_join(F.transform(F.regexp_extract_all(value, F.lit(_CHARS), F.lit(0)), one), "")
+    return let(F.lit(None).cast("string") if hexed is None else F.when(hexed, digits), of)
+
+
+def _standing_in(c: Column) -> Column:
+    """The characters that can stand in for one, in small letters; null for what stays."""
+    found = F.when(c.rlike("[0-9]"), "123456789").when(c.rlike("[A-Za-z]"), "abcdefghijklmnopqrstuvwxyz")
+    for script, letters in [*_SCRIPTS.values(), *_CASELESS.items()]:
+        found = found.when(c.rlike(rf"[\p{{L}}&&\p{{Is{script}}}]"), letters)
+    return found.when(c.rlike(r"\p{L}"), "abcdefghijklmnopqrstuvwxyz")
 
 
 def _check_digit(start: Column) -> Column:
@@ -207,27 +217,39 @@ def _syllables(stream: Column, n: Column) -> Column:
 def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> Column:
     """The surrogate of an entity in its canonical form, at one attempt."""
 
+    dialling, country = F.regexp_extract(value, DIALLING, 0), F.substring(value, 1, 2)
+    is_family, is_given, dialled = kind.startswith("family"), kind.startswith("given"), (kind == "phone") & value.startswith("+")
+    # what is imitated character for character; null where nothing is
+    body = F.when(is_family | is_given | (kind == "ip"), None).when(kind == "email", F.regexp_extract(value, "^[^@]*", 0)).when(kind == "card", F.substring(value, F.lit(2), F.length(value) - 2))
+    body = body.when(dialled, F.substring(value, F.length(dialling) + 1, F.length(value))).when(kind.isin("aws", "iban"), F.substring(value, F.lit(5), F.length(value))).otherwise(value)
+
     def by_stream(stream: Column) -> Column:
+        return let(let(body, lambda x: _like(x, stream, kind.isin("secret", "ipsix"))), lambda like: by_body(stream, like))
+
+    def by_body(stream: Column, like: Column) -> Column:
         domain = F.regexp_extract(value, r"@(.*)$", 1)
         domain_stream = F.concat(*[F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), domain, F.lit(k)), 256) for k in range(4)])
-        email = F.concat(_like(F.regexp_extract(value, "^[^@]*", 0), stream), F.lit("@"), _like(F.regexp_replace(domain, r"\.[^.]*$", ""), domain_stream), F.lit(".example"))
-        card = F.concat(F.substring(value, 1, 1), _like(F.substring(value, F.lit(2), F.length(value) - 2), stream))
+        email = F.concat(like, F.lit("@"), let(domain_stream, lambda own: _like(F.regexp_replace(domain, r"\.[^.]*$", ""), own)), F.lit(".example"))
         made = F.when(kind == "email", email).when(kind == "ip", F.concat_ws(".", *[(_byte(stream, F.lit(k)) * 7 + _byte(stream, F.lit(k + 4))) % 254 + 1 for k in range(4)]))
-        made = made.when(kind == "card", F.concat(card, _check_digit(card)))
-        made = made.when((kind == "phone") & value.startswith("+"), let(F.regexp_extract(value, DIALLING, 0), lambda code: F.concat(code, _like(F.substring(value, F.length(code) + 1, F.length(value)), stream))))
-        made = made.when(kind == "aws", F.concat(F.lit("AKIA"), _like(F.substring(value, F.lit(5), F.length(value)), stream)))
-        made = made.when(kind == "iban", let(_like(F.substring(value, F.lit(5), F.length(value)), stream), lambda rest: F.concat(F.substring(value, 1, 2), _account_digits(F.concat(rest, F.substring(value, 1, 2))), rest)))
-        made = made.when(kind.isin("secret", "ipsix"), _like(value, stream, hexed=True))
-        latin = _syllables(stream, (3 + attempt / 2).cast("int"))
-        family = latin
-        for letter, (_, letters) in _SCRIPTS.items():
-            family = F.when(F.right(kind, F.lit(1)) == letter, F.initcap(F.translate(F.lower(latin), _COINED, letters))).otherwise(family)
-        made = made.when(kind.startswith("family"), family)
-        for group, names in GIVEN.items():
-            name = lambda k, names=names: F.get(F.array(*map(F.lit, names)), _byte(stream, F.lit(k)) % len(names))
-            coined = F.when(attempt > 3, F.concat(F.lit("-"), family)).when(attempt > 0, F.concat(F.lit("-"), name(9))).otherwise("")
-            made = made.when(kind == f"given_{group}", F.concat(name(8), coined))
-        return made.when(kind.startswith("given"), family).otherwise(_like(value, stream))
+        made = made.when(kind == "card", let(F.concat(F.substring(value, 1, 1), like), lambda card: F.concat(card, _check_digit(card))))
+        made = made.when(dialled, F.concat(dialling, like)).when(kind == "aws", F.concat(F.lit("AKIA"), like))
+        made = made.when(kind == "iban", F.concat(country, _account_digits(F.concat(like, country)), like))
+        return made.when(is_family | is_given, let(family(stream), lambda coined: F.when(is_family, coined).otherwise(given(stream, coined)))).otherwise(like)
+
+    def family(stream: Column) -> Column:
+        def written(latin: Column) -> Column:
+            found = latin
+            for letter, (_, letters) in _SCRIPTS.items():
+                found = F.when(F.right(kind, F.lit(1)) == letter, F.initcap(F.translate(F.lower(latin), _COINED, letters))).otherwise(found)
+            return found
+
+        return let(_syllables(stream, (3 + attempt / 2).cast("int")), written)
+
+    def given(stream: Column, coined: Column) -> Column:
+        names = F.create_map(*[x for group, names in GIVEN.items() for x in (F.lit(f"given_{group}"), F.array(*map(F.lit, names)))])[kind]
+        name = lambda names, k: F.get(names, _byte(stream, F.lit(k)) % F.size(names))
+        more = lambda names: F.when(attempt > 3, F.concat(F.lit("-"), coined)).when(attempt > 0, F.concat(F.lit("-"), name(names, 9))).otherwise("")
+        return let(names, lambda names: F.when(names.isNull(), coined).otherwise(F.concat(name(names, 8), more(names))))
 
     stream = F.concat(*[F.sha2(F.concat_ws("|", F.lit(key), kind, value, attempt.cast("string"), F.lit(k)), 256) for k in range(4)])
     return let(stream, by_stream)
@@ -251,19 +273,19 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
 
 def _written(mention: Column, known: Column) -> Column:
     """The surrogate of a mention, in the mention's own notation."""
-    kind = _kind(mention)
-    keys = entity_keys(mention)
-    made = known[F.get(keys, F.lit(0))]
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("i"))
 
-    def step(acc: Column, c: Column) -> Column:
-        skip = c.rlike(r"[ .()-]")
-        return F.struct(F.concat(acc["out"], F.when(skip, c).otherwise(F.substring(made, acc["i"], F.lit(1)))).alias("out"), (acc["i"] + F.when(skip, 0).otherwise(1)).alias("i"))
+    def spaced(made: Column) -> Column:
+        def step(acc: Column, c: Column) -> Column:
+            skip = c.rlike(r"[ .()-]")
+            return F.struct(F.concat(acc["out"], F.when(skip, c).otherwise(F.substring(made, acc["i"], F.lit(1)))).alias("out"), (acc["i"] + F.when(skip, 0).otherwise(1)).alias("i"))
+
+        return F.aggregate(F.regexp_extract_all(mention, F.lit(_CHARS), F.lit(0)), start, step, lambda acc: acc["out"])
 
-    spaced = F.aggregate(F.regexp_extract_all(mention, F.lit(_CHARS), F.lit(0)), start, step, lambda acc: acc["out"])
     named = lambda x, key: F.when(key.isNull(), x).when(_capitals(x), F.upper(known[key])).otherwise(known[key])
     names = F.concat(_person(mention)[0], F.array_join(_of_names(mention, named), ""))
-    return F.when(kind == "none", mention).when(kind.isin("phone", "card", "ssn", "iban"), spaced).when(kind == "secret", F.concat(_secret_start(mention), made)).when(kind == "person", names).otherwise(made)
+    value = lambda made, kind: F.when(kind.isin("phone", "card", "ssn", "iban"), spaced(made)).when(kind == "secret", F.concat(_secret_start(mention), made)).otherwise(made)
+    return let(_kind(mention), lambda kind: F.when(kind == "none", mention).when(kind == "person", names).otherwise(let(known[_value_key(mention, kind)], lambda made: value(made, kind))))
 
 
 def _bare_names(known: Column) -> Column:
@@ -303,6 +325,6 @@ def replace(docs: DataFrame, text: str = "text", key: str = KEY, count: str | No
     gaps = F.split(F.col(f"row.{text}"), ANY, -1)
     made = F.array_join(F.zip_with(gaps, F.transform("mentions", lambda m: _written(m, F.col("known"))), lambda gap, new: F.concat(_without_names(gap, F.col("names")), F.coalesce(new, F.lit("")))), "")
     new = F.when(F.size("mentions") > 0, made).otherwise(F.col(f"row.{text}"))
-    values = {c: F.col(f"row.`{c}`") for c in columns} | {text: new} | ({"n_chars": F.length(new).cast("long")} if "n_chars" in columns else {})
-    changed = changed.select(*[values[c].alias(c) for c in columns], *([F.size(F.filter("mentions", lambda m: _kind(m) != "none")).cast("long").alias(count)] if count else []))
+    values = {c: F.col(f"row.`{c}`") for c in columns} | {text: F.col("new")} | ({"n_chars": F.length("new").cast("long")} if "n_chars" in columns else {})
+    changed = changed.withColumn("new", new).select(*[values[c].alias(c) for c in columns], *([F.size(F.filter("mentions", lambda m: _kind(m) != "none")).cast("long").alias(count)] if count else []))
     return plain.unionByName(changed)
