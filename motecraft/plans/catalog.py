@@ -560,8 +560,8 @@ def q_feature_rims(spark, sf_dir):
 def q_features_formula_image(spark, sf_dir):
     from motecraft.operators import features
 
-    found = drawn_pictures(spark, sf_dir)
-    return features.extract(found, images.detect(found, DRAWN).select("image_id", "id", "x", "y"))
+    found = lambda shown: features.extract(shown, images.detect(shown, DRAWN).select("image_id", "id", "x", "y"))
+    return images.once_each(drawn_pictures(spark, sf_dir), found)
 
 
 @query()
