@@ -566,8 +566,11 @@ def q_features_formula_image(spark, sf_dir):
 
 @query()
 def q_recovery_formula_image(spark, sf_dir):
-    made = detect.candidates(drawn_pictures(spark, sf_dir, dim=True), DRAWN)
-    return detect.propose(made, detect.points_of(made, DRAWN).where("false"), DRAWN)
+    def found(shown: DataFrame) -> DataFrame:
+        made = detect.candidates(shown, DRAWN)
+        return detect.propose(made, detect.points_of(made, DRAWN).where("false"), DRAWN)
+
+    return images.once_each(drawn_pictures(spark, sf_dir, dim=True), found)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
